@@ -6,10 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verisect.llm.ann import op5_ann
+from verisect.llm.langid import op9_langid
+from verisect.llm.mixing import OP7_SQL, op7_mixing
+from verisect.llm.pii import op3_pii
+from verisect.llm.sentencepiece import op1_sentencepiece
+from verisect.llm.sharding import op2_sharding
 from verisect.llm.simhash import op6_simhash
+from verisect.llm.token_counts import op10_token_counts
+from verisect.llm.topk import OP4_SQL, op4_topk
+from verisect.llm.urls import OP8_SQL, op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_sharding": op2_sharding,
+    "op3_pii": op3_pii,
+    "op4_topk": op4_topk,
+    "op5_ann": op5_ann,
     "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
+    "op9_langid": op9_langid,
+    "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
