@@ -33,8 +33,6 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 5, 3, 0.75, 0.95
 #: Terms are maximal runs of other characters, in both engines.
 NOT_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Terms that are broadcast at most (a few tens of MB); more are joined by a shuffle.
-BROADCAST_TERMS = 500_000
 #: Characters on each side of a span that are looked at for its window.
 REACH = 400
 
@@ -154,10 +152,8 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, window: int
     entities = near.groupBy("entity", "seen").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("one").alias("windows"))
     terms = pairs.select("term").distinct()
     words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), NOT_TERM)).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        counts = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("term").alias("everywhere"))
-    else:  # counted first, so that a frequent word is one row of each task
-        counts = words.groupBy("term").agg(F.count("term").alias("everywhere")).join(terms, "term", "left_semi")
+    # counted before the join, so that a frequent word is one row of each task
+    counts = words.groupBy("term").agg(F.count("term").alias("everywhere")).join(terms, "term", "left_semi")
     total = found.agg(F.greatest(F.sum("n_words"), F.lit(1)).alias("n")).first()["n"]
     all_windows = max(1.0, total / (2 * window))
     rates = pairs.join(entities, "entity").join(counts, "term", "left")
