@@ -34,5 +34,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that go to a Python worker at once. Texts are long, so Spark's 10,000 would take much memory.
+TEXT_BATCH = 1000
+
+
+def over_texts(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over rows that hold texts, in small batches; the setting stays with the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= TEXT_BATCH:
+        conf.set(name, str(TEXT_BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,9 +5,9 @@ piece that ends there (the automaton follows its output links); each relaxes the
 position. The best path maximises the sum of piece scores; ties go to the longer last piece. A character
 that no piece covers scores below all pieces and is written as its UTF-8 byte pieces.
 
-No piece holds a character other than the space mark before a space mark, so a best path never crosses
-from a word into the next space: a text is cut there, and a bounded memo of words keeps the passes short.
-The cut is checked for each model; a model without that property is encoded text by text.
+No piece holds a character other than the space mark before a space mark, nor a line end, so a best path
+never crosses from a word into the next space or line: a text is cut there, and a bounded memo of words
+keeps the passes short. The cuts are checked for each model; one without that property is encoded whole.
 
 Round trip: decode(encode(text)) is the text, always. To that end a space mark that a text itself holds
 is written as bytes.
@@ -15,6 +15,7 @@ is written as bytes.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from array import array
@@ -26,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisect.llm.common import table
+from verisect.llm.common import over_texts, table
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words that a task remembers; the memo is emptied beyond.
-MEMO_WORDS = 200_000
+#: Words that a task remembers at most, in two generations: when the young one is full it becomes the old
+#: one, and words found there are taken over, so frequent words stay.
+MEMO_WORDS = 240_000
 #: How much an uncovered character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-_WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
 @dataclass
@@ -66,7 +68,9 @@ class Codec:
     """Encoder and decoder for one vocabulary; made once in each task."""
 
     def __init__(self, vocabulary: Vocabulary, memo_words: int = MEMO_WORDS):
-        self.byte_ids, self.text_of, self.memo, self.memo_words = vocabulary.byte_ids, vocabulary.text_of, {}, memo_words
+        self.byte_ids, self.text_of, self.half = vocabulary.byte_ids, vocabulary.text_of, max(1, memo_words // 2)
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self.automaton = ahocorasick.Automaton()
         lowest = 0.0
         for piece, i, score in vocabulary.pieces:
@@ -75,7 +79,8 @@ class Codec:
         if len(self.automaton):
             self.automaton.make_automaton()
         self.unknown = lowest - UNKNOWN_PENALTY
-        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in vocabulary.pieces)
+        self.by_word = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p, _, _ in vocabulary.pieces)
+        self.alone = frozenset(p for p, _, _ in vocabulary.pieces if len(p) == 1)
 
     def viterbi(self, text: str) -> list[int]:
         """The ids of the best path over a text whose spaces are marks already."""
@@ -110,6 +115,34 @@ class Codec:
             n = start
         return out[::-1]
 
+    def _covered(self, text: str) -> list[int]:
+        """viterbi for a text of which each character is a piece: no character need be uncovered."""
+        n = len(text)
+        best, back = [0.0] + [float("-inf")] * n, [(1, -1, 0.0)] * (n + 1)
+        for end, found in self.automaton.iter(text):
+            end += 1
+            reached = best[end - found[0]] + found[2]
+            if reached > best[end]:
+                best[end], back[end] = reached, found
+        out = []
+        while n:
+            size, piece, _ = back[n]
+            out.append(piece)
+            n -= size
+        out.reverse()
+        return out
+
+    def _word(self, word: str) -> list[int]:
+        """The ids of a word that isn't in the young memo."""
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._covered(word) if len(word) <= 64 and self.alone.issuperset(word) else self.viterbi(word)
+        if len(word) <= 32:
+            if len(self.young) >= self.half:
+                self.young, self.old = {}, self.young
+            self.young[word] = ids
+        return ids
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -118,16 +151,10 @@ class Codec:
         marked = MARK + text.replace(" ", MARK)
         if not self.by_word:
             return self.viterbi(marked)
-        out, memo = [], self.memo
+        out: list[int] = []
         for word in _WORDS.findall(marked):
-            ids = memo.get(word)
-            if ids is None:
-                ids = self.viterbi(word)
-                if len(word) <= 32:
-                    if len(memo) >= self.memo_words:
-                        memo.clear()
-                    memo[word] = ids
-            out += ids
+            ids = self.young.get(word)
+            out += self._word(word) if ids is None else ids
         return out
 
     def _encode_marks(self, text: str) -> list[int]:
@@ -152,6 +179,18 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
+_CODECS: dict[bytes, Codec] = {}
+
+
+def _codec(vocabulary: Vocabulary) -> Codec:
+    """This worker's codec, kept from task to task; one vocabulary at a time."""
+    key = hashlib.md5(repr((vocabulary.pieces, vocabulary.byte_ids)).encode()).digest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(vocabulary)
+    return _CODECS[key]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, ids, n_tokens, text_crc32.
 
@@ -161,17 +200,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     vocabulary = vocabulary or Vocabulary.load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
+        codec = _codec(vocabulary)
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
+            for s in range(0, b.num_rows, 128):
+                part = b.slice(s, 128)
                 texts = part.column(1).to_pylist()
                 ids = [None if t is None else codec.encode(t) for t in texts]
                 crcs = [None if x is None else zlib.crc32(codec.decode(x).encode("utf-8")) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x or ()) for x in ids], pa.int32()), pa.array(crcs, pa.int64())], ["doc_id", "ids", "n_tokens", "text_crc32"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, text_crc32 long")
+    return over_texts(slim, run, "doc_id long, ids array<int>, n_tokens int, text_crc32 long")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -179,7 +218,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFram
     vocabulary = vocabulary or Vocabulary.load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
+        codec = _codec(vocabulary)
         for b in batches:
             texts = [None if x is None else codec.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
