@@ -8,7 +8,8 @@ raised until their mean recall reaches ``recall``.
 
 For the largest inner product, vectors get one more component that makes all lengths equal (0 for a
 query), so that the nearest centre by Euclidean distance is meant; scores use the original vectors.
-A leaf with more rows than ``leaf_block`` is searched in blocks.
+Leaves are searched in blocks of about ``block_rows`` rows of consecutive leaves (a larger leaf in several
+blocks), and a block returns at most k rows for each query that visits any of its leaves.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from verisect.llm.topk import _matrix, usable
 
 NEAREST, QUERY_EVERY = 20, 20
 RECALL, CALIBRATION_QUERIES, SAMPLE = 0.96, 200, 20_000
-BRANCHES, LEAF_ROWS, MAX_LEAVES, LEAF_BLOCK = 8, 400, 4096, 16_384
+BRANCHES, LEAF_ROWS, MAX_LEAVES, BLOCK_ROWS = 8, 400, 4096, 16_384
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -116,7 +117,7 @@ def _top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
                 yield int(i), int(ids[near[j]]), float(exact[j]), int(leaves[near[j]]) if leaves is not None else 0
 
 
-def search(vectors: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, recall: float = RECALL, sample: int = SAMPLE, calibration_queries: int = CALIBRATION_QUERIES, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS, max_leaves: int = MAX_LEAVES, leaf_block: int = LEAF_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, recall: float = RECALL, sample: int = SAMPLE, calibration_queries: int = CALIBRATION_QUERIES, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS, max_leaves: int = MAX_LEAVES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, by inner product.
 
     vectors: (vec_id, embedding). Queries are the rows whose vec_id is divisible by every, candidates all
@@ -152,27 +153,57 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, recal
     trial = sorted(queries.filter(draw("calibrate") < min(1.0, calibration_queries / max(1, asking))).collect())[: 2 * calibration_queries]
     visits = _calibrated(indexed, trial, matrix(trial), nodes, k, recall, dim, asked_row)
 
+    # one row per leaf, at most max_leaves and a few
+    sizes = {r.leaf: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+    first, parts, filled = {}, {}, 0
+    for leaf in range(sum(len(node) == 1 for node in nodes)):
+        parts[leaf] = max(1, math.ceil(sizes.get(leaf, 0) / block_rows))
+        first[leaf] = filled // block_rows
+        filled += sizes.get(leaf, 0)
+        if parts[leaf] > 1:  # a block of its own, and the next leaf begins another
+            first[leaf] = math.ceil((filled - sizes[leaf]) / block_rows)
+            filled = (first[leaf] + parts[leaf]) * block_rows
+    of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("leaf")]
+    part = F.pmod(F.xxhash64("vec_id", "v"), of(parts)).cast("int")
+    there = indexed.select("vec_id", "v", F.array("leaf").alias("leaves"), (of(first) + part).alias("block"), F.lit(False).alias("asks"))
+
     def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = [best_bins(q, nodes, visits) for q in asked_row(_matrix(b.column(1), dim))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bins, pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
-
-    bins = queries.mapInArrow(to_bins, "vec_id long, v array<double>, leaves array<int>")
-    # one row per leaf, at most max_leaves and a few
-    full = {r.leaf: math.ceil(r["count"] / leaf_block) for r in indexed.groupBy("leaf").count().filter(F.col("count") > leaf_block).collect()}
-    blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in full.items() for x in kv])[F.col("leaf")], F.lit(1)) if full else F.lit(1)
-    there = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), blocks).cast("int")).withColumn("asks", F.lit(False))
-    asked = bins.select("vec_id", "v", F.explode("leaves").alias("leaf")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asks", F.lit(True))
-    order = ["vec_id", "v", "leaf", "block", "asks"]
+            rows, blocks, lists = [], [], []
+            for n, q in enumerate(asked_row(_matrix(b.column(1), dim))):
+                visited: dict[int, list[int]] = {}
+                for leaf in best_bins(q, nodes, visits):
+                    for block in range(first[leaf], first[leaf] + parts[leaf]):
+                        visited.setdefault(block, []).append(leaf)
+                rows += [n] * len(visited)
+                blocks += visited.keys()
+                lists += visited.values()
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lists, pa.list_(pa.int32())), pa.array(blocks, pa.int32())], ["vec_id", "v", "leaves", "block"])
+
+    asked = queries.mapInArrow(to_bins, "vec_id long, v array<double>, leaves array<int>, block int").withColumn("asks", F.lit(True))
+    every_leaf = len(first)
 
     def cell(part: pa.Table) -> pa.Table:
         ask, ids = part.column("asks").to_numpy(zero_copy_only=False), part.column("vec_id").to_numpy()
         v = part.column("v").combine_chunks()
         x = _matrix(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v, dim)
-        best = list(_top(x[ask], ids[ask], x[~ask], ids[~ask], k))
-        return pa.table({"query_id": pa.array([b[0] for b in best], pa.int64()), "vec_id": pa.array([b[1] for b in best], pa.int64()), "score": pa.array([b[2] for b in best], pa.float64())})
-
-    found = asked.select(order).unionByName(there.select(order)).groupBy("leaf", "block").applyInArrow(cell, "query_id long, vec_id long, score double")
+        lists = part.column("leaves").to_pylist()
+        row_leaf = np.array([lists[i][0] for i in np.flatnonzero(~ask)], np.int64)
+        visits = np.zeros((int(ask.sum()), every_leaf), bool)
+        for n, i in enumerate(np.flatnonzero(ask)):
+            visits[n, lists[i]] = True
+        rows, row_ids, queries, query_ids = x[~ask], ids[~ask], x[ask], ids[ask]
+        found = [best for leaf in np.unique(row_leaf) for best in _top(queries[visits[:, leaf]], query_ids[visits[:, leaf]], rows[row_leaf == leaf], row_ids[row_leaf == leaf], k)]
+        q, i, score = (np.array([f[n] for f in found], t) for n, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
+        order = np.lexsort((i, -score, q))
+        q, i, score = q[order], i[order], score[order]
+        starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
+        keep = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) < k
+        return pa.table({"query_id": q[keep], "vec_id": i[keep], "score": score[keep]})
+
+    order = ["vec_id", "v", "leaves", "block", "asks"]
+    found = asked.select(order).unionByName(there.select(order)).groupBy("block").applyInArrow(cell, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
