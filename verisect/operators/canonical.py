@@ -102,7 +102,9 @@ def canonicalize(variants: DataFrame) -> DataFrame:
 
     best = F.when(F.size("r") < F.size("l"), F.col("r")).otherwise(F.col("l"))
     out = out.unionByName(two.select(*keep, best.alias("pieces"))).unionByName(one.select(*keep, best.alias("pieces")))
-    return out.select(*keep, F.posexplode("pieces").alias("piece_no", "x")).select("rec_no", "piece_no", "chr", "x.*")
+    # outer: for the inner kind Spark derives a filter that repeats the whole expression many times over
+    each = out.select(*keep, F.posexplode_outer("pieces").alias("piece_no", "x")).filter("x is not null")
+    return each.select("rec_no", "piece_no", "chr", "x.*")
 
 
 def _haplotypes(gt_p: Column, gt_m: Column, make) -> Column:

@@ -29,9 +29,10 @@ def _level(size: Column) -> Column:
 
 def _binned(df: DataFrame, start: Column, end: Column, levels: int, tag: str) -> DataFrame:
     """Adds tag_level (own), tag_at (level of the copy), tag_bin, one row per bin."""
+    # outer: for the inner kind Spark derives a filter that repeats the expression; there is always a bin
     if levels == 1:
         touched = F.sequence(F.shiftright(F.least(start, end), LEVELS[0]), F.shiftright(F.greatest(start, end), LEVELS[0]))
-        return df.withColumn(f"{tag}_bin", F.explode(touched)).withColumns({f"{tag}_level": F.lit(0), f"{tag}_at": F.lit(0)})
+        return df.withColumn(f"{tag}_bin", F.explode_outer(touched)).withColumns({f"{tag}_level": F.lit(0), f"{tag}_at": F.lit(0)})
     own = F.least(_level(end - start + 1), F.lit(levels - 1))
 
     def cells(level: int) -> Column:
@@ -40,7 +41,7 @@ def _binned(df: DataFrame, start: Column, end: Column, levels: int, tag: str) ->
 
     none = F.array().cast("array<struct<at:int,bin:bigint>>")
     every = F.concat(*[F.when(own <= i, cells(i)).otherwise(none) for i in range(levels)])
-    out = df.withColumn(f"{tag}_level", own).withColumn(f"{tag}_cell", F.explode(every))
+    out = df.withColumn(f"{tag}_level", own).withColumn(f"{tag}_cell", F.explode_outer(every))
     return out.withColumns({f"{tag}_at": F.col(f"{tag}_cell.at"), f"{tag}_bin": F.col(f"{tag}_cell.bin")}).drop(f"{tag}_cell")
 
 
