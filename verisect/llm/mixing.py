@@ -59,7 +59,8 @@ def targets(weighted: DataFrame, max_repeats: int = 3) -> DataFrame:
         .withColumn("level", (F.col("total") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before")))
         .withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
     )
-    level = F.coalesce(F.min_by(F.when(F.col("fits"), F.col("level")), F.when(F.col("fits"), F.col("cap") / F.col("weight"))).over(everywhere), F.lit(float("inf")))
+    place = F.struct((F.col("cap") / F.col("weight")).alias("ratio"), F.col("source").isNull().alias("last"), F.col("source"))
+    level = F.coalesce(F.min_by("level", F.when(F.col("fits"), place)).over(everywhere), F.lit(float("inf")))
     return steps.withColumn("final", level).select("source", "source_size", F.least("cap", F.col("final") * F.col("weight")).alias("target"))
 
 
@@ -119,8 +120,7 @@ with sizes as (
 ), levels as (
   select *, (total - cap_before) / (weights - weight_before) as level from steps
 ), final_level as (
-  select min(level) as lvl from levels where level * weight <= cap
-    and cap / weight = (select min(cap / weight) from levels where level * weight <= cap)
+  select level as lvl from levels where level * weight <= cap order by cap / weight, source nulls last limit 1
 ), goals as (
   select source, source_size, least(cap, coalesce((select lvl from final_level), 'inf'::double) * weight) as target from levels
 ), rates as (
