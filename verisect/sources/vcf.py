@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
+from verisect.operators.storage import stored
 from verisect.sources.text import read_lines
 
 ALT = "struct<alt_idx:int,kind:string,sv_major:string,sv_minor:string,seq:string,alt_len:int,cn:int,bnd_chr:string,bnd_pos:bigint,bnd_left:boolean,bnd_forward:boolean,allele_type:string>"
@@ -104,7 +105,8 @@ def normalise(parsed: DataFrame) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, paths: str | list[str], sample: str | int | None = None, pass_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(variants, rejects) of VCF files, rejects with a reason. Gzip is told by the extension."""
+    """(variants, rejects) of VCF files, rejects with a reason. Gzip is told by the extension. The parsed
+    rows are written to the shared folder once: text can't be pruned, and file order is fixed there."""
     lines = read_lines(spark, paths)
     names = None
     if isinstance(sample, str):
@@ -113,6 +115,7 @@ def read_vcf(spark: SparkSession, paths: str | list[str], sample: str | int | No
     rows = normalise(parse_lines(lines, sample, names))
     if pass_only:
         rows = rows.filter(C.pass_only(F.col("filter")))
+    rows = stored(rows)
     return rows.filter("reject_reason is null").drop("reject_reason"), rows.filter("reject_reason is not null")
 
 
