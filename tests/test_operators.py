@@ -255,3 +255,13 @@ def test_reports(spark, tmp_path):
     assert rec["SNP"].sum_count["_TP"] == 1 and rec["All"].sum_count["_T"] == 2
     tables = {(r.size_class, r.overall_type): r for r in cohort.summary_tables(o).collect()}
     assert tables["all", "All"].t == 2 and tables["small", "SNP"].precision == 0.5
+
+
+def test_anchor_base_and_priority(spark):
+    chunks = spark.createDataFrame([("1", 1, "ACGT"), ("1", 5, "TTGA")], "contig string, start long, bases string")
+    v = spark.createDataFrame([(1, "1", 6)], "rec_no long, chr string, pos long")
+    assert intervals.add_anchor_base(v, chunks, 4).first().anchor == "T"
+    schema = "rec_no long, chr string, pos long, ref_len int, ins_len int, overall_type string, cn int"
+    a = spark.createDataFrame([(9, "1", 5, 1, 1, "SNP", 2)], schema)
+    b = spark.createDataFrame([(1, "1", 5, 1, 1, "SNP", 2), (2, "1", 7, 1, 1, "SNP", 2)], schema)
+    assert sorted((r.file_no, r.pos) for r in mapbuild.priority_union(a, b).collect()) == [(0, 5), (1, 7)]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verisect.operators import setops
+
 
 def drop_conflicts(variants: DataFrame, contig_lengths: DataFrame | None = None) -> DataFrame:
     """Variants that the first accepted ones leave room for, in order of (pos, rec_no): one that touches a
@@ -53,6 +55,11 @@ def drop_conflicts(variants: DataFrame, contig_lengths: DataFrame | None = None)
     return rows.join(alone.unionByName(kept), "rec_no", "left_semi")
 
 
+def priority_union(*frames: DataFrame, contig_lengths: DataFrame | None = None) -> DataFrame:
+    """All frames' variants without conflicts; at one place the earlier frame is accepted first."""
+    return drop_conflicts(setops.concat_files(*frames), contig_lengths)
+
+
 def build_block_map(variants: DataFrame, contig_lengths: DataFrame, suffix: str = "_paternal") -> DataFrame:
     """Block map (block_no, size, src_chr, src_loc, dst_chr, dst_loc, direction, feature, variant_id) from
     accepted variants: SEQ blocks in between, and for each variant its own blocks.

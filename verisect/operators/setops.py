@@ -29,6 +29,33 @@ def combine(frames: list[DataFrame], mode: str = "all", key: tuple[str, ...] = A
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def union_first(*frames: DataFrame, key: tuple[str, ...] = ALLELE) -> DataFrame:
+    """Distinct by key; the first frame wins."""
+    return combine(list(frames), "first", key)
+
+
+def only_once(*frames: DataFrame, key: tuple[str, ...] = ALLELE) -> DataFrame:
+    """Rows whose key occurs once over all frames; repeats within a frame count too."""
+    return combine(list(frames), "unique", key)
+
+
+def concat_files(*frames: DataFrame) -> DataFrame:
+    """Files one after the other: rec_no goes on over the frames, in their order."""
+    return union_all(*frames).withColumn("rec_no", F.shiftleft(F.col("file_no").cast("long"), 40) + F.col("rec_no"))
+
+
+def chr_in(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.filter(F.col("chr").isin(*names))
+
+
+def on_chr(df: DataFrame, name: str) -> DataFrame:
+    return df.filter(F.col("chr") == name)
+
+
+def len_between(df: DataFrame, lo: int, hi: int, least: str = "min_len", most: str = "max_len") -> DataFrame:
+    return df.filter((F.col(most) <= hi) & (F.col(least) >= lo))
+
+
 def except_keys(a: DataFrame, b: DataFrame, key: tuple[str, ...] = ALLELE) -> DataFrame:
     """Rows of a whose key isn't in b."""
     return a.join(b.select(*key).distinct(), list(key), "left_anti")

@@ -458,6 +458,41 @@ def merge_augmented(spark, d):
     return count("TP").unionByName(count("T")).unionByName(count("FN")).unionByName(count("FP"))
 
 
+@register("only_once", _sql("truth calls", "select chr, pos, overall_type, alt from both_ group by 1, 2, 3, 4 having count(*)=1", _BOTH))
+def only_once(spark, d):
+    return setops.only_once(*_keyed(spark, d), key=_KEY).select(*_KEY)
+
+
+@register("except_keys", _sql("truth calls", "select t.rec_no from truth t where not exists (select 1 from calls c where c.chr=t.chr and c.pos=t.pos and c.overall_type=t.overall_type and c.alt=t.alt)"))
+def except_keys(spark, d):
+    return setops.except_keys(*_keyed(spark, d), _KEY).select("rec_no")
+
+
+@register("concat_files", _sql("truth calls", "select file_no, count(*) as n, cast(sum(file_no*1099511627776 + rec_no) as bigint) as ids from both_ group by file_no", _BOTH))
+def concat_files(spark, d):
+    return setops.concat_files(*_keyed(spark, d)).groupBy("file_no").agg(F.count("*").alias("n"), F.sum("rec_no").alias("ids"))
+
+
+@register("filtered_variants", _sql("calls", "select rec_no from calls where (filter like '%PASS%' or filter='.') and chr in ('chr1','chr3') and len between 2 and 60 and not gt='0|0'"))
+def filtered_variants(spark, d):
+    rows = _alleles(view(spark, d, "calls")).filter(C.pass_only(F.col("filter")) & C.is_nonref(F.col("gt_p"), F.col("gt_m")))
+    return setops.len_between(setops.chr_in(rows, ["chr1", "chr3"]), 2, 60, "len", "len").select("rec_no")
+
+
+@register("traid_composites", _sql("truth", "select traid, pair, case when min(overall_type)=max(overall_type) then min(overall_type) else 'Complex' end as composite_type from (select rec_no, overall_type, 't'||cast(rec_no//30 as varchar) as traid, (row_number() over (partition by rec_no//30 order by rec_no)-1)//2 as pair from truth) group by traid, pair having count(*)=2"))
+def traid_composites(spark, d):
+    rows = view(spark, d, "truth").withColumn("traid", F.concat(F.lit("t"), F.floor(F.col("rec_no") / 30).cast("string")))
+    kind = F.when(F.col("overall_type") == "TandemDup", "Tandem_Duplication").otherwise(F.col("overall_type"))
+    pairs = setops.pair_by_traid(rows.select("rec_no", "traid"))
+    return canonical.compose_traid(rows.select("rec_no", F.array(kind).alias("types")), pairs).select("traid", "pair", "composite_type").distinct()
+
+
+@register("split_flag", _sql("truth", "select rec_no, coalesce(total>=100 and big>=total*0.8::double and n>1, false) as split from (select rec_no, sum(len) over (partition by rec_no//16) as total, max(len) over (partition by rec_no//16) as big, count(*) over (partition by rec_no//16) as n from truth)"))
+def split_flag(spark, d):
+    rows = view(spark, d, "truth").withColumn("whole", F.floor(F.col("rec_no") / 16))
+    return match.split_flag(rows, "whole", RATIO).select("rec_no", "split")
+
+
 @register("sample_exact", _sql("truth", "select rec_no from (select *, row_number() over (partition by overall_type order by rec_no*7919%10007, rec_no) as rn from truth) where rn <= case overall_type when 'SNP' then 500 when 'Insertion' then 200 when 'Deletion' then 100000 else 0 end"))
 def sample_exact(spark, d):
     return setops.sample_exact(view(spark, d, "truth"), {"SNP": 500, "Insertion": 200, "Deletion": 100000}, F.col("rec_no") * 7919 % 10007).select("rec_no")
