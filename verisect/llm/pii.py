@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisect.llm.common import stored, table
+from verisect.llm.common import over_texts, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 5, 3, 0.75, 0.95
@@ -133,7 +133,8 @@ def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kinds = [pa.string(), *[pa.int64()] * 5, pa.string(), _WINDOWS]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FOUND)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return over_texts(slim, run, _FOUND)
 
 
 def near_terms(found: DataFrame) -> DataFrame:
@@ -152,8 +153,9 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, window: int
     entities = near.groupBy("entity", "seen").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("one").alias("windows"))
     terms = pairs.select("term").distinct()
     words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), NOT_TERM)).alias("term"))
-    # counted before the join, so that a frequent word is one row of each task
-    counts = words.groupBy("term").agg(F.count("term").alias("everywhere")).join(terms, "term", "left_semi")
+    # counted before the join (an inner one: Spark would move a semi join below the count), so that a
+    # frequent word is one row of each task
+    counts = words.groupBy("term").agg(F.count("term").alias("everywhere")).join(terms, "term")
     total = found.agg(F.greatest(F.sum("n_words"), F.lit(1)).alias("n")).first()["n"]
     all_windows = max(1.0, total / (2 * window))
     rates = pairs.join(entities, "entity").join(counts, "term", "left")
@@ -211,7 +213,7 @@ def rewrite(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int,
 def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """docs with its own columns, and personal data in ``text`` replaced; a null text stays null.
 
-    If there is a column n_chars it is the new text's length.
+    If there is a column n_chars it is the new text's length (as it was for a null text).
     """
     found = stored(find(docs, window))
     near = stored(near_terms(found))
@@ -232,10 +234,11 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, gene
             cols = list(b.columns[: len(names)])
             cols[at] = pa.array(new, pa.string())
             if size is not None:
-                cols[size] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(b.schema.field(size).type)
+                lengths = [was if t is None else len(t) for t, was in zip(new, cols[size].to_pylist(), strict=True)]
+                cols[size] = pa.array(lengths, b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(run, kinds)
+    return over_texts(joined, run, kinds)
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
