@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisect.llm.common import stored, table
+from verisect.llm.common import over_texts, stored, table
 
 BITS = 15
 CHUNK = 1 << 20
@@ -142,7 +142,7 @@ def learn(docs: DataFrame, per_language: int = 1000, shards: int = 4, calibrate:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n), pa.int64())], ["bucket", "docs"])
 
     # at most 2**BITS + 1 rows; one partial count for each task and bucket
-    by_bucket = rows.select("text").mapInArrow(seen, "bucket int, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs")).toPandas()
+    by_bucket = over_texts(rows.select("text"), seen, "bucket int, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs")).toPandas()
     frequency = np.zeros(1 << BITS)
     n = int(by_bucket.loc[by_bucket.bucket == -1, "docs"].sum())
     known = by_bucket[by_bucket.bucket >= 0]
@@ -183,7 +183,7 @@ def learn(docs: DataFrame, per_language: int = 1000, shards: int = 4, calibrate:
                     total -= np.log(np.maximum(softmax(z[None, :] / grid[:, None])[:, number[x]], 1e-12))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid)), pa.int32()), pa.array(total)], ["i", "loss"])
 
-    held = sample.filter("calibrates").select("text", "lang").mapInArrow(losses, "i int, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).collect()
+    held = over_texts(sample.filter("calibrates").select("text", "lang"), losses, "i int, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).collect()
     if any(r.loss > 0 for r in held):
         model.temperature = float(grid[min(held, key=lambda r: (r.loss, r.i)).i])
     return model
@@ -201,7 +201,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             said = [model.predict(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return over_texts(slim, run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.3) -> DataFrame:
@@ -214,7 +215,7 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.3) ->
             said = [model.predict(t.as_py()) for t in b.column(at)]
             yield b.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in said], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_texts(docs, run, docs.schema)
 
 
 def op9_langid(spark, sf_dir: str) -> DataFrame:

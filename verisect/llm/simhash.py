@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisect.llm.common import stored, table
+from verisect.llm.common import over_texts, stored, table
 
 SEED = 42
 CHUNK_BYTES = 1 << 20
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps], ["doc_id", "text_hash", "fp"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return over_texts(slim, run, "doc_id long, text_hash long, fp long")
 
 
 def _masks(radius: int) -> tuple[list[np.uint64], int]:
@@ -227,6 +227,7 @@ def links(fps: DataFrame, radius: int = 4, leaf_rows: int = 4096, sample_rows: i
 
     def compare(rows: pa.Table) -> pa.Table:
         shard = rows.column("shard")[0].as_py()
+        rows = rows.sort_by("fp")  # so that the root of a group is its smallest member
         x = rows.column("fp").to_numpy().view(np.uint64)
         home, side = rows.column("home").to_numpy(zero_copy_only=False), rows.column("side").to_numpy()
         forest, every = _Forest(len(x)), np.arange(len(x))
@@ -245,7 +246,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours, then the label of that label, and writes the
     labels to the shared folder; rounds end when no label changes.
     """
-    both = stored(edges.union(edges.select("v", "u")).filter("u <> v").distinct())
+    once = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    # what lies below a node is linked to the lowest there: the same groups with about an edge for each node
+    lowest = once.groupBy("u").agg(F.min("v").alias("low"))
+    slim = lowest.select("u", F.col("low").alias("v")).union(once.join(lowest, "u").filter("v <> low").select("v", "low"))
+    both = stored(slim.union(slim.select("v", "u")).distinct())
     labels = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("fp"), F.least("u", "v").alias("label")))
     while True:
         seen = both.join(labels, both.v == labels.fp).groupBy("u").agg(F.min("label").alias("near"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisect.llm.common import scratch_dir, stored, table
+from verisect.llm.common import over_texts, scratch_dir, stored, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VERSION = "byte-bpe-50k/1"
@@ -48,7 +48,7 @@ def count_tokens(docs: DataFrame, ranks: tuple[str, dict[bytes, int]] | None = N
             yield pa.RecordBatch.from_arrays([*b.columns[:3], n], ["doc_id", "source", "lang", "tokens"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")))
-    return slim.mapInArrow(run, "doc_id long, source string, lang string, tokens long")
+    return over_texts(slim, run, "doc_id long, source string, lang string, tokens long")
 
 
 def inserts(counted: DataFrame, version: str) -> DataFrame:
