@@ -61,7 +61,8 @@ def greedy_match(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of undirected edges (u, v): the least node that can be reached."""
-    both = stored(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    once = stored(edges.select("u", "v").distinct())  # both directions come from the same edges
+    both = stored(once.union(once.select("v", "u")).distinct())
     labels = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
     while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
