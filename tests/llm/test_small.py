@@ -225,6 +225,22 @@ def test_terms_that_reveal(spark, none):
     assert pii.detect(none).count() == 0 and pii.sanitise(none).count() == 0
 
 
+def marked_terms(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: [dict(rows)[r.doc_id][t.s : t.e] for t in r.terms or ()] for r in pii.detect(docs).collect()}
+
+
+def test_terms_of_entities_that_occur_once_or_twice(spark):
+    rng = random.Random(11)
+    rows = [(i, sentence(rng, 60)) for i in range(300)]
+    rows += [(400, f"{sentence(rng, 8)} zephyrine alpha7 one@corp.example.com {sentence(rng, 8)}")]
+    rows += [(401 + i, f"{sentence(rng, 8)} two@corp.example.com beta{i} Obelisk {sentence(rng, 8)}") for i in range(2)]
+    got = marked_terms(spark, rows)
+    assert "zephyrine" in got[400] and "alpha7" not in got[400]
+    assert "Obelisk" in got[401] and "Obelisk" in got[402]
+    assert not any(got[i] for i in range(300))
+
+
 def test_rewrite_overlaps():
     assert pii.rewrite("ab 1.2.3.4 cd", [(1, 3, 10)], [(0, 2, 0.8), (11, 13, 0.99)], 0.95) == "<TERM> <IP> "
 

@@ -2,17 +2,18 @@
 
 Patterns find the protected entities (e-mail addresses, IP addresses, card and phone numbers). Terms that
 stand near an entity can reveal it even when it is gone. How much a term t reveals of an entity e is
-measured over the corpus: with windows of ``window`` words on each side of an entity,
+measured over the corpus, by the documents that hold both. Of N documents n_e hold e, df_t hold t, and n_et
+hold both; with ``prior`` documents added that hold t and have e at its base rate p(e) = n_e / N,
 
-    disclosure(e, t) = log2(p(t | window of e) / p(t in any window)) / -log2(p(window of e))
+    p(e | t) = (n_et + prior * p(e)) / (df_t + prior),    disclosure(e, t) = log2(p(e | t) / p(e)) / -log2(p(e))
 
-which is pointwise mutual information as a share of what there is to know of e: 1 if t occurs nowhere
-else. Terms at or above ``generalise_at`` are generalised to their class where they stand in a window of
-e; those at or above ``remove_at`` are removed. At least ``support`` different windows of e must hold t,
-where windows with the same words count once, so that copies of a document add nothing.
+which is pointwise mutual information as a share of what there is to know of e, shrunk towards 0: the fewer
+documents speak for a term, the less it counts, but entities that occur once or twice are judged as well.
+Candidates are the terms that stand within ``window`` words of an entity anywhere. Terms at or above
+``generalise_at`` are generalised to their class; those at or above ``remove_at`` are removed.
 
-The counts cover the whole corpus: windows are joined with the disclosure table by (entity, term), term
-frequencies come from all words of all documents, restricted to terms that any entity's windows support.
+Pairs whose disclosure can't reach ``generalise_at`` even if all documents of the rarer of the two hold both
+are left out before documents are joined; this changes no result, and bounds the pairs of a frequent term.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verisect.llm.common import over_texts, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 5, 3, 0.75, 0.95
+WINDOW, PRIOR, GENERALISE_AT, REMOVE_AT = 5, 1.0, 0.75, 0.95
 #: Terms are maximal runs of other characters, in both engines.
 NOT_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Characters on each side of a span that are looked at for its window.
@@ -85,94 +87,111 @@ def _entity(kind: int, value: str) -> str:
     return hashlib.md5(f"{KINDS[kind]}:{plain}".encode()).hexdigest()
 
 
-def windows(text: str, spans: list[tuple[int, int, int]], window: int) -> list[dict]:
-    """For each span its entity, a hash of the words around it, and those words with their places."""
+def windows(text: str, spans: list[tuple[int, int, int]], window: int) -> tuple[list[dict], list[dict]]:
+    """For each span its entity and the terms around it; and each term of the text with its places
+    (start, end, start, end, ...) in windows."""
     taken = sorted((s, e) for _, s, e in spans)
     starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     free = lambda s, e: not (k := bisect_left(starts, e)) or ends[k - 1] <= s
-    out = []
+    places = np.fromiter((x for m in _TERM.finditer(text) if free(*m.span()) for x in m.span()), np.int32).reshape(-1, 2)
+    first, last = places[:, 0], places[:, 1]
+    is_term = lambda t: len(t) >= 3 and _WORDLIKE.search(t)
+    near, marked = [], set()
     for kind, start, end in spans:
-        words = []
-        for low, high, last in ((max(0, start - REACH), start, True), (end, min(len(text), end + REACH), False)):
-            near = [(m[0].lower(), m.start(), m.end()) for m in _TERM.finditer(text, low, high)]
-            if near and last and low and near[0][1] == low:
-                del near[0]  # cut by the reach
-            if near and not last and high < len(text) and near[-1][2] == high:
-                del near[-1]
-            near = [w for w in near if free(w[1], w[2])]
-            words += near[-window:] if last else near[:window]
-        terms = [w for w in words if len(w[0]) >= 3 and _WORDLIKE.search(w[0])]
-        seen = hashlib.md5("\0".join(w[0] for w in words).encode()).hexdigest()
-        if terms:
-            out.append({"entity": _entity(kind, text[start:end]), "seen": seen, "terms": [{"term": t, "s": s, "e": e} for t, s, e in terms]})
-    return out
+        before, after = int(np.searchsorted(last, start, "right")), int(np.searchsorted(first, end))
+        at = [i for i in (*range(max(0, before - window), before), *range(after, min(len(places), after + window))) if start - REACH < first[i] and last[i] < end + REACH]
+        terms = {i: t for i in at if is_term(t := text[first[i] : last[i]].lower())}
+        marked |= terms.keys()
+        near.append({"entity": _entity(kind, text[start:end]), "terms": sorted(set(terms.values()))})
+    every: dict[str, list[int]] = {}
+    for i, (s, e) in enumerate(places.tolist()):
+        if is_term(t := text[s:e].lower()):
+            at = every.setdefault(t, [])
+            if i in marked:
+                at += (s, e)
+    return near, [{"term": t, "at": at} for t, at in every.items()]
 
 
 def _named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-_WINDOWS = pa.list_(pa.struct([("entity", pa.string()), ("seen", pa.string()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())])))]))
-_FOUND = "doc_id long, key string, n_words long, n_email long, n_ip long, n_card long, n_phone long, base string, windows array<struct<entity:string,seen:string,terms:array<struct<term:string,s:int,e:int>>>>"
+_WINDOWS = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
+_TERMS = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32()))]))
+_FOUND = "doc_id long, key string, n_email long, n_ip long, n_card long, n_phone long, base string, windows array<struct<entity:string,terms:array<string>>>, terms array<struct<term:string,at:array<int>>>"
+#: Characters of texts with entities whose terms a worker holds at once.
+HELD = 1 << 20
 
 
 def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of docs (doc_id, text): counts, base spans, and the windows of the entities; key
-    (an MD5 of the text) tells texts apart where there are windows, else null."""
+    """One row per row of docs (doc_id, text): counts, base spans, and for a text with entities its windows
+    and terms; key (an MD5 of the text) tells texts with entities apart, else it is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [p.split(" ")[0] for p in _FOUND.split(", ")]
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string(), _WINDOWS, _TERMS]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for b in batches:
-            rows = []
-            for t in b.column(1).to_pylist():
+            rows, held = [], 0
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = t.as_py()
                 spans = base_spans(t)
-                near = windows(t, spans, window) if spans else []
+                near, terms = windows(t, spans, window) if spans else ([], [])
                 counts = [sum(k == i for k, _, _ in spans) for i in range(len(KINDS))]
-                rows.append((hashlib.md5(t.encode()).hexdigest() if near else None, len(t.split()) if t else 0, *counts, _named(spans), near))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.string(), *[pa.int64()] * 5, pa.string(), _WINDOWS]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+                rows.append((i, hashlib.md5(t.encode()).hexdigest() if spans else None, *counts, _named(spans), near, terms))
+                held += len(t) if spans else 0
+                if held > HELD:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return over_texts(slim, run, _FOUND)
 
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """(key, entity, seen, term, s, e): every term of every window, once per different text."""
-    once = found.filter(F.size("windows") > 0).select("key", F.explode("windows").alias("w")).select("key", "w.entity", "w.seen", F.explode("w.terms").alias("t"))
-    return once.select("key", "entity", "seen", "t.term", "t.s", "t.e").distinct()
+def entity_texts(found: DataFrame) -> DataFrame:
+    """(key, windows, terms) of every different text with entities."""
+    return found.filter("key is not null").select("key", "windows", "terms").dropDuplicates(["key"])
+
 
+def _disclosure(both: Column, entity_docs: Column, term_docs: Column, all_docs: int, prior: float) -> Column:
+    base = entity_docs / F.lit(float(all_docs))
+    given = (both + F.lit(prior) * base) / (term_docs + F.lit(prior))
+    return F.when(base < 1, F.least(1 - F.log2(given) / F.log2(base), F.lit(1.0)))
 
-def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, window: int = WINDOW, support: int = SUPPORT, at_least: float = GENERALISE_AT) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or above at_least."""
-    seen = near.groupBy("entity", "seen", "term").agg(F.lit(1).alias("one"))
-    pairs = stored(seen.groupBy("entity", "term").agg(F.count("one").alias("both")).filter(F.col("both") >= support))
-    empty = pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    if not pairs.limit(1).count():
-        return empty
-    entities = near.groupBy("entity", "seen").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("one").alias("windows"))
-    terms = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), NOT_TERM)).alias("term"))
+
+def disclosures(docs: DataFrame, texts: DataFrame, prior: float = PRIOR, at_least: float = GENERALISE_AT) -> DataFrame:
+    """(key, entity, term, at, disclosure): the pairs at or above at_least in each text that holds both."""
+    inside = texts.select("key", F.explode("windows").alias("w"))
+    holds = stored(inside.select("key", "w.entity").distinct())
+    entities = holds.groupBy("entity").agg(F.count("key").alias("entity_docs"))
+    near = stored(inside.select("key", "w.entity", F.explode("w.terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("key").alias("beside")))
     # counted before the join (an inner one: Spark would move a semi join below the count), so that a
     # frequent word is one row of each task
-    counts = words.groupBy("term").agg(F.count("term").alias("everywhere")).join(terms, "term")
-    total = found.agg(F.greatest(F.sum("n_words"), F.lit(1)).alias("n")).first()["n"]
-    all_windows = max(1.0, total / (2 * window))
-    rates = pairs.join(entities, "entity").join(counts, "term", "left")
-    inside = F.col("both") / F.col("windows")
-    anywhere = F.least(F.lit(1.0), F.greatest(F.coalesce("everywhere", F.lit(0)), F.col("both")) / all_windows)
-    known = F.log2(F.lit(all_windows) / F.least(F.col("windows"), F.lit(all_windows)))
-    share = F.when(known > 0, F.least(F.log2(inside / anywhere) / known, F.lit(1.0)))
-    return stored(rates.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= at_least))
-
-
-def term_spans(near: DataFrame, revealed: DataFrame) -> DataFrame:
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col("text").cast("string")), NOT_TERM))).alias("term"))
+    counts = words.groupBy("term").agg(F.count("term").alias("term_docs")).join(near.select("term").distinct(), "term")
+    all_docs = max(1, docs.filter("text is not null").count())
+    rates = near.join(entities, "entity").join(counts, "term", "left").withColumn("term_docs", F.greatest(F.coalesce("term_docs", F.lit(0)), F.col("beside")))
+    at_most = _disclosure(F.least("entity_docs", "term_docs"), F.col("entity_docs"), F.col("term_docs"), all_docs, prior)
+    pairs = stored(rates.filter(at_most >= at_least).select("entity", "term", "entity_docs", "term_docs"))
+    occurs = texts.select("key", F.explode("terms").alias("t")).select("key", "t.term", "t.at")
+    together = stored(occurs.join(pairs.select("entity", "term"), "term").join(holds, ["key", "entity"]).select("key", "entity", "term", "at"))
+    both = together.groupBy("entity", "term").agg(F.count("key").alias("both")).join(pairs, ["entity", "term"])
+    shown = _disclosure(F.col("both"), F.col("entity_docs"), F.greatest("term_docs", "both"), all_docs, prior)
+    return together.join(both.select("entity", "term", shown.alias("disclosure")).filter(F.col("disclosure") >= at_least), ["entity", "term"])
+
+
+def term_spans(revealed: DataFrame) -> DataFrame:
     """(key, terms): for each text with revealing terms, array<struct<s, e, disclosure>> in order."""
-    hits = near.join(revealed, ["entity", "term"]).groupBy("key", "s", "e").agg(F.max("disclosure").alias("disclosure"))
-    return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "disclosure"))).alias("terms"))
+    pairs = F.sequence(F.lit(0), F.size("at") - 2, F.lit(2))
+    places = F.transform(pairs, lambda i: F.struct(F.get("at", i).alias("s"), F.get("at", i + 1).alias("e")))
+    hits = revealed.filter(F.size("at") > 0).groupBy("key", "term").agg(F.first("at").alias("at"), F.max("disclosure").alias("disclosure"))
+    hits = hits.select("key", "disclosure", F.explode(places).alias("p"))
+    return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p.s", "p.e", "disclosure"))).alias("terms"))
 
 
-def detect(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def detect(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base, terms.
 
     base: the patterns' spans as kind:start:end; terms: the revealing terms (null if none). Null and
@@ -180,11 +199,10 @@ def detect(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, genera
     result, null ids keep their rows, other columns are dropped, an empty table gives an empty result.
     """
     found = stored(find(docs, window))
-    near = stored(near_terms(found))
-    revealed = disclosures(docs, found, near, window, support, generalise_at)
-    slim = found.drop("windows", "n_words")
+    revealed = disclosures(docs, stored(entity_texts(found)), prior, generalise_at)
+    slim = found.drop("windows", "terms")
     plain = slim.filter("key is null").withColumn("terms", F.lit(None).cast("array<struct<s:int,e:int,disclosure:double>>"))
-    return slim.filter("key is not null").join(term_spans(near, revealed), "key", "left").unionByName(plain).drop("key")
+    return slim.filter("key is not null").join(term_spans(revealed), "key", "left").unionByName(plain).drop("key")
 
 
 #: What stands for an entity of each kind in a sanitised text.
@@ -210,15 +228,13 @@ def rewrite(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int,
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def sanitise(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """docs with its own columns, and personal data in ``text`` replaced; a null text stays null.
 
     If there is a column n_chars it is the new text's length (as it was for a null text).
     """
-    found = stored(find(docs, window))
-    near = stored(near_terms(found))
-    revealed = disclosures(docs, found, near, window, support, generalise_at)
-    per_text = stored(term_spans(near, revealed))
+    revealed = disclosures(docs, stored(entity_texts(find(docs, window))), prior, generalise_at)
+    per_text = stored(term_spans(revealed))
     names, kinds = docs.columns, docs.schema
     key = F.coalesce(F.md5(F.col("text").cast("binary")), F.xxhash64("doc_id").cast("string"))
     joined = docs.withColumn("__key", key).join(per_text.select(F.col("key").alias("__key"), F.col("terms").alias("__terms")), "__key", "left").select(*names, "__terms")
