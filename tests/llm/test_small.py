@@ -241,6 +241,18 @@ def test_terms_of_entities_that_occur_once_or_twice(spark):
     assert not any(got[i] for i in range(300))
 
 
+def test_terms_are_marked_in_the_whole_text(spark):
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, 60)) for i in range(300)]
+    rows += [(400, f"Zephyrine wrote.\n\n{sentence(rng, 40)} Zephyrine alpha1 one@corp.example.com beta1 {sentence(rng, 40)}\n\nzephyrine")]
+    rows += [(401, f"{sentence(rng, 8)} Obelisk {'- ' * 900} two@corp.example.com"), (402, "Obelisks"), (403, f"three@corp.example.com {'4.3.2.1, ' * 200} Quagmire {sentence(rng, 20)}")]
+    got = marked_terms(spark, rows)
+    assert [t for t in got[400] if t.lower() == "zephyrine"] == ["Zephyrine", "Zephyrine", "zephyrine"]
+    assert "Obelisk" in got[401] and got[402] == [] and "Quagmire" in got[403]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not any("zephyrine" in r.text.lower() for r in pii.sanitise(docs).collect())
+
+
 def test_rewrite_overlaps():
     assert pii.rewrite("ab 1.2.3.4 cd", [(1, 3, 10)], [(0, 2, 0.8), (11, 13, 0.99)], 0.95) == "<TERM> <IP> "
 

@@ -10,7 +10,8 @@ hold both; with ``prior`` documents added that hold t and have e at its base rat
 which is pointwise mutual information as a share of what there is to know of e, shrunk towards 0: the fewer
 documents speak for a term, the less it counts, but entities that occur once or twice are judged as well.
 Candidates are the terms that stand within ``window`` words of an entity anywhere. Terms at or above
-``generalise_at`` are generalised to their class; those at or above ``remove_at`` are removed.
+``generalise_at`` are generalised to their class; those at or above ``remove_at`` are removed, at every
+place in the documents that hold e.
 
 Pairs whose disclosure can't reach ``generalise_at`` even if all documents of the rarer of the two hold both
 are left out before documents are joined; this changes no result, and bounds the pairs of a frequent term.
@@ -35,8 +36,6 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, PRIOR, GENERALISE_AT, REMOVE_AT = 5, 1.0, 0.75, 0.95
 #: Terms are maximal runs of other characters, in both engines.
 NOT_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Characters on each side of a span that are looked at for its window.
-REACH = 400
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,27 +87,24 @@ def _entity(kind: int, value: str) -> str:
 
 
 def windows(text: str, spans: list[tuple[int, int, int]], window: int) -> tuple[list[dict], list[dict]]:
-    """For each span its entity and the terms around it; and each term of the text with its places
-    (start, end, start, end, ...) in windows."""
+    """For each span its entity and the terms among the window words next to it on each side, however far
+    away they are; and each term of the text with all its places (start, end, start, end, ...)."""
     taken = sorted((s, e) for _, s, e in spans)
     starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     free = lambda s, e: not (k := bisect_left(starts, e)) or ends[k - 1] <= s
     places = np.fromiter((x for m in _TERM.finditer(text) if free(*m.span()) for x in m.span()), np.int32).reshape(-1, 2)
     first, last = places[:, 0], places[:, 1]
     is_term = lambda t: len(t) >= 3 and _WORDLIKE.search(t)
-    near, marked = [], set()
+    near = []
     for kind, start, end in spans:
         before, after = int(np.searchsorted(last, start, "right")), int(np.searchsorted(first, end))
-        at = [i for i in (*range(max(0, before - window), before), *range(after, min(len(places), after + window))) if start - REACH < first[i] and last[i] < end + REACH]
-        terms = {i: t for i in at if is_term(t := text[first[i] : last[i]].lower())}
-        marked |= terms.keys()
-        near.append({"entity": _entity(kind, text[start:end]), "terms": sorted(set(terms.values()))})
+        at = [i for i in (*range(max(0, before - window), before), *range(after, min(len(places), after + window)))]
+        terms = {t for i in at if is_term(t := text[first[i] : last[i]].lower())}
+        near.append({"entity": _entity(kind, text[start:end]), "terms": sorted(terms)})
     every: dict[str, list[int]] = {}
-    for i, (s, e) in enumerate(places.tolist()):
+    for s, e in places.tolist():
         if is_term(t := text[s:e].lower()):
-            at = every.setdefault(t, [])
-            if i in marked:
-                at += (s, e)
+            every.setdefault(t, []).extend((s, e))
     return near, [{"term": t, "at": at} for t, at in every.items()]
 
 
@@ -186,7 +182,7 @@ def term_spans(revealed: DataFrame) -> DataFrame:
     """(key, terms): for each text with revealing terms, array<struct<s, e, disclosure>> in order."""
     pairs = F.sequence(F.lit(0), F.size("at") - 2, F.lit(2))
     places = F.transform(pairs, lambda i: F.struct(F.get("at", i).alias("s"), F.get("at", i + 1).alias("e")))
-    hits = revealed.filter(F.size("at") > 0).groupBy("key", "term").agg(F.first("at").alias("at"), F.max("disclosure").alias("disclosure"))
+    hits = revealed.groupBy("key", "term").agg(F.first("at").alias("at"), F.max("disclosure").alias("disclosure"))
     hits = hits.select("key", "disclosure", F.explode(places).alias("p"))
     return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p.s", "p.e", "disclosure"))).alias("terms"))
 
