@@ -253,6 +253,18 @@ def test_terms_are_marked_in_the_whole_text(spark):
     assert not any("zephyrine" in r.text.lower() for r in pii.sanitise(docs).collect())
 
 
+def test_copies_hide_no_terms(spark):
+    rng = random.Random(13)
+    rows = [(i, sentence(rng, 60)) for i in range(300)]
+    rows += [(400 + i, f"{sentence(rng, 8)} Quixotic {WORDS[i]} me@corp.example.com {sentence(rng, 8)}") for i in range(3)]
+    rows += [(500 + i, rows[-1][1]) for i in range(400)]
+    got = marked_terms(spark, rows)
+    assert all("Quixotic" in got[i] for i in (400, 401, 402, 500, 899))
+    docs = spark.createDataFrame([*rows, (None, None), (None, "")], "doc_id long, text string")
+    counts, n = pii.term_documents(docs)
+    assert n == 304 and counts.filter("term = 'quixotic'").first()["term_docs"] == 3
+
+
 def test_rewrite_overlaps():
     assert pii.rewrite("ab 1.2.3.4 cd", [(1, 3, 10)], [(0, 2, 0.8), (11, 13, 0.99)], 0.95) == "<TERM> <IP> "
 

@@ -2,7 +2,8 @@
 
 Patterns find the protected entities (e-mail addresses, IP addresses, card and phone numbers). Terms that
 stand near an entity can reveal it even when it is gone. How much a term t reveals of an entity e is
-measured over the corpus, by the documents that hold both. Of N documents n_e hold e, df_t hold t, and n_et
+measured over the corpus, by the documents that hold both, where documents with the same text count once in
+all numbers, so that copies add nothing. Of N documents n_e hold e, df_t hold t, and n_et
 hold both; with ``prior`` documents added that hold t and have e at its base rate p(e) = n_e / N,
 
     p(e | t) = (n_et + prior * p(e)) / (df_t + prior),    disclosure(e, t) = log2(p(e | t) / p(e)) / -log2(p(e))
@@ -151,6 +152,20 @@ def entity_texts(found: DataFrame) -> DataFrame:
     return found.filter("key is not null").select("key", "windows", "terms").dropDuplicates(["key"])
 
 
+def term_documents(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(term, term_docs): in how many different texts of docs each term is; and how many texts there are.
+
+    Every row counts 1; of a text that n rows hold, one row more counts 1 - n. So only texts with copies
+    are brought together.
+    """
+    rows = docs.filter("text is not null").select(F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text"))
+    sizes = stored(rows.groupBy("hash").agg(F.count("hash").alias("n")))
+    again = sizes.filter("n > 1")
+    parts = rows.select("text", F.lit(1).cast("long").alias("times")).unionByName(rows.join(again, "hash").dropDuplicates(["hash"]).select("text", (1 - F.col("n")).alias("times")))
+    words = parts.select("times", F.explode(F.array_distinct(F.split(F.lower("text"), NOT_TERM))).alias("term"))
+    return words.groupBy("term").agg(F.sum("times").alias("term_docs")), max(1, sizes.count())
+
+
 def _disclosure(both: Column, entity_docs: Column, term_docs: Column, all_docs: int, prior: float) -> Column:
     base = entity_docs / F.lit(float(all_docs))
     given = (both + F.lit(prior) * base) / (term_docs + F.lit(prior))
@@ -165,9 +180,8 @@ def disclosures(docs: DataFrame, texts: DataFrame, prior: float = PRIOR, at_leas
     near = stored(inside.select("key", "w.entity", F.explode("w.terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("key").alias("beside")))
     # counted before the join (an inner one: Spark would move a semi join below the count), so that a
     # frequent word is one row of each task
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col("text").cast("string")), NOT_TERM))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("term").alias("term_docs")).join(near.select("term").distinct(), "term")
-    all_docs = max(1, docs.filter("text is not null").count())
+    counts, all_docs = term_documents(docs)
+    counts = counts.join(near.select("term").distinct(), "term")
     rates = near.join(entities, "entity").join(counts, "term", "left").withColumn("term_docs", F.greatest(F.coalesce("term_docs", F.lit(0)), F.col("beside")))
     at_most = _disclosure(F.least("entity_docs", "term_docs"), F.col("entity_docs"), F.col("term_docs"), all_docs, prior)
     pairs = stored(rates.filter(at_most >= at_least).select("entity", "term", "entity_docs", "term_docs"))
