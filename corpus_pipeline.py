@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisect.llm import langid, mixing, pii, sentencepiece, simhash
+from verisect.llm import langid, mixing, neardup, pii, sentencepiece
 from verisect.llm.common import stored
 
 #: Near duplicates of this pipeline: five-word shingles. At a similarity (Jaccard) of 0.8 fingerprints of
-#: 64 bits differ in 9.7 bits on average (64 * acos(2 * 0.8 / 1.8) / pi).
-SHINGLE_WORDS, RADIUS = 5, 9
+#: 64 bits differ in 9.7 bits on average (64 * acos(2 * 0.8 / 1.8) / pi), so MinHash bands propose pairs
+#: as well; pairs are linked if their whole shingle sets have at least that similarity.
+SHINGLE_WORDS, RADIUS, SIMILARITY = 5, 9, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that of the smallest id."""
-    return simhash.keep_one(docs, shingle_words=SHINGLE_WORDS, radius=RADIUS)
+    return neardup.keep_one(docs, shingle_words=SHINGLE_WORDS, radius=RADIUS, similarity=SIMILARITY)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

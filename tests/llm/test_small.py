@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from verisect.llm import ann, langid, mixing, pii, sentencepiece, sharding, simhash, token_counts, topk, urls
+from verisect.llm import ann, langid, mixing, neardup, pii, sentencepiece, sharding, simhash, token_counts, topk, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -105,6 +105,36 @@ def test_keep_one(spark, odd, none):
     assert simhash.keep_one(none).count() == 0 and simhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_are_those_of_brute_force(spark):
+    rng = random.Random(14)
+    rows = [(i, sentence(rng, 6)) for i in range(400)]  # unrelated texts of two shingles
+    for k in range(60):  # one word changed of each: similarities from below 0.8 to 0.95
+        words = sentence(rng, rng.randrange(40, 160)).split()
+        rows.append((1000 + 2 * k, " ".join(words)))
+        words[rng.randrange(5, len(words) - 5)] = f"changed{k}"
+        rows.append((1001 + 2 * k, " ".join(words)))
+    base = sentence(rng, 90).split()
+    rows += [(2000 + k, " ".join([*base[:40], f"copy{k}", *base[41:]])) for k in range(30)]
+    docs = spark.createDataFrame([*rows, (None, None), (3000, " "), (3001, ""), rows[0], (None, rows[1][1])], "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = []
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                near.append((i, j))
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert 30 < sum(i < 2000 and j == i + 1 for i, j in near) < 60
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == sorted([*{find(i) for i in sets}, 3000])
+
+
 # -- SentencePiece -------------------------------------------------------------------------------------------
 
 

@@ -283,7 +283,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, **
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near duplicates: of each component, the row of the smallest
     (doc_id, text_hash), nulls last; of exact repeats of that row, one."""
-    found = near_duplicates(docs, **options)
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """keep_one, given the component_fp of every row (doc_id, text_hash) of docs."""
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash").isNull().alias("no_text"), F.col("text_hash"))
     rows = found.groupBy("component_fp").agg(F.min(key).alias("k"))
     kept = stored(rows.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")).distinct())
