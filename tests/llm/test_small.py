@@ -423,6 +423,15 @@ def test_language(spark, odd, none):
     assert langid.predict(odd, empty).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_symbols_beyond_the_basic_plane_are_no_letters(spark):
+    assert langid.counts("\U0001f600 12 \U0001f389!? \U0001d7d8") is None
+    assert (langid.counts("kalo \U0001f600 miru") == langid.counts("kalo 1 miru")).all()
+    assert langid.counts("\U00020000") is not None and langid.counts("\U0001d51e") is not None
+    learnt = spark.createDataFrame([(i, w, x) for i in range(40) for w, x in (("kalo miru", "aa"), ("schun grot", "bb"))], "doc_id long, text string, lang string")
+    said = langid.predict(spark.createDataFrame([(1, "\U0001f600 7!")], "doc_id long, text string"), langid.learn(learnt)).first()
+    assert said.lang_pred == "und" and said.score == 0
+
+
 def test_counts_by_pieces(monkeypatch):
     text = sentence(random.Random(9), 50) + "  Ärger\n\n" + sentence(random.Random(9), 50)
     whole = langid.counts(text)

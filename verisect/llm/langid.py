@@ -33,8 +33,8 @@ MAX_LANGUAGES = 400
 
 @cache
 def _letters() -> np.ndarray:
-    """Whether each code point up to 0xFFFF is a letter; beyond, all count as letters."""
-    return np.array([chr(i).isalpha() for i in range(0x10000)] + [True])
+    """Whether each code point is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def counts(text: str | None) -> np.ndarray | None:
@@ -44,7 +44,7 @@ def counts(text: str | None) -> np.ndarray | None:
     out, carry, any_letter = np.zeros(1 << BITS, np.int64), np.array([32], np.uint32), False
     for s in range(0, len(text), CHUNK):
         codes = np.frombuffer(text[s : s + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _letters()[np.minimum(codes, 0x10000)]
+        letter = _letters()[codes]
         any_letter = any_letter or bool(letter.any())
         codes = np.concatenate([carry, np.where(letter, codes, np.uint32(32))])
         codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
