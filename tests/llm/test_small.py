@@ -5,6 +5,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -334,15 +336,65 @@ def test_topk_prunes():
     x = np.concatenate([rng.integers(-50, 50, (4000, 4)), rng.integers(900, 1000, (40, 4))])
     pivots = topk.choose_pivots(x.astype(float), 6)
     d = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
-    best, seen = topk.best_of(x[4001], d[4001], 4001, x, np.arange(len(x)), d, (x.astype(float) ** 2).sum(axis=1), 10, True)
+    best, seen = topk.best_of(x[4001], d[4001], 4001, x, np.arange(len(x)), d.T, (x.astype(float) ** 2).sum(axis=1), 10, True)
     assert [s for s, _ in best] == sorted((int(s) for i, s in enumerate(x @ x[4001]) if i != 4001), reverse=True)[:10]
     assert seen < len(x)
 
 
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """20,000 vectors of length 1 around 200 centres."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, 16))[rng.integers(0, 200, 20_000)] + rng.normal(scale=0.15, size=(20_000, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    path = str(tmp_path_factory.mktemp("vectors") / "v.parquet")
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64())), "score": np.arange(len(x))}), path)
+    return spark.read.parquet(path), x
+
+
+def test_topk_eliminates_on_clusters(clustered):
+    df, x = clustered
+    whole = np.floor(1024 * x).astype(np.int64)
+    got: dict = {}
+    for r in topk.search(df, every=2000, row_block=500).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, len(x), 2000))
+    for q, found in got.items():
+        score = whole @ whole[q]
+        score[q] = -(1 << 62)
+        order = np.lexsort((np.arange(len(x)), -score))[:10]
+        assert sorted(found) == [(n + 1, int(i), int(score[i])) for n, i in enumerate(order)]
+    assert topk.evaluated_share(df, every=2000, row_block=500, pivots=64) < 0.1
+
+
+def test_ann_visits_few_leaves_of_clusters(clustered):
+    df, x = clustered
+    index = ann.Index(df, 200, 0.94, 20, 2000, 16, 100, 8, None)
+    assert index.leaves > 100 and index.visits < index.leaves / 2
+    got: dict = {}
+    for r in ann.search(df, every=200, sample=2000, calibration_queries=100, query_block=30, block_rows=700).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hit = 0
+    for q in range(0, len(x), 200):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20]) & {i for _, i, _ in got[q]})
+        assert [n for n, _, _ in sorted(got[q])] == list(range(1, 21))
+        assert all(abs(s - score[i]) < 1e-9 for _, i, s in got[q])
+    assert hit / (20 * len(got)) >= 0.9
+
+
+def test_ann_ties_go_to_smaller_ids(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(60)] + [(i, [0.5, 0.1]) for i in range(60, 100)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, recall=1.0, block_rows=7, query_block=2).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got if r.query_id == 40) == [(n + 1, n) for n in range(5)]
+    assert sorted((r["rank"], r.vec_id) for r in got if r.query_id == 0) == [(n, n) for n in range(1, 6)]
+
+
 def test_ann_recall(spark, vectors):
     df, rows = vectors
     ok = [(i, padded(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    got = ann.search(df, k=5, leaf_rows=20, block_rows=90, branches=4).collect()
+    got = ann.search(df, k=5, leaves=20, block_rows=90, branches=4).collect()
     hit = total = 0
     for q in {i for i, _ in ok if i % 20 == 0}:
         y = next(v for i, v in ok if i == q)

@@ -1,15 +1,19 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample; every row is then sent down it and belongs to the leaf it reaches.
-A query walks the tree with a priority queue: the node whose centre is nearest is opened next, and leaves
-come out in the order in which they are reached. How many leaves a query visits is calibrated: for a
-bounded set of calibration queries the true neighbours among all rows are computed, and the number is
-raised until their mean recall reaches ``recall``.
+The tree is fitted on a sample of at most about ``max(sample, sample_per_leaf * leaves)`` rows and has about
+sqrt(n) leaves; every row is then sent down it and belongs to the leaf it reaches. A query walks the tree
+with a priority queue: the node whose centre is nearest is opened next, and leaves come out in the order in
+which they are reached. How many leaves a query visits is calibrated: for a bounded set of calibration
+queries the true neighbours among all rows are computed, and the number is raised until their mean recall
+reaches ``recall``.
 
 For the largest inner product, vectors get one more component that makes all lengths equal (0 for a
 query), so that the nearest centre by Euclidean distance is meant; scores use the original vectors.
-Leaves are searched in blocks of about ``block_rows`` rows of consecutive leaves (a larger leaf in several
-blocks), and a block returns at most k rows for each query that visits any of its leaves.
+
+Leaves are searched in cells: about ``block_rows`` rows of consecutive leaves (a larger leaf is several
+blocks) against at most about ``query_block`` of the queries that visit any of these leaves. Rows of a block
+that many queries visit are copied to as many cells as that takes, and rows that none visits to no cell. In
+a cell a query is compared with the rows of its own leaves only, and takes at most k rows from it.
 """
 
 from __future__ import annotations
@@ -24,21 +28,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisect.llm.common import stored, table
-from verisect.llm.topk import _matrix, usable
+from verisect.llm.topk import _matrix, column, spread, usable
 
 NEAREST, QUERY_EVERY = 20, 20
-RECALL, CALIBRATION_QUERIES, SAMPLE = 0.96, 200, 20_000
-BRANCHES, LEAF_ROWS, MAX_LEAVES, BLOCK_ROWS = 8, 400, 4096, 16_384
+RECALL, CALIBRATION_QUERIES, SAMPLE, SAMPLE_PER_LEAF = 0.94, 400, 20_000, 16
+BRANCHES, BLOCK_ROWS, QUERY_BLOCK = 8, 8192, 2048
+#: Scores that a cell holds at once.
+HELD = 1 << 21
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = (x @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
-        size = np.bincount(near, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+        near = _nearest(x, centres)
+        centres = np.stack([x[near == i].mean(axis=0) if (near == i).any() else centres[i] for i in range(k)])
     return centres
 
 
@@ -52,11 +59,11 @@ def build(sample: np.ndarray, leaves: int, branches: int = BRANCHES, seed: int =
         nodes.append(())
         k = min(branches, max(1, round(share)))
         centres = np.unique(_kmeans(x, k, rng), axis=0) if k > 1 and len(x) >= 2 * k else x[:0]
-        if len(centres) < 2:
+        near = _nearest(x, centres) if len(centres) > 1 else np.zeros(len(x), int)
+        if not np.ptp(near) if len(near) else True:  # nothing to tell rows apart
             nodes[at] = (made,)
             made += 1
             return at
-        near = (x @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
         nodes[at] = (centres, [grow(x[near == i], share * (near == i).mean()) for i in range(len(centres))])
         return at
 
@@ -64,6 +71,10 @@ def build(sample: np.ndarray, leaves: int, branches: int = BRANCHES, seed: int =
     return nodes
 
 
+def leaf_count(nodes: list[tuple]) -> int:
+    return sum(len(node) == 1 for node in nodes)
+
+
 def home(x: np.ndarray, nodes: list[tuple]) -> np.ndarray:
     """The leaf of each row: always to the nearest centre."""
     out, todo = np.zeros(len(x), np.int32), [(0, np.arange(len(x)))]
@@ -72,9 +83,8 @@ def home(x: np.ndarray, nodes: list[tuple]) -> np.ndarray:
         if len(nodes[at]) == 1:
             out[rows] = nodes[at][0]
         elif len(rows):
-            centres, children = nodes[at]
-            near = (x[rows] @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
-            todo += [(c, rows[near == i]) for i, c in enumerate(children)]
+            near = _nearest(x[rows], nodes[at][0])
+            todo += [(c, rows[near == i]) for i, c in enumerate(nodes[at][1])]
     return out
 
 
@@ -87,145 +97,224 @@ def best_bins(query: np.ndarray, nodes: list[tuple], visits: int) -> list[int]:
             out.append(nodes[at][0])
             continue
         centres, children = nodes[at]
-        for d, child in zip((centres * centres).sum(axis=1) - 2 * (centres @ query), children, strict=True):
-            heapq.heappush(queue, (float(d), child))
+        for d, child in zip(((centres * centres).sum(axis=1) - 2 * (centres @ query)).tolist(), children, strict=True):
+            heapq.heappush(queue, (d, child))
     return out
 
 
-def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the same order for any blocking."""
-    out = np.zeros((len(queries), len(rows)))
+def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of paired lines in double precision, summed in the same order everywhere."""
+    out = np.zeros(len(queries))
     for j in range(queries.shape[1]):
-        out += queries[:, j, None] * rows[None, :, j]
+        out += queries[:, j] * rows[:, j]
     return out
 
 
-def _top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, leaves: np.ndarray | None = None) -> Iterator[tuple[int, int, float, int]]:
-    """(query, row id, score, leaf) of the k best rows of each query, ties to smaller ids."""
-    step = max(1, (1 << 21) // max(1, len(rows)))
-    for s in range(0, len(queries), step):
-        rough = queries[s : s + step] @ rows.T
-        rough[query_ids[s : s + step, None] == ids[None, :]] = -np.inf
-        for q, i, line in zip(queries[s : s + step], query_ids[s : s + step], rough, strict=True):
-            if len(line) > k:
-                least = np.partition(line, len(line) - k)[len(line) - k]
-                near = np.flatnonzero(line >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else line > -np.inf)
-            else:
-                near = np.flatnonzero(line > -np.inf)
-            exact = _scores(q[None, :], rows[near])[0]
-            for j in np.lexsort((ids[near], -exact))[:k]:
-                yield int(i), int(ids[near[j]]), float(exact[j]), int(leaves[near[j]]) if leaves is not None else 0
-
-
-def search(vectors: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, recall: float = RECALL, sample: int = SAMPLE, calibration_queries: int = CALIBRATION_QUERIES, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS, max_leaves: int = MAX_LEAVES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def best(rough: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query line, row line, score) of the k best of each query, ties to smaller ids.
+
+    rough: scores up to rounding, -inf where a row is no candidate. What may be among the k best by rough
+    scores is scored exactly.
+    """
+    n = rough.shape[1]
+    least = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(rough), -np.inf)
+    with np.errstate(over="ignore"):
+        slack = 1e-13 * max(1, rows.shape[1]) * np.sqrt((queries * queries).sum(axis=1)) * np.sqrt((rows * rows).sum(axis=1).max(initial=0.0))
+    sure = np.isfinite(least) & np.isfinite(slack)
+    keep = rough >= np.where(sure, least - np.where(sure, slack, 0.0), -np.inf)[:, None]
+    keep &= rough != -np.inf
+    q, r = np.nonzero(keep)
+    score = np.concatenate([_exact(queries[q[s : s + 65_536]], rows[r[s : s + 65_536]]) for s in range(0, len(q), 65_536)] or [np.zeros(0)])
+    order = np.lexsort((ids[r], -score, q))
+    q, r, score = q[order], r[order], score[order]
+    first = np.searchsorted(q, np.arange(len(rough)))
+    top = np.arange(len(q)) - first[q] < k
+    return q[top], r[top], score[top]
+
+
+def _found(query_ids: np.ndarray, ids: np.ndarray, score: np.ndarray, **more: np.ndarray) -> pa.Table:
+    return pa.table({"query_id": pa.array(query_ids, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64()), **{name: pa.array(x) for name, x in more.items()}})
+
+
+def search(vectors: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, recall: float = RECALL, sample: int = SAMPLE, sample_per_leaf: int = SAMPLE_PER_LEAF, calibration_queries: int = CALIBRATION_QUERIES, branches: int = BRANCHES, leaves: int | None = None, block_rows: int = BLOCK_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, by inner product.
 
     vectors: (vec_id, embedding). Queries are the rows whose vec_id is divisible by every, candidates all
     rows with another vec_id; ties go to the smaller vec_id. Vectors that are null, zero (or empty) or hold
     null, NaN or infinite components take no part, nor do rows without a vec_id. Shorter vectors count as
-    padded with zeros. Repeated rows are each a candidate; a repeated query is asked once. An empty table
-    gives an empty result. sample bounds the rows on which the tree is fitted, calibration_queries (with
-    all rows as candidates) those that set the number of visits.
+    padded with zeros. Repeated rows are each a candidate; a repeated query is asked once. Other columns are
+    not looked at. An empty table gives an empty result. leaves: about sqrt(n) if None. sample and
+    sample_per_leaf bound the rows on which the tree is fitted, calibration_queries (with all rows as
+    candidates) those that set the number of visits.
     """
-    doubles = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"))
-    doubles = doubles.filter(F.col("vec_id").isNotNull() & usable(F.col("e")) & F.exists("e", lambda x: x != 0))
-    rows = stored(doubles.select("vec_id", F.col("e").cast("array<double>").alias("v")))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, dim, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1)), F.coalesce(F.max(square), F.lit(0.0))).first()
-    draw = lambda what: F.pmod(F.xxhash64(F.lit(what), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    matrix = lambda rs: _matrix(pa.array([r.v for r in rs], pa.list_(pa.float64())), dim)
-
-    def lifted(x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0.0))
-        return np.concatenate([x, np.where(rest > 1e-6 * math.sqrt(longest), rest, 0.0)[:, None]], axis=1)
-
-    drawn = sorted(rows.filter(draw("tree") < min(1.0, sample / max(1, n))).collect())[: 2 * sample]
-    nodes = build(lifted(matrix(drawn)), min(max_leaves, max(1, n // leaf_rows)), branches)
-    asked_row = lambda x: np.concatenate([x, np.zeros((len(x), 1))], axis=1)
-
-    def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home(lifted(_matrix(b.column(1), dim)), nodes))], ["vec_id", "v", "leaf"])
-
-    indexed = stored(rows.mapInArrow(to_leaf, "vec_id long, v array<double>, leaf int"))
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asking = queries.count()
-    trial = sorted(queries.filter(draw("calibrate") < min(1.0, calibration_queries / max(1, asking))).collect())[: 2 * calibration_queries]
-    visits = _calibrated(indexed, trial, matrix(trial), nodes, k, recall, dim, asked_row)
-
-    # one row per leaf, at most max_leaves and a few
-    sizes = {r.leaf: r["count"] for r in indexed.groupBy("leaf").count().collect()}
-    first, parts, filled = {}, {}, 0
-    for leaf in range(sum(len(node) == 1 for node in nodes)):
-        parts[leaf] = max(1, math.ceil(sizes.get(leaf, 0) / block_rows))
-        first[leaf] = filled // block_rows
-        filled += sizes.get(leaf, 0)
-        if parts[leaf] > 1:  # a block of its own, and the next leaf begins another
-            first[leaf] = math.ceil((filled - sizes[leaf]) / block_rows)
-            filled = (first[leaf] + parts[leaf]) * block_rows
-    of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("leaf")]
-    part = F.pmod(F.xxhash64("vec_id", "v"), of(parts)).cast("int")
-    there = indexed.select("vec_id", "v", F.array("leaf").alias("leaves"), (of(first) + part).alias("block"), F.lit(False).alias("asks"))
-
-    def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, blocks, lists = [], [], []
-            for n, q in enumerate(asked_row(_matrix(b.column(1), dim))):
-                visited: dict[int, list[int]] = {}
-                for leaf in best_bins(q, nodes, visits):
-                    for block in range(first[leaf], first[leaf] + parts[leaf]):
-                        visited.setdefault(block, []).append(leaf)
-                rows += [n] * len(visited)
-                blocks += visited.keys()
-                lists += visited.values()
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lists, pa.list_(pa.int32())), pa.array(blocks, pa.int32())], ["vec_id", "v", "leaves", "block"])
-
-    asked = queries.mapInArrow(to_bins, "vec_id long, v array<double>, leaves array<int>, block int").withColumn("asks", F.lit(True))
-    every_leaf = len(first)
-
-    def cell(part: pa.Table) -> pa.Table:
-        ask, ids = part.column("asks").to_numpy(zero_copy_only=False), part.column("vec_id").to_numpy()
-        v = part.column("v").combine_chunks()
-        x = _matrix(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v, dim)
-        lists = part.column("leaves").to_pylist()
-        row_leaf = np.array([lists[i][0] for i in np.flatnonzero(~ask)], np.int64)
-        visits = np.zeros((int(ask.sum()), every_leaf), bool)
-        for n, i in enumerate(np.flatnonzero(ask)):
-            visits[n, lists[i]] = True
-        rows, row_ids, queries, query_ids = x[~ask], ids[~ask], x[ask], ids[ask]
-        found = [best for leaf in np.unique(row_leaf) for best in _top(queries[visits[:, leaf]], query_ids[visits[:, leaf]], rows[row_leaf == leaf], row_ids[row_leaf == leaf], k)]
-        q, i, score = (np.array([f[n] for f in found], t) for n, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
-        order = np.lexsort((i, -score, q))
-        q, i, score = q[order], i[order], score[order]
-        starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
-        keep = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) < k
-        return pa.table({"query_id": q[keep], "vec_id": i[keep], "score": score[keep]})
-
-    order = ["vec_id", "v", "leaves", "block", "asks"]
-    found = asked.select(order).unionByName(there.select(order)).groupBy("block").applyInArrow(cell, "query_id long, vec_id long, score double")
+    index = Index(vectors, every, recall, k, sample, sample_per_leaf, calibration_queries, branches, leaves)
+    found = index.cells(block_rows, query_block)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _calibrated(indexed: DataFrame, trial: list, x: np.ndarray, nodes: list[tuple], k: int, recall: float, dim: int, asked_row) -> int:
-    """The fewest visits at which the trial queries' mean recall reaches ``recall``."""
-    leaves = sum(len(node) == 1 for node in nodes)
-    if not trial or leaves == 1:
-        return leaves
-    asked = np.array([r.vec_id for r in trial], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            best = list(_top(x, asked, _matrix(b.column(1), dim), b.column(0).to_numpy(), k, b.column(2).to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*best, strict=True) if best else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], ["query_id", "vec_id", "score", "leaf"])
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    # k rows for each trial query
-    true = indexed.mapInArrow(run, "query_id long, vec_id long, score double, leaf int").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "leaf").collect()
-    place = {int(i): {leaf: p for p, leaf in enumerate(best_bins(q, nodes, leaves))} for i, q in zip(asked, asked_row(x), strict=True)}
-    need = sorted(place[r.query_id][r.leaf] + 1 for r in true)
-    return need[min(len(need), math.ceil(recall * len(need))) - 1] if need else leaves
+class Index:
+    """The tree, every row's leaf, and the number of leaves that a query visits."""
+
+    def __init__(self, vectors: DataFrame, every: int, recall: float, k: int, sample: int, sample_per_leaf: int, calibration_queries: int, branches: int, leaves: int | None):
+        self.k = k
+        doubles = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"))
+        doubles = doubles.filter(F.col("vec_id").isNotNull() & usable(F.col("e")) & F.exists("e", lambda x: x != 0))
+        self.rows = rows = stored(doubles.select("vec_id", F.col("e").cast("array<double>").alias("v")))
+        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+        n, self.dim, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1)), F.coalesce(F.max(square), F.lit(0.0))).first()
+        dim = self.dim
+        draw = lambda what: F.pmod(F.xxhash64(F.lit(what), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
+
+        def lifted(x: np.ndarray) -> np.ndarray:
+            rest = np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0.0))
+            return np.concatenate([x, np.where(rest > 1e-6 * math.sqrt(longest), rest, 0.0)[:, None]], axis=1)
+
+        def taken(df: DataFrame, what: str, bound: int, among: int) -> tuple[np.ndarray, np.ndarray]:
+            """A hashed sample of about bound rows as (ids, vectors), in order of the ids."""
+            got = df.filter(draw(what) < min(1.0, bound / max(1, among))).select("vec_id", "v").toArrow().combine_chunks()
+            ids, x = got.column("vec_id").to_numpy(), _matrix(column(got, "v"), dim)
+            order = np.lexsort((*x.T[::-1], ids))[: 2 * bound]
+            return ids[order], x[order]
+
+        aim = leaves or max(1, math.isqrt(n))
+        bound = max(sample, sample_per_leaf * aim)
+        self.nodes = nodes = build(lifted(taken(rows, "tree", bound, n)[1]), aim, branches)
+        self.leaves = leaf_count(nodes)
+
+        def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home(lifted(_matrix(b.column(1), dim)), nodes))], ["vec_id", "v", "leaf"])
+
+        self.indexed = stored(rows.mapInArrow(to_leaf, "vec_id long, v array<double>, leaf int"))
+        self.queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+        self.visits = self._calibrated(*taken(self.queries, "calibrate", calibration_queries, self.queries.count()), recall)
+
+    def _calibrated(self, asked: np.ndarray, x: np.ndarray, recall: float) -> int:
+        """The fewest visits at which the trial queries' mean recall reaches ``recall``."""
+        if not len(asked) or self.leaves == 1:
+            return self.leaves
+        k, dim = self.k, self.dim
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows, ids, leaf = _matrix(b.column(1), dim), b.column(0).to_numpy(), b.column(2).to_numpy()
+                rough = x @ rows.T
+                rough[asked[:, None] == ids[None, :]] = -np.inf
+                q, r, score = best(rough, x, rows, ids, k)
+                yield from _found(asked[q], ids[r], score, leaf=leaf[r]).to_batches()
+
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        # k rows for each trial query
+        true = self.indexed.mapInArrow(run, "query_id long, vec_id long, score double, leaf int").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "leaf").collect()
+        place = {int(i): {leaf: p for p, leaf in enumerate(best_bins(np.append(q, 0.0), self.nodes, self.leaves))} for i, q in zip(asked, x, strict=True)}
+        need = sorted(place[r.query_id][r.leaf] + 1 for r in true)
+        return need[min(len(need), math.ceil(recall * len(need))) - 1] if need else self.leaves
+
+    def cells(self, block_rows: int, query_block: int) -> DataFrame:
+        """(query_id, vec_id, score): at most k rows of each cell for each of its queries."""
+        dim, k, nodes, visits, every_leaf = self.dim, self.k, self.nodes, self.visits, self.leaves
+        # one row per leaf, about sqrt(n)
+        sizes = np.zeros(every_leaf, np.int64)
+        for r in self.indexed.groupBy("leaf").count().collect():
+            sizes[r.leaf] = r["count"]
+        parts = np.maximum(1, -(-sizes // block_rows))
+        first, at, filled = np.zeros(every_leaf, np.int64), 0, 0
+        for leaf in range(every_leaf):
+            if filled and (parts[leaf] > 1 or filled + sizes[leaf] > block_rows):
+                at, filled = at + 1, 0
+            first[leaf] = at
+            filled += sizes[leaf]
+            if parts[leaf] > 1:
+                at, filled = at + int(parts[leaf]), 0
+        blocks = int((first + parts).max())
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.pad(_matrix(b.column(1), dim), ((0, 0), (0, 1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([best_bins(q, nodes, visits) for q in x], pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
+
+        walked = stored(self.queries.mapInArrow(walk, "vec_id long, v array<double>, leaves array<int>"))
+
+        def visited(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(line, block, leaf) of every visit, in order; a leaf of several parts is visited in each."""
+            leaf = lists.flatten().to_numpy(zero_copy_only=False)
+            line = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            times = parts[leaf]
+            start = np.repeat(np.cumsum(times) - times, times)
+            line, leaf, block = np.repeat(line, times), np.repeat(leaf, times), np.repeat(first[leaf], times) + np.arange(times.sum()) - start
+            order = np.lexsort((leaf, block, line))
+            return line[order], block[order], leaf[order]
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(blocks, np.int64)
+            for b in batches:
+                line, block, _ = visited(b.column(0))
+                total += np.bincount(np.unique(line * blocks + block) % blocks, minlength=blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0])], ["block", "n"])
+
+        copies = np.zeros(blocks, np.int64)
+        for r in walked.select("leaves").mapInArrow(asked, "block int, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():
+            copies[r.block] = -(-r.n // query_block)
+
+        names = ["block", "part", "asks", "vec_id", "v", "leaves"]
+        schema = "block int, part int, asks boolean, vec_id long, v array<double>, leaves array<int>"
+
+        def dealt(block: np.ndarray, part: np.ndarray, asks: bool, b: pa.RecordBatch, line: np.ndarray, leaves: pa.Array) -> pa.RecordBatch:
+            at = pa.array(line)
+            return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array(np.full(len(line), asks)), b.column(0).take(at), b.column(1).take(at), leaves], names)
+
+        def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for s in range(0, whole.num_rows, 256):
+                    b = whole.slice(s, 256)
+                    line, block, leaf = visited(b.column(2))
+                    new = np.flatnonzero(np.diff(line * blocks + block, prepend=-1))
+                    own, where = line[new], block[new]
+                    part = spread(b.column(0).to_numpy()[own], copies[where])
+                    yield dealt(where, part, True, b, own, pa.ListArray.from_arrays(pa.array(np.append(new, len(line)), pa.int32()), pa.array(leaf, pa.int32())))
+
+        def deal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for s in range(0, whole.num_rows, 1024):
+                    b = whole.slice(s, 1024)
+                    leaf = b.column(2).to_numpy()
+                    # repeats of a row are spread as well
+                    where = first[leaf] + spread(b.column(0).to_numpy() + np.arange(len(leaf)), parts[leaf])
+                    times = copies[where]
+                    line = np.repeat(np.arange(len(leaf)), times)
+                    part = np.arange(len(line)) - np.repeat(np.cumsum(times) - times, times)
+                    yield dealt(where[line], part, False, b, line, pa.ListArray.from_arrays(pa.array(np.arange(len(line) + 1), pa.int32()), pa.array(leaf[line], pa.int32())))
+
+        def cell(got: pa.Table) -> pa.Table:
+            got = got.combine_chunks()
+            asks, ids, x, lists = got.column("asks").to_numpy(zero_copy_only=False), got.column("vec_id").to_numpy(), _matrix(column(got, "v"), dim), column(got, "leaves")
+            flat, starts = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            leaf = flat[starts[:-1][~asks]]
+            order = np.lexsort((ids[~asks], leaf))
+            leaf, rows, row_ids = leaf[order], x[~asks][order], ids[~asks][order]
+            there, begins = np.unique(leaf, return_index=True)
+            ends = np.append(begins[1:], len(leaf))
+            asking = np.flatnonzero(asks)
+            sees = np.zeros((len(asking), every_leaf), bool)
+            sees[np.repeat(np.arange(len(asking)), (starts[1:] - starts[:-1])[asking]), flat[np.repeat(asks, np.diff(starts))]] = True
+            queries, query_ids, out = x[asks], ids[asks], []
+            step = max(1, HELD // max(1, len(rows)))
+            for s in range(0, len(queries), step):
+                part = queries[s : s + step]
+                rough = np.full((len(part), len(rows)), -np.inf)
+                for n, (a, z) in zip(there, zip(begins, ends, strict=True), strict=True):
+                    if len(mine := np.flatnonzero(sees[s : s + step, n])):
+                        rough[mine, a:z] = part[mine] @ rows[a:z].T
+                rough[query_ids[s : s + step, None] == row_ids[None, :]] = -np.inf
+                q, r, score = best(rough, part, rows, row_ids, k)
+                out.append(_found(query_ids[s : s + step][q], row_ids[r], score))
+            return pa.concat_tables(out) if out else _found(*np.zeros((3, 0)))
+
+        both = walked.mapInArrow(deal_queries, schema).unionByName(self.indexed.mapInArrow(deal_rows, schema))
+        # cells take time, not room: Spark must not put them together because they are small
+        tasks = max(1, min(int(copies.sum()), 8 * self.rows.sparkSession.sparkContext.defaultParallelism, 100_000))
+        return both.repartition(tasks, "block", "part").groupBy("block", "part").applyInArrow(cell, "query_id long, vec_id long, score double")
 
 
 def op5_ann(spark, sf_dir: str) -> DataFrame:
