@@ -32,7 +32,7 @@ from verisect.llm.topk import _matrix, column, spread, usable
 
 NEAREST, QUERY_EVERY = 20, 20
 RECALL, CALIBRATION_QUERIES, SAMPLE, SAMPLE_PER_LEAF = 0.94, 400, 20_000, 16
-BRANCHES, BLOCK_ROWS, QUERY_BLOCK = 8, 8192, 2048
+BRANCHES, BLOCK_ROWS, QUERY_BLOCK = 8, 4096, 2048
 #: Scores that a cell holds at once.
 HELD = 1 << 21
 
@@ -187,8 +187,11 @@ class Index:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home(lifted(_matrix(b.column(1), dim)), nodes))], ["vec_id", "v", "leaf"])
 
         self.indexed = stored(rows.mapInArrow(to_leaf, "vec_id long, v array<double>, leaf int"))
-        self.queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-        self.visits = self._calibrated(*taken(self.queries, "calibrate", calibration_queries, self.queries.count()), recall)
+        asking = rows.filter(F.col("vec_id") % every == 0)
+        among = asking.count()
+        # a walk takes time, not room: Spark must not put the few rows together
+        self.queries = asking.repartition(max(1, -(-among // 256)), "vec_id").dropDuplicates(["vec_id"])
+        self.visits = self._calibrated(*taken(self.queries, "calibrate", calibration_queries, among), recall)
 
     def _calibrated(self, asked: np.ndarray, x: np.ndarray, recall: float) -> int:
         """The fewest visits at which the trial queries' mean recall reaches ``recall``."""

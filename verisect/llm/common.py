@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, in every contract that counts or shingles words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,11 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    The folder is read from ``spark.checkpoint.dir``; where that is unset (tests, one machine), a
-    temporary folder is made and set as the checkpoint folder of the context.
+    The folder is read from ``spark.checkpoint.dir``; where that is unset on one machine (tests), a temporary
+    folder is made and set as the checkpoint folder of the context. On a cluster it must be set.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(base)
@@ -34,6 +37,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if more than one in so many rows has it, so at most so many keys are hot.
+HOT_KEYS = 1000
+
+
+def joined(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of found but ``n``; found has one row for each key, and n says how many of rows
+    have it. Hot keys, of which there can't be more than HOT_KEYS, are joined by broadcast, so their rows
+    stay where they are; found is read twice."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot, cold = found.filter(F.col("n") * HOT_KEYS > total).drop("n"), found.filter(F.col("n") * HOT_KEYS <= total).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
 #: Rows of text that go to a Python worker at once. Texts are long, so Spark's 10,000 would take much memory.
 TEXT_BATCH = 1000
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verisect.llm import simhash
-from verisect.llm.common import over_texts, stored
+from verisect.llm.common import joined, over_texts, stored
 
 BANDS, ROWS, PIECE = 30, 6, 4096
 _RNG = np.random.default_rng(3)
@@ -29,9 +29,13 @@ _PLUS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _MIX = _RNG.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The set of a text's n-word shingles as sorted hashes; empty for a text without words (or null)."""
-    parts = list(simhash._shingle_hashes((text or "").encode("utf-8").lower(), n))
+def hashes(text: str | None, n: int) -> list[np.ndarray]:
+    """The hashes of a text's n-word shingles, in pieces; none for a text without words (or null)."""
+    return list(simhash._shingle_hashes((text or "").encode("utf-8").lower(), n))
+
+
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The set of hashes, in order."""
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -54,9 +58,9 @@ def _marked(docs: DataFrame, n: int) -> DataFrame:
         for b in batches:
             fps, marks, nodes = [], [], []
             for t, h in zip(b.column(2), b.column(1).to_pylist(), strict=True):
-                t = t.as_py()
-                found = shingles(t, n)
-                fps.append(simhash.fingerprint(t, n))
+                parts = hashes(t.as_py(), n)
+                found = distinct(parts)
+                fps.append(simhash.of_hashes(parts))
                 marks.append(bands(found) if len(found) else [])
                 nodes.append(h if len(found) else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "fp", "bands"])
@@ -72,7 +76,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 100):
                 part = b.slice(s, 100)
-                found = [shingles(t.as_py(), n).view(np.int64) for t in part.column(1)]
+                found = [distinct(hashes(t.as_py(), n)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -126,9 +130,11 @@ def components(docs: DataFrame, own: DataFrame, n: int, radius: int, similarity:
 def keep_one(docs: DataFrame, shingle_words: int, radius: int, similarity: float) -> DataFrame:
     """The rows of docs without near duplicates: of each component of texts linked at that similarity, the
     row of the smallest (doc_id, text_hash), nulls last; of exact repeats of that row, one. Texts without
-    words are duplicates of each other."""
+    words (or null) are duplicates of each other; very long texts are taken whole. Columns of docs with any
+    name stay; an empty table gives an empty result."""
     own = stored(_marked(docs, shingle_words))
     labels = components(docs, own, shingle_words, radius, similarity)
     rows = own.select("doc_id", "text_hash", "node")
-    found = rows.join(labels, rows.node == labels.fp, "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("component_fp"))
-    return simhash.keep_first(docs, stored(found))
+    sizes = rows.groupBy("node").agg(F.count("node").alias("n"))
+    found = stored(sizes.join(labels, sizes.node == labels.fp, "left").select("node", "n", F.coalesce("label", "node").alias("component_fp")))
+    return simhash.keep_first(docs, stored(joined(rows, found, "node").select("doc_id", "text_hash", "component_fp")))

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisect.llm.common import over_texts, stored, table
+from verisect.llm.common import joined, over_texts, stored, table
 
 SEED = 42
 CHUNK_BYTES = 1 << 20
+SAMPLE_PER_LEAF = 8
+#: Fingerprints that a task deals to shards, about; and where a shard's number holds its tree's.
+DEAL_ROWS, SHARD_BITS = 20_000, 40
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -58,10 +61,13 @@ def _shingle_hashes(data: bytes, n: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, n: int) -> int:
     """The SimHash as a signed 64-bit integer; 0 for a text without words (or null)."""
-    if not text:
-        return 0
+    return of_hashes(_shingle_hashes((text or "").encode("utf-8").lower(), n))  # bytes.lower touches A-Z only
+
+
+def of_hashes(pieces: Iterable[np.ndarray]) -> int:
+    """The SimHash of shingle hashes, a piece at a time."""
     counts, total = np.zeros(64, np.int64), 0
-    for hashes in _shingle_hashes(text.encode("utf-8").lower(), n):  # bytes.lower touches A-Z only
+    for hashes in pieces:
         for part in np.array_split(hashes, len(hashes) // 65536 + 1):
             bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts += bits.sum(axis=0, dtype=np.int64)
@@ -191,34 +197,38 @@ def _link(x: np.ndarray, own: np.ndarray, other: np.ndarray, mask: np.uint64, re
 def links(fps: DataFrame, radius: int = 4, leaf_rows: int = 4096, sample_rows: int = 8192, cell_rows: int = 60_000) -> DataFrame:
     """Spanning links (u, v) between distinct fingerprints ``fp`` that differ in at most radius bits.
 
-    sample_rows bounds the fingerprints that the driver sees to place vantage points (never more than a
-    quarter of all); leaf_rows is the aim for a shard, cell_rows the most that one task compares.
+    leaf_rows is the aim for a shard, cell_rows the most that one task compares. The driver places vantage
+    points by a sample of about sample_rows fingerprints, or SAMPLE_PER_LEAF for each shard if that is more
+    (8 bytes for 512 fingerprints at the default), and never more than a quarter of all.
     """
     spark = fps.sparkSession
     n = fps.count()
     masks, reach = _masks(radius)
-    depth = min(12, max(0, math.ceil(math.log2(max(1, n) / leaf_rows))))
+    depth = max(0, math.ceil(math.log2(max(1, n) / leaf_rows)))
     sample = np.zeros(0, np.uint64)
     if depth:
-        part = min(0.25, sample_rows / n)
-        got = fps.filter(F.pmod(F.xxhash64(F.lit("sample"), "fp"), F.lit(1 << 30)) < int(part * (1 << 30))).collect()
-        sample = np.array(sorted(r.fp for r in got), np.int64).view(np.uint64)
+        part = min(0.25, max(sample_rows, SAMPLE_PER_LEAF << depth) / n)
+        got = fps.select("fp").filter(F.pmod(F.xxhash64(F.lit("sample"), "fp"), F.lit(1 << 30)) < int(part * (1 << 30))).toArrow()
+        sample = np.sort(got.column("fp").to_numpy()).view(np.uint64)
     trees = [build_tree(sample, mask, reach, depth) for mask in masks]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k, (mask, nodes) in enumerate(zip(masks, trees, strict=True)):
-                for leaf, home, part in route(x, nodes, mask, reach):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k << 16 | leaf, np.int32)), pa.array(np.full(len(part), home)), pa.array(part.view(np.int64))], ["shard", "home", "fp"])
-
-    dealt = fps.select("fp").mapInArrow(deal, "shard int, home boolean, fp long")
-    # at most blocks x leaves rows, which the depth bounds
+                if visits := list(route(x, nodes, mask, reach)):
+                    sizes = [len(part) for _, _, part in visits]
+                    shard = np.repeat([k << SHARD_BITS | leaf for leaf, _, _ in visits], sizes)
+                    home = np.repeat([home for _, home, _ in visits], sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(home), pa.array(np.concatenate([part for _, _, part in visits]).view(np.int64))], ["shard", "home", "fp"])
+
+    dealt = stored(fps.select("fp").repartition(max(1, math.ceil(n / DEAL_ROWS))).mapInArrow(deal, "shard long, home boolean, fp long"))
+    # one row for each shard that is too full
     full = {r.shard: math.ceil(r["count"] / cell_rows) for r in dealt.groupBy("shard").count().filter(F.col("count") > cell_rows).collect()}
     dealt = dealt.withColumn("cell", F.lit(0)).withColumn("side", F.lit(0))
     if full:
         # row chunk c of g meets every chunk: cell (min, max), in which the rows of chunk min are side 0
-        grid = spark.createDataFrame(list(full.items()), "shard int, g int")
+        grid = spark.createDataFrame(list(full.items()), "shard long, g int")
         own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
         hot = dealt.select("shard", "home", "fp").join(F.broadcast(grid), "shard").withColumn("c", own)
         hot = hot.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -232,7 +242,7 @@ def links(fps: DataFrame, radius: int = 4, leaf_rows: int = 4096, sample_rows: i
         home, side = rows.column("home").to_numpy(zero_copy_only=False), rows.column("side").to_numpy()
         forest, every = _Forest(len(x)), np.arange(len(x))
         for a, b in ((0, 0),) if not side.any() else ((1, 2), (2, 1)):  # homes against all
-            _link(x, every[home & (side == a)], every[side == b], masks[shard >> 16], reach, radius, forest)
+            _link(x, every[home & (side == a)], every[side == b], masks[shard >> SHARD_BITS], reach, radius, forest)
         root = forest.roots(every)
         at = np.flatnonzero(root != every)
         return pa.table({"u": x[at].view(np.int64), "v": x[root[at]].view(np.int64)})
@@ -271,13 +281,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, **
     An empty table gives an empty result; other columns of docs are not looked at.
     """
     own = stored(fingerprints(docs, shingle_words))
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("fp").alias("n")))
     labels = components(links(distinct.select("fp"), radius, **search))
     inside = distinct.join(labels, "fp")
     least = inside.groupBy("label").agg(F.min("least").alias("component_id"))
     far = labels.join(least, "label").select("fp", "label", "component_id")
-    found = distinct.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("label", "fp").alias("component_fp"))
-    return own.join(found, "fp").select("doc_id", "text_hash", "fp", "component_id", "component_fp")
+    found = stored(distinct.join(far, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("label", "fp").alias("component_fp")))
+    return joined(own, found, "fp").select("doc_id", "text_hash", "fp", "component_id", "component_fp")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -291,14 +301,13 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash").isNull().alias("no_text"), F.col("text_hash"))
     rows = found.groupBy("component_fp").agg(F.min(key).alias("k"))
     kept = stored(rows.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")).distinct())
-    text_hash = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & text_hash.eqNullSafe(F.col("kept_hash"))
-    left = docs.join(kept, same, "left_semi")
-    twice = found.groupBy("doc_id", "text_hash").count().filter("count > 1").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("text_hash").eqNullSafe(F.col("kept_hash")), "left_semi").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash"))
-    twice = stored(twice)
+    doc_id, text_hash = docs["doc_id"].cast("long"), F.when(docs["text"].isNotNull(), F.xxhash64(docs["text"]))
+    left = docs.join(kept, doc_id.eqNullSafe(kept["kept_id"]) & text_hash.eqNullSafe(kept["kept_hash"]), "left_semi")
+    sizes = found.groupBy("doc_id", "text_hash").count().filter("count > 1")
+    twice = stored(sizes.join(kept, sizes["doc_id"].eqNullSafe(kept["kept_id"]) & sizes["text_hash"].eqNullSafe(kept["kept_hash"]), "left_semi").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")))
     if not twice.limit(1).count():
         return left
-    again = F.col("doc_id").cast("long").eqNullSafe(F.col("again_id")) & text_hash.eqNullSafe(F.col("again_hash"))
+    again = doc_id.eqNullSafe(twice["again_id"]) & text_hash.eqNullSafe(twice["again_hash"])
     return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
