@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -33,9 +34,10 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a task remembers at most, in two generations: when the young one is full it becomes the old
 #: one, and words found there are taken over, so frequent words stay.
-MEMO_WORDS = 240_000
+MEMO_WORDS = 400_000
 #: How much an uncovered character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
+_LEAST = float("-inf")
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -57,13 +59,21 @@ class Vocabulary:
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 byte_ids[int(piece[1:-1], 16)] = i
-                text_of[i] = bytes([int(piece[1:-1], 16)])
+                byte = int(piece[1:-1], 16)
+                text_of[i] = chr(byte) if byte < 0x80 else bytes([byte])  # no other character holds an ASCII byte
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 pieces.append((piece, i, model.get_score(i)))
                 text_of[i] = piece
         return cls(pieces, byte_ids, text_of)
 
 
+def _next_none(found: list, start: int) -> int:
+    try:
+        return found.index(None, start)
+    except ValueError:
+        return -1
+
+
 class Codec:
     """Encoder and decoder for one vocabulary; made once in each task."""
 
@@ -117,18 +127,19 @@ class Codec:
 
     def _covered(self, text: str) -> list[int]:
         """viterbi for a text of which each character is a piece: no character need be uncovered."""
+        # the last place is that before the text: its score is 0
         n = len(text)
-        best, back = [0.0] + [float("-inf")] * n, [(1, -1, 0.0)] * (n + 1)
+        best, back = [_LEAST] * n + [0.0], [None] * n
         for end, found in self.automaton.iter(text):
-            end += 1
-            reached = best[end - found[0]] + found[2]
-            if reached > best[end]:
-                best[end], back[end] = reached, found
-        out = []
-        while n:
-            size, piece, _ = back[n]
+            size, _, score = found
+            score += best[end - size]
+            if score > best[end]:
+                best[end], back[end] = score, found
+        out, at = [], n - 1
+        while at >= 0:
+            size, piece, _ = back[at]
             out.append(piece)
-            n -= size
+            at -= size
         out.reverse()
         return out
 
@@ -151,11 +162,14 @@ class Codec:
         marked = MARK + text.replace(" ", MARK)
         if not self.by_word:
             return self.viterbi(marked)
-        out: list[int] = []
-        for word in _WORDS.findall(marked):
-            ids = self.young.get(word)
-            out += self._word(word) if ids is None else ids
-        return out
+        words = _WORDS.findall(marked)
+        found = list(map(self.young.get, words))
+        if None in found:
+            at = -1
+            while (at := _next_none(found, at + 1)) >= 0:
+                # a word that came up before in this text is in the memo by now
+                found[at] = self.young.get(words[at]) or self._word(words[at])
+        return list(chain.from_iterable(found))
 
     def _encode_marks(self, text: str) -> list[int]:
         """Texts that hold the space mark itself: it becomes byte pieces."""
@@ -171,10 +185,10 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD, ids without a text nothing."""
         text_of = self.text_of
-        parts = [text_of.get(i, "") for i in ids]
         try:
-            text = "".join(parts).replace(MARK, " ")  # fails if there are byte pieces
-        except TypeError:
+            text = "".join(map(text_of.__getitem__, ids)).replace(MARK, " ")  # fails if there are byte pieces
+        except (TypeError, KeyError):
+            parts = [text_of.get(i, "") for i in ids]
             text = b"".join(p if isinstance(p, bytes) else p.replace(MARK, " ").encode("utf-8") for p in parts).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
