@@ -509,7 +509,16 @@ def test_rollup(spark, odd, tmp_path):
     roll.commit("2", token_counts.deletes(rows.filter("doc_id = 1"), "v1"))
     roll.commit("3", token_counts.revisions(rows.filter("doc_id = 2"), rows.filter("doc_id = 2").withColumn("tokens", F.lit(9)), "v1", "v2"))
     (tmp_path / "roll" / "batch=4").mkdir()  # a batch that failed midway
-    assert {tuple(r) for r in roll.totals().collect()} == {("a", None, "v2", 1, 9), (None, "x", "v1", 1, 0)}
+    want = {("a", None, "v2", 1, 9), (None, "x", "v1", 1, 0)}
+    assert {tuple(r) for r in roll.totals().collect()} == want
+    roll.compact()
+    (tmp_path / "roll" / "base=2").mkdir()  # a compaction that failed midway
+    assert {tuple(r) for r in roll.totals().collect()} == want
+    assert not roll.commit("3", token_counts.inserts(rows, "v1"))  # a replay of what is in the base
+    assert roll.commit("4", token_counts.deletes(rows.filter("doc_id = 3"), "v1"))
+    for _ in range(2):
+        assert {tuple(r) for r in roll.totals().collect()} == {("a", None, "v2", 1, 9)}
+        roll.compact()
     with pytest.raises(ValueError):
         roll.commit("../x", token_counts.inserts(rows, "v1"))
 
@@ -531,3 +540,165 @@ def test_pipeline(spark, odd, tmp_path):
         if name == "near_duplicates":
             assert docs.groupBy("text").count().filter("count > 1").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+# -- clashing names, files, and what the parts of operators compute ------------------------------------------
+
+CLASHES = "key terms row rate copies goal __key __terms __copies kept_id kept_hash again_id shard slot rid fp label n component_fp".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rng = random.Random(21)
+    texts = [sentence(rng, 30) for _ in range(20)]
+    rows = [(i, f"{t} me{i % 3}@corp.example.com", "en", f"s{i % 3}", *[f"{c}{i}" for c in CLASHES]) for i, t in enumerate(texts + texts[:5])]
+    return spark.createDataFrame([*rows, rows[2], (None, None, None, None, *CLASHES)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in CLASHES))
+
+
+def test_columns_of_any_name_stay(clashing):
+    own = {(r.doc_id, *[r[c] for c in CLASHES]) for r in clashing.collect()}
+    same = lambda df: df.columns == clashing.columns and {(r.doc_id, *[r[c] for c in CLASHES]) for r in df.collect()}
+    assert same(pii.sanitise(clashing)) == own
+    assert same(mixing.mix(clashing)) <= own and mixing.mix(clashing).count() > 0
+    assert same(simhash.keep_one(clashing)) <= own
+    kept = neardup.keep_one(clashing, 5, 4, 0.8)
+    assert same(kept) <= own and kept.count() == 21
+    assert same(langid.keep_identified(clashing, langid.learn(clashing))) < own
+
+
+def test_write_shards(spark, odd, clashing, none, tmp_path):
+    for name, docs in (("odd", odd), ("clash", clashing)):
+        path = str(tmp_path / name)
+        folder = sharding.write_shards(docs, path, shards=5)
+        assert folder == "_shard"
+        back = spark.read.parquet(path)
+        assert set(back.columns) == {*docs.columns, folder}
+        key = lambda r: tuple(str(r[c]) for c in docs.columns)
+        assert sorted(map(key, back.collect())) == sorted(map(key, docs.collect()))
+        places = sharding.assign(docs, shards=5)
+        assert {(r[folder], r["count"]) for r in back.groupBy(folder).count().collect()} == {(r.shard, r["count"]) for r in places.groupBy("shard").count().collect()}
+    sharding.write_shards(none, str(tmp_path / "none"))
+
+
+def test_sharding_by_bytes(spark):
+    """The law at 24 shards, sizes and checksums, from scratch."""
+    rng = random.Random(4)
+    rows = [(i, "ä" * rng.randrange(1, 400)) for i in range(6000)] + [(7000 + i, "same") for i in range(3000)] + [(None, None), (1, "")]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    size = lambda t: 8 + len((t or "").encode())
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(i), size(t), zlib.crc32((t or "").encode())) for i, t in rows)
+    total, largest = sum(size(t) for _, t in rows), max(size(t) for _, t in rows)
+    for shard in range(24):
+        mine = [r for r in got if r.shard == shard]
+        assert abs(sum(r["size"] for r in mine) - total / 24) <= 0.05 * total / 24 + largest
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+
+
+def test_counts_are_those_of_plain_ngrams():
+    """Hashed counts against n-grams that are cut one by one."""
+    text = "Straße, 42 Äpfel und Birnen; IM Haus!  ok"
+    letters = " " + re.sub(r"[^a-zäöüß]+", " ", text.lower())
+    grams: dict = {}
+    for k in (2, 3):
+        for i in range(len(letters) - k + 1):
+            grams[letters[i : i + k]] = grams.get(letters[i : i + k], 0) + 1
+    mask = (1 << 32) - 1
+
+    def bucket(g):
+        h = (ord(g[0]) * 0x9E3779B1 + ord(g[1]) * 0x85EBCA6B) & mask
+        if len(g) == 3:
+            h = (h * 0xC2B2AE35 + ord(g[2]) * 0x27D4EB2F) & mask
+        return (((h ^ (h >> 13)) * 0x9E3779B1) & mask) >> (32 - langid.BITS)
+
+    want = np.zeros(1 << langid.BITS, int)
+    for g, n in grams.items():
+        want[bucket(g)] += n
+    assert (langid.counts(text) == want).all()
+
+
+def test_ftrl_is_the_plain_rule():
+    """FTRL-proximal weight by weight; and the elastic net leaves zeros."""
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(30, 6, replace=False)), rng.random(6), int(rng.integers(3))) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.05, 0.1
+    got = langid.ftrl(rows, 3, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2, seed=7)
+    z, n, bias = {}, {}, 1 << langid.BITS
+
+    def weight(j, c):
+        zz = z.get((j, c), 0.0)
+        return 0.0 if abs(zz) <= l1 else -(zz - np.sign(zz) * l1) / ((beta + n.get((j, c), 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            x = {**dict(zip(map(int, rows[i][0]), rows[i][1])), bias: 1.0}
+            w = {(j, c): weight(j, c) for j in x for c in range(3)}
+            e = np.exp([sum(x[j] * w[j, c] for j in x) for c in range(3)])
+            p = e / e.sum()
+            for j, v in x.items():
+                for c in range(3):
+                    g = v * (p[c] - (c == rows[i][2]))
+                    was = n.get((j, c), 0.0)
+                    n[j, c] = was + g * g
+                    z[j, c] = z.get((j, c), 0.0) + g - (n[j, c] ** 0.5 - was**0.5) / alpha * w[j, c]
+    for j in [*range(30), bias]:
+        assert np.allclose(got[j], [weight(j, c) for c in range(3)])
+    used = got[:30]
+    assert (used == 0).any() and (used != 0).any() and (got[30:bias] == 0).all()
+
+
+def test_temperature_lowers_the_loss(spark):
+    rng = random.Random(3)
+    parts = {"aa": "kalo miru tana".split(), "bb": "kalo miru weir".split()}
+    rows = [(i, " ".join(rng.choice(parts[x]) for _ in range(4)), x) for i in range(800) for x in [rng.choice("ab") * 2]]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.temperature != 1.0
+
+    def loss(t):
+        z = [(model.logits(text), model.languages.index(x)) for i, text, x in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+        return -sum(np.log(langid.softmax(a / t)[k]) for a, k in z)
+
+    assert loss(model.temperature) < loss(1.0)
+
+
+def test_nothing_to_learn_from_keeps_texts(spark, none):
+    docs = spark.createDataFrame([(1, "words here", None, None), (2, None, None, None), (3, "12 34", None, None)], "doc_id long, text string, lang string, source string")
+    assert [r.doc_id for r in langid.keep_identified(docs, langid.learn(none)).collect()] == [1]
+
+
+def test_disclosures_by_brute_force(spark):
+    """The table of revealing terms against counting documents one by one."""
+    rng = random.Random(17)
+    names = [f"me{k}@corp.example.com" for k in range(6)]
+    rows = [(i, f"{sentence(rng, 12)} {rng.choice(['Quix', 'Zeph', 'plain'])} {rng.choice(names)} {sentence(rng, 12)}" if i % 3 else sentence(rng, 25)) for i in range(90)]
+    rows += [(200 + k, rows[4][1]) for k in range(30)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(spark.createDataFrame(rows, "doc_id long, text string"), pii.entity_texts(found), 1.0, 0.3).collect()}
+    texts = sorted({t for _, t in rows})
+    term_sets = [{w for w in re.split(pii.NOT_TERM, t.lower()) if w} for t in texts]
+    held, near = {}, {}
+    for t in texts:
+        around, _ = pii.windows(t, pii.base_spans(t), 5)
+        for w in around:
+            held.setdefault(w["entity"], set()).add(t)
+            near.setdefault(w["entity"], set()).update(w["terms"])
+    want, total = {}, len(texts)
+    for entity, those in held.items():
+        base = len(those) / total
+        for term in near[entity]:
+            with_term = {t for t, s in zip(texts, term_sets) if term in s}
+            given = (len(with_term & those) + base) / (len(with_term) + 1)
+            shown = min(1.0, 1 - np.log2(given) / np.log2(base))
+            if shown >= 0.3:
+                want[entity, term] = shown
+    assert want and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_soft_terms_add_up():
+    terms = urls.automaton(urls.STRICT, urls.SOFT, urls.SOFT_LIMIT)
+    weigh = lambda u: urls.weight_of(u, terms)
+    assert all(w < urls.SOFT_LIMIT for w in urls.SOFT.values())
+    assert weigh("http://a.com/casino/casino") == 2 and weigh("http://casino.com/free") == 3
+    assert weigh("http://freecasino.com/") == 0 and weigh("http://porn.com") >= urls.SOFT_LIMIT

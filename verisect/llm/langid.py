@@ -27,8 +27,6 @@ from verisect.llm.common import over_texts, stored, table
 BITS = 15
 CHUNK = 1 << 20
 UNKNOWN = "und"
-#: Labels at most; weights take 2**BITS floats each, and go to every task.
-MAX_LANGUAGES = 400
 
 
 @cache
@@ -127,7 +125,13 @@ def _draw(what: str) -> Column:
 
 def learn(docs: DataFrame, per_language: int = 1000, shards: int = 4, calibrate: float = 0.2) -> Model:
     """Fit a model on docs (doc_id, text, lang). About per_language rows of each language are sampled, by
-    a hash; document frequencies are of all learning rows."""
+    a hash; document frequencies are of all learning rows.
+
+    Rows whose text or lang is null teach nothing, nor do texts without letters; long texts count whole,
+    repeated rows each count, other columns are not looked at. From an empty table, or one without a label,
+    comes a model of no language, which says ``und`` to all. Weights take 2**BITS floats a language on the
+    driver and in each task; languages are the labels of the table, of which there is no bound here.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
 
@@ -149,9 +153,7 @@ def learn(docs: DataFrame, per_language: int = 1000, shards: int = 4, calibrate:
     frequency[known.bucket.to_numpy()] = known.docs.to_numpy()
     idf = np.log((1 + n) / (1 + frequency)) + 1.0
 
-    sizes = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()  # one row for each language
     languages = [r.lang for r in sizes]
     if not languages or not n:
         return Model([], idf, np.zeros(((1 << BITS) + 1, 0)))
@@ -161,8 +163,8 @@ def learn(docs: DataFrame, per_language: int = 1000, shards: int = 4, calibrate:
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "lang", "text"])
-        found = [(counts(t), number[x]) for t, x in zip(group.text, group.lang, strict=True)]
-        w = ftrl([(*vector(c, idf), k) for c, k in found if c is not None], len(languages))
+        sparse = ((vector(c, idf), number[x]) for t, x in zip(group.text, group.lang, strict=True) if (c := counts(t)) is not None)
+        w = ftrl([(at, values, k) for (at, values), k in sparse], len(languages))
         at, k = np.nonzero(w)
         return pd.DataFrame({"bucket": at.astype(np.int32), "k": k.astype(np.int32), "w": w[at, k]})
 
@@ -205,15 +207,26 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return over_texts(slim, run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.3) -> DataFrame:
-    """The rows of docs, with their own columns, whose language is told with at least that score."""
+def keep_identified(docs: DataFrame, model: Model, least_share: float = 0.2) -> DataFrame:
+    """The rows of docs, with their own columns, whose language is told.
+
+    It is told if the score is at least 1/n + least_share * (1 - 1/n) for n languages: so far above the
+    score of no knowledge, whatever the number of languages. Null texts and those without letters go. A
+    model of fewer than two languages can't tell anything, so then only these go. Long texts are judged
+    whole, repeated rows alike; an empty table gives an empty result.
+    """
     names = docs.columns
     at = names.index("text")
+    n = len(model.languages)
+    least_score = 1 / n + least_share * (1 - 1 / n) if n > 1 else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = [model.predict(t.as_py()) for t in b.column(at)]
-            yield b.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in said], pa.bool_()))
+            if n < 2:
+                kept = [counts(t.as_py()) is not None for t in b.column(at)]
+            else:
+                kept = [x != UNKNOWN and s >= least_score for x, s in (model.predict(t.as_py()) for t in b.column(at))]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return over_texts(docs, run, docs.schema)
 

@@ -84,16 +84,19 @@ def repeats(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int =
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; the columns stay.
 
-    The copies are a function of doc_id and source, so they are joined by source alone.
+    The copies are a function of doc_id and source, so they are joined by source alone. Null texts have no
+    words but are taken as others of their source; null sources are one source, null ids share one draw;
+    repeated rows are each taken as often; columns of any name stay; an empty table gives an empty result.
     """
     cycle, most, seed = options.get("cycle", CYCLE), options.get("max_repeats", 3), options.get("seed", SEED)
     by_source = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(word_count()).cast("long").alias("source_size"))
-    goals = stored(targets(cycle_weights(by_source, cycle), most).select(F.col("source").alias("__goal"), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("__rate")))
-    whole = F.floor("__rate")
-    copies = (whole + (draw("doc_id", seed) < F.col("__rate") - whole).cast("long")).cast("int")
-    taken = docs.join(goals, docs["source"].cast("string").eqNullSafe(goals["__goal"]))
-    taken = taken.withColumn("__copies", copies).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[taken[c] for c in docs.columns])
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+    goals = stored(targets(cycle_weights(by_source, cycle), most).select(F.col("source").alias("goal"), rate.alias("rate")))
+    whole = F.floor("rate")
+    copies = (whole + (draw("doc_id", seed) < F.col("rate") - whole).cast("long")).cast("int")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("doc_id"))
+    taken = rows.join(goals, F.col("source").eqNullSafe(F.col("goal"))).select("row", copies.alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

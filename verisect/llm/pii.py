@@ -122,7 +122,11 @@ HELD = 1 << 20
 
 def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of docs (doc_id, text): counts, base spans, and for a text with entities its windows
-    and terms; key (an MD5 of the text) tells texts with entities apart, else it is null."""
+    and terms; key (an MD5 of the text) tells texts with entities apart, else it is null.
+
+    Null and empty texts have no entities; long texts are read whole; repeated rows stay, null ids keep their
+    rows, other columns are dropped; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [p.split(" ")[0] for p in _FOUND.split(", ")]
@@ -241,30 +245,31 @@ def rewrite(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int,
 def sanitise(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """docs with its own columns, and personal data in ``text`` replaced; a null text stays null.
 
-    If there is a column n_chars it is the new text's length (as it was for a null text).
+    If there is a column n_chars it is the new text's length (as it was for a null text). Other columns stay
+    as they are, whatever their names; repeated rows stay and change alike; long texts change at every
+    place; an empty table gives an empty result.
     """
     revealed = disclosures(docs, stored(entity_texts(find(docs, window))), prior, generalise_at)
     per_text = stored(term_spans(revealed))
     names, kinds = docs.columns, docs.schema
     key = F.coalesce(F.md5(F.col("text").cast("binary")), F.xxhash64("doc_id").cast("string"))
-    joined = docs.withColumn("__key", key).join(per_text.select(F.col("key").alias("__key"), F.col("terms").alias("__terms")), "__key", "left").select(*names, "__terms")
+    packed = docs.select(F.struct(*names).alias("row"), key.alias("key")).join(per_text, "key", "left").select("row", "terms")
     at = names.index("text")
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = []
-            for t, terms in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+            new, cols = [], b.column(0).flatten()
+            for t, terms in zip(cols[at].to_pylist(), b.column(1).to_pylist(), strict=True):
                 spans = base_spans(t)
                 new.append(rewrite(t, spans, [(x["s"], x["e"], x["disclosure"]) for x in terms or ()], remove_at) if spans else t)
-            cols = list(b.columns[: len(names)])
             cols[at] = pa.array(new, pa.string())
             if size is not None:
                 lengths = [was if t is None else len(t) for t, was in zip(new, cols[size].to_pylist(), strict=True)]
-                cols[size] = pa.array(lengths, b.schema.field(size).type)
+                cols[size] = pa.array(lengths, cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return over_texts(joined, run, kinds)
+    return over_texts(packed, run, kinds)
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisect.llm.common import stored, table
@@ -24,7 +24,7 @@ from verisect.llm.common import stored, table
 OVERHEAD = 8
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, rid: Column | None = None) -> DataFrame:
     """doc_id, size, text_crc32, and the key (k1, k2) with a row number rid that tells equal keys apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
@@ -33,7 +33,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k2"),
-        F.monotonically_increasing_id().alias("rid"),
+        (F.monotonically_increasing_id() if rid is None else rid).alias("rid"),
     )
 
 
@@ -69,8 +69,13 @@ def assign(docs: DataFrame, shards: int = 24, ranges_per_shard: int = 48, range_
     gives an empty result; other columns are not looked at. A record is never split, so one that is larger
     than a shard's share makes its shard larger. Ranges grow in number with the rows.
     """
-    spark = docs.sparkSession
-    rows = stored(keyed(docs))
+    return placed(keyed(docs), shards, ranges_per_shard, range_rows, sample_per_range).drop("rid")
+
+
+def placed(keys: DataFrame, shards: int = 24, ranges_per_shard: int = 48, range_rows: int = 500_000, sample_per_range: int = 24) -> DataFrame:
+    """assign for rows that are keyed already, with their rid."""
+    spark = keys.sparkSession
+    rows = stored(keys)
     all_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(shards * ranges_per_shard, math.ceil(all_rows / range_rows))
     s1, s2 = splitters(rows, total, ranges, ranges * sample_per_range)
@@ -80,7 +85,7 @@ def assign(docs: DataFrame, shards: int = 24, ranges_per_shard: int = 48, range_
             k1, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_range_of(k1, k2, s1, s2), pa.int32())], [*b.schema.names, "range"])
 
-    ranged = rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, k1 long, k2 long, rid long, range int")
+    ranged = stored(rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, k1 long, k2 long, rid long, range int"))
     share = max(1, total / ranges)
     size_of = lambda df, *by: {tuple(r[c] for c in by): (r.n, r.b) for r in df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
     # one row per range; at most the number of ranges
@@ -100,15 +105,24 @@ def assign(docs: DataFrame, shards: int = 24, ranges_per_shard: int = 48, range_
         before += b
     plan = F.broadcast(spark.createDataFrame(laid, "range int, part int, shard int, first long"))
     rank = F.row_number().over(Window.partitionBy("range", "part").orderBy("k1", "k2", "rid")) - 1
-    return ranged.withColumn("rank", rank).join(plan, ["range", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"))
+    return ranged.withColumn("rank", rank).join(plan, ["range", "part"]).select("rid", "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write docs as Parquet with one folder per shard, ordered by slot; rows are matched by doc_id,
-    which must be unique and not null here."""
-    placed = assign(docs, **options).select(F.col("doc_id").alias("__id"), F.col("shard"), F.col("slot"))
-    clean = docs.drop("shard", "slot")
-    clean.join(placed, clean["doc_id"] == placed["__id"]).drop("__id").repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, **options) -> str:
+    """Write docs as Parquet with one folder per shard, ordered by slot; returns the name of the folders'
+    column: ``shard``, with underscores before it if docs has such a column.
+
+    Every row goes to the place that it was given, also one with a null id or text, or one that is there
+    more than once. An empty table gives an empty folder.
+    """
+    folder = "shard"
+    while folder in docs.columns:
+        folder = "_" + folder
+    rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")))
+    places = placed(keyed(rows.select("row.doc_id", "row.text", "rid"), F.col("rid")), **options).select("rid", "shard", "slot")
+    dealt = rows.join(places, "rid").repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot")
+    dealt.select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
+    return folder
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A ledger of changes says, for a document, how many tokens a tokenizer version co
 a document and its tokens, a delete takes them away, a revision takes the old count away and adds the new
 one. A batch of changes is summed by (source, language, tokenizer version) and committed under its id as
 one folder of signed sums; totals are the sum over committed batches, so no batch rereads another's
-documents. A batch whose folder is complete (Spark's _SUCCESS file is there) is not written again: a
+documents. ``compact`` puts the sums of all batches so far into one base, whose folder names the batches that
+are in it: these are then not read again. A batch whose folder is complete (Spark's _SUCCESS file is there) is not written again: a
 replayed batch changes nothing, and one that failed midway is overwritten by its replay.
 """
 
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from verisect.llm.common import over_texts, scratch_dir, stored, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-VERSION = "byte-bpe-50k/1"
-#: The second version of the query's tokenizer: the first one's count of the text without repeated spaces.
-REVISED = "byte-bpe-50k/2"
+VERSION = "byte-bpe-50k"
+#: The tokenizer to which the query's revision goes over.
+REVISED_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+REVISED = "byte-bpe-multi-50k"
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("docs", "tokens")
 
@@ -36,7 +38,11 @@ def load_ranks(path: str = RANKS) -> tuple[str, dict[bytes, int]]:
 
 
 def count_tokens(docs: DataFrame, ranks: tuple[str, dict[bytes, int]] | None = None) -> DataFrame:
-    """docs' doc_id, source and lang with ``tokens``: the tokens of each whole text, 0 for null."""
+    """docs' doc_id, source and lang with ``tokens``: the tokens of each whole text, 0 for a null or empty one.
+
+    Rows are counted one by one: repeats and null ids, sources and languages stay, other columns are dropped,
+    an empty table gives an empty result.
+    """
     pattern, merges = ranks or load_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,22 +111,45 @@ class Rollup:
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)))
         return [n[6:] for n in names if n.startswith("batch=") and self.committed(n[6:])]
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, docs, tokens) over all committed batches, without keys at zero."""
+    def _base(self) -> tuple[int, set[str]]:
+        """The number of the latest complete base (0: there is none) and the batches that are in it."""
+        if not self._fs.exists(self._path(self.path)):
+            return 0, set()
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
+        done = [int(n[5:]) for n in names if n.startswith("base=") and self._fs.exists(self._path(f"{self.path}/{n}/members/_SUCCESS"))]
+        if not done:
+            return 0, set()
+        return max(done), {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.path}/base={max(done)}/members").collect()}
+
+    def _rows(self) -> tuple[DataFrame, int, set[str], list[str]]:
+        """Signed sums of the base and of the batches after it; the base's number and batches; these batches."""
         schema = "source string, lang string, tokenizer string, docs long, tokens long"
-        folders = [self._folder(b) for b in self.batches()]
+        base, inside = self._base()
+        after = [b for b in self.batches() if b not in inside]
+        folders = [self._folder(b) for b in after] + ([f"{self.path}/base={base}/sums"] if base else [])
         rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-        sums = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
-        return sums.filter("docs <> 0 or tokens <> 0")
+        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).filter("docs <> 0 or tokens <> 0"), base, inside, after
+
+    def compact(self) -> None:
+        """Write a new base of all committed batches. It counts once the list of its batches is complete, so
+        a compaction that fails midway changes nothing; batch folders stay, so a replay still finds them."""
+        sums, base, inside, after = self._rows()
+        if after:
+            sums.write.mode("overwrite").parquet(f"{self.path}/base={base + 1}/sums")
+            self.spark.createDataFrame([(b,) for b in sorted(inside | set(after))], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base={base + 1}/members")
+
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, docs, tokens) over all committed batches, without keys at zero."""
+        return self._rows()[0]
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     """Query: totals of all documents by source, language and tokenizer version after four batches.
 
     The first inserts all documents. The second deletes those labelled toxic. The third counts those
-    labelled of low quality, and not toxic, anew by the second version: a revision. The fourth is the
-    second once more, under the same id, which changes nothing. A document counts as labelled if any of its
-    labels says so. Documents without id have no label.
+    labelled of low quality, and not toxic, anew by another tokenizer: a revision. The fourth is the
+    second once more, under the same id, which changes nothing; nor does the compaction before the third. A
+    document counts as labelled if any of its labels says so. Documents without id have no label.
     """
     ranks = load_ranks()
     docs = table(spark, sf_dir, "documents")
@@ -130,10 +159,11 @@ def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     marked = counted.join(marks, "doc_id")
     toxic = marked.filter("toxic = 1")
     low = marked.filter("coalesce(toxic, 0) <> 1 and quality = 0")
-    low_docs = docs.select("doc_id", "source", "lang", F.regexp_replace("text", " {2,}", " ").alias("text")).join(marks.filter("coalesce(toxic, 0) <> 1 and quality = 0").select("doc_id"), "doc_id", "left_semi")
+    low_docs = docs.select("doc_id", "source", "lang", "text").join(marks.filter("coalesce(toxic, 0) <> 1 and quality = 0").select("doc_id"), "doc_id", "left_semi")
     rollup = Rollup(spark, scratch_dir(spark))
     rollup.commit("0001-insert", inserts(counted, VERSION))
     rollup.commit("0002-delete", deletes(toxic, VERSION))
-    rollup.commit("0003-revise", revisions(low, count_tokens(low_docs, ranks), VERSION, REVISED))
+    rollup.compact()
+    rollup.commit("0003-revise", revisions(low, count_tokens(low_docs, load_ranks(REVISED_RANKS)), VERSION, REVISED))
     rollup.commit("0002-delete", deletes(toxic, VERSION))
     return rollup.totals()
