@@ -51,6 +51,15 @@ def joined(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return rest.unionByName(rows.join(F.broadcast(hot), key))
 
 
+#: Rows of a few numbers each that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored frame of a few numbers a row, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 #: Rows of text that go to a Python worker at once. Texts are long, so Spark's 10,000 would take much memory.
 TEXT_BATCH = 1000
 

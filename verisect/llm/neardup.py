@@ -2,12 +2,14 @@
 
 Candidates are the links of SimHash fingerprints, and texts that share a band of MinHash values. Two texts
 of similarity s share none of ``BANDS`` bands of ``ROWS`` values with a chance of (1 - s ** ROWS) ** BANDS:
-1e-4 at 0.8, 3e-7 at 0.85. No pair is linked before its whole sets of shingles were compared.
+3e-4 at 0.8, 8e-6 at 0.85. No pair is linked before its whole sets of shingles were compared.
 
 Hot spots. A group of near copies shares nearly all bands, so its pairs are never listed: first each member
-is compared with the smallest of its band, and the links found give groups. Then only those members of a
-band are compared that are still in different groups. This finds the components that all pairs of the
-bands would give.
+is compared with the smallest of its band, and the links found give groups. In bands whose members are still
+in different groups, each is compared with the member that has the fewest shingles of its own, which is the
+middle of the band. Then only those members of a band are compared that are still in different groups, and
+of these only pairs that can be similar: shingles that no other open text has can't be common to a pair.
+This finds the components that all pairs of the bands would give.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verisect.llm import simhash
-from verisect.llm.common import joined, over_texts, stored
+from verisect.llm.common import if_small, joined, over_texts, stored
 
-BANDS, ROWS, PIECE = 30, 6, 4096
+BANDS, ROWS, PIECE = 20, 5, 4096
 _RNG = np.random.default_rng(3)
 _TIMES = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -69,8 +71,8 @@ def _marked(docs: DataFrame, n: int) -> DataFrame:
     return over_texts(slim, run, "doc_id long, text_hash long, node long, fp long, bands array<long>")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """(node, found): the shingle set of every text in pairs (u, v)."""
+def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, found): the shingle set of every text in nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,18 +81,28 @@ def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                 found = [distinct(hashes(t.as_py(), n)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = docs.filter("text is not null").select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text"))
-    return over_texts(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), run, "node long, found array<long>")
+    # copies are brought together within tasks first; few nodes are looked up before texts move at all
+    wanted = if_small(nodes)
+    once = texts.dropDuplicates(["node"]).join(nodes, "node", "left_semi") if wanted is nodes else texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return over_texts(once, run, "node long, found array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of texts whose shingle sets have at least that Jaccard similarity."""
-    sets = stored(_sets(docs, pairs, n))
-    # a pair whose sizes rule it out is not compared
-    sizes = sets.select("node", F.size("found").alias("n"))
-    fit = pairs.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-    fit = fit.filter(F.least("nu", "nv") >= F.lit(similarity) * F.greatest("nu", "nv")).select("u", "v", "nu", "nv")
+def _may_link(a: str, b: str, similarity: float) -> Column:
+    """Whether two texts can be that similar, by their sizes na, nb and shingles of their own ua, ub: what
+    they have in common is in neither's own, and is at least s / (1 + s) of both sizes."""
+    common = F.least(F.col(f"n{a}") - F.col(f"u{a}"), F.col(f"n{b}") - F.col(f"u{b}"))
+    return common >= F.lit(similarity / (1 + similarity)) * (F.col(f"n{a}") + F.col(f"n{b}")) - F.lit(1e-6)
+
+
+def _named(sizes: DataFrame, end: str) -> DataFrame:
+    return sizes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("own").alias(f"u{end}"))
+
+
+def verified(sets: DataFrame, sizes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets (node, found) have at least that Jaccard similarity; sizes:
+    (node, n, own). A pair whose sizes rule it out is not compared."""
+    fit = pairs.join(_named(sizes, "u"), "u").join(_named(sizes, "v"), "v").filter(_may_link("u", "v", similarity)).select("u", "v", "nu", "nv")
     both = fit.join(sets.select(F.col("node").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("found").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return stored(both.filter(common >= F.lit(similarity) * (F.col("nu") + F.col("nv") - common) - F.lit(1e-9)).select("u", "v"))
@@ -102,29 +114,49 @@ def _ordered(u: str, v: str):
 
 def components(docs: DataFrame, own: DataFrame, n: int, radius: int, similarity: float) -> DataFrame:
     """(fp, label) of the texts that have near duplicates; both are nodes of own."""
-    texts = own.filter("node <> 0").select("node", "fp").distinct()
+    texts = stored(own.filter("node <> 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     first = stored(texts.groupBy("fp").agg(F.min("node").alias("first")))
     at = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node"))
     linked = simhash.links(first.select("fp"), radius).join(at("u"), "u").join(at("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    same = texts.join(first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    shared = own.filter("node <> 0").select("node", F.explode("bands").alias("band")).distinct()
+    same = texts.select("node", "fp").join(first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    shared = texts.select("node", F.explode("bands").alias("band"))
     hubs = shared.groupBy("band").agg(F.min("node").alias("hub"), F.count("node").alias("n")).filter("n > 1").select("band", "hub")
     members = stored(shared.join(hubs, "band"))
     stars = members.select(F.col("node").alias("u"), F.col("hub").alias("v"))
     pairs = stored(stars.union(linked).union(same).filter("u <> v").select(*_ordered("u", "v")).distinct())
-    found = verified(docs, pairs, n, similarity)
+    sets = stored(_sets(docs, stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), n))
+    sizes = stored(sets.select("node", F.size("found").alias("n"), F.lit(0).alias("own")))
+    found = verified(sets, sizes, pairs, similarity)
     labels = simhash.components(found)
-    # a label and how many members: bands whose members are all in one group have no more to find
-    held = stored(members.join(labels, members.node == labels.fp, "left").select("band", "node", F.coalesce("label", "node").alias("label")))
-    groups = held.select("band", "label").distinct()
-    across = groups.join(groups.select("band", F.col("label").alias("other")), "band").filter("label < other")
-    left = held.select("band", "label", F.col("node").alias("u"))
-    right = held.select("band", F.col("label").alias("other"), F.col("node").alias("v"))
-    rest = across.join(left, ["band", "label"]).join(right, ["band", "other"]).select(*_ordered("u", "v")).distinct()
-    rest = stored(rest.join(pairs, ["u", "v"], "left_anti"))
+
+    def still_open() -> DataFrame:
+        """(band, node, label) of the bands whose members are not all in one group."""
+        held = members.join(labels, members.node == labels.fp, "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        held = stored(held)
+        apart = held.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("band")
+        return stored(held.join(apart, "band"))
+
+    # what no other open text has tells how far a text is from the middle of its band
+    rest = still_open()
     if not rest.limit(1).count():
         return labels
-    return simhash.components(found.union(verified(docs, rest, n, similarity)))
+    inside = rest.select("node").distinct()
+    alone = sets.join(inside, "node", "left_semi").select("node", F.explode("found").alias("x")).groupBy("x").agg(F.min("node").alias("node"), F.count("x").alias("times"))
+    alone = alone.filter("times = 1").groupBy("node").agg(F.count("node").cast("int").alias("alone"))
+    sizes = stored(sizes.drop("own").join(inside, "node").join(alone, "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("own")))
+    middle = rest.join(sizes, "node").groupBy("band").agg(F.min_by("node", F.struct(F.col("own") / F.col("n"), "node")).alias("hub"), F.min_by("label", F.struct(F.col("own") / F.col("n"), "node")).alias("of"))
+    around = rest.join(middle, "band").filter("label <> of").select(*_ordered("node", "hub")).distinct().join(pairs, ["u", "v"], "left_anti")
+    found = stored(found.union(verified(sets, sizes, around, similarity)))
+    labels = simhash.components(found)
+    # now all pairs of members in different groups, but for those that can't be similar
+    rest = still_open()
+    end = lambda e: rest.join(sizes, "node").select("band", F.col("node").alias(e), F.col("label").alias(f"l{e}"), F.col("n").alias(f"n{e}"), F.col("own").alias(f"u{e}"))
+    a, b = end("u"), end("v")
+    across = a.join(b, (a["band"] == b["band"]) & (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & _may_link("u", "v", similarity))
+    across = stored(across.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"))
+    if not across.limit(1).count():
+        return labels
+    return simhash.components(found.union(verified(sets, sizes, across, similarity)))
 
 
 def keep_one(docs: DataFrame, shingle_words: int, radius: int, similarity: float) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisect.llm.common import over_texts, stored, table
+from verisect.llm.common import if_small, over_texts, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, PRIOR, GENERALISE_AT, REMOVE_AT = 5, 1.0, 0.75, 0.95
@@ -82,6 +82,11 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
+def may_hold(text: Column) -> Column:
+    """Whether some pattern may match: true for every text with a base span, false for most others."""
+    return text.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|(?:[0-9][ -]?){15}[0-9]|\+[0-9][ ().0-9-]+[0-9]")
+
+
 def _entity(kind: int, value: str) -> str:
     plain = value.lower() if kind == 0 else value if kind == 1 else _NOT_DIGIT.sub("", value)
     return hashlib.md5(f"{KINDS[kind]}:{plain}".encode()).hexdigest()
@@ -164,7 +169,7 @@ def term_documents(docs: DataFrame) -> tuple[DataFrame, int]:
     """
     rows = docs.filter("text is not null").select(F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text"))
     sizes = stored(rows.groupBy("hash").agg(F.count("hash").alias("n")))
-    again = sizes.filter("n > 1")
+    again = if_small(stored(sizes.filter("n > 1")))
     parts = rows.select("text", F.lit(1).cast("long").alias("times")).unionByName(rows.join(again, "hash").dropDuplicates(["hash"]).select("text", (1 - F.col("n")).alias("times")))
     words = parts.select("times", F.explode(F.array_distinct(F.split(F.lower("text"), NOT_TERM))).alias("term"))
     return words.groupBy("term").agg(F.sum("times").alias("term_docs")), max(1, sizes.count())
@@ -252,8 +257,10 @@ def sanitise(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, genera
     revealed = disclosures(docs, stored(entity_texts(find(docs, window))), prior, generalise_at)
     per_text = stored(term_spans(revealed))
     names, kinds = docs.columns, docs.schema
-    key = F.coalesce(F.md5(F.col("text").cast("binary")), F.xxhash64("doc_id").cast("string"))
-    packed = docs.select(F.struct(*names).alias("row"), key.alias("key")).join(per_text, "key", "left").select("row", "terms")
+    # only texts that may hold an entity are moved to meet their terms
+    packed = docs.select(F.struct(*names).alias("row"), F.coalesce(may_hold(F.col("text").cast("string")), F.lit(False)).alias("may"))
+    meets = packed.filter("may").select("row", F.md5(F.col("row.text").cast("binary")).alias("key")).join(per_text, "key", "left").select("row", "terms")
+    packed = meets.unionByName(packed.filter("not may").select("row", F.lit(None).cast(meets.schema["terms"].dataType).alias("terms")))
     at = names.index("text")
     size = names.index("n_chars") if "n_chars" in names else None
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisect.llm.common import joined, over_texts, stored, table
+from verisect.llm.common import if_small, joined, over_texts, stored, table
 
 SEED = 42
 CHUNK_BYTES = 1 << 20
@@ -299,10 +299,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """keep_one, given the component_fp of every row (doc_id, text_hash) of docs."""
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash").isNull().alias("no_text"), F.col("text_hash"))
-    rows = found.groupBy("component_fp").agg(F.min(key).alias("k"))
-    kept = stored(rows.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")).distinct())
+    least = stored(found.groupBy("component_fp").agg(F.min(key).alias("k"), F.count("*").alias("n")))
+    kept = least.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+    # fewer rows go than stay; they are looked up, and if they are few no text is moved
+    gone = if_small(stored(joined(found, least, "component_fp").filter(~key.eqNullSafe(F.col("k"))).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()))
     doc_id, text_hash = docs["doc_id"].cast("long"), F.when(docs["text"].isNotNull(), F.xxhash64(docs["text"]))
-    left = docs.join(kept, doc_id.eqNullSafe(kept["kept_id"]) & text_hash.eqNullSafe(kept["kept_hash"]), "left_semi")
+    left = docs.join(gone, doc_id.eqNullSafe(gone["gone_id"]) & text_hash.eqNullSafe(gone["gone_hash"]), "left_anti")
     sizes = found.groupBy("doc_id", "text_hash").count().filter("count > 1")
     twice = stored(sizes.join(kept, sizes["doc_id"].eqNullSafe(kept["kept_id"]) & sizes["text_hash"].eqNullSafe(kept["kept_hash"]), "left_semi").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")))
     if not twice.limit(1).count():
