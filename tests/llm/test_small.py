@@ -297,6 +297,34 @@ def test_copies_hide_no_terms(spark):
     assert n == 304 and counts.filter("term = 'quixotic'").first()["term_docs"] == 3
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_cells_link_what_is_similar(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1 << 40, size=60)
+    sets = [np.unique(np.concatenate([base[rng.random(60) > cut], rng.integers(1 << 40, size=int(60 * cut))])) for cut in rng.choice([0.02, 0.05, 0.2, 0.3], 40)]
+    sets += [np.unique(rng.integers(1 << 40, size=rng.integers(1, 400))) for _ in range(60 * (seed % 2))]
+    label = np.array([i % 3 if i < 9 else i for i in range(len(sets))])
+    chunk = np.zeros(len(sets), int) if seed < 2 else rng.integers(2, size=len(sets))
+    u, v = neardup.linked(np.concatenate(sets), np.array([len(x) for x in sets]), label, chunk, 0.8)
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+
+    def groups(pairs):
+        parent = {int(x): int(x) for x in label}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[find(int(label[a]))] = find(int(label[b]))
+        return sorted(sorted(x for x in parent if find(x) == r) for r in {find(x) for x in parent})
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if (seed < 2 or chunk[i] != chunk[j]) and jaccard(sets[i], sets[j]) >= 0.8]
+    assert groups(zip(u, v)) == groups(every) and len(u) < len(set(label.tolist()))
+    assert all(jaccard(sets[i], sets[j]) >= 0.8 for i, j in zip(u, v))
+
+
 def test_rewrite_overlaps():
     assert pii.rewrite("ab 1.2.3.4 cd", [(1, 3, 10)], [(0, 2, 0.8), (11, 13, 0.99)], 0.95) == "<TERM> <IP> "
 

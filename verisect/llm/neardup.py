@@ -7,8 +7,9 @@ of similarity s share none of ``BANDS`` bands of ``ROWS`` values with a chance o
 Hot spots. A group of near copies shares nearly all bands, so its pairs are never listed: first each member
 is compared with the smallest of its band, and the links found give groups. In bands whose members are still
 in different groups, each is compared with the member that has the fewest shingles of its own, which is the
-middle of the band. Then only those members of a band are compared that are still in different groups, and
-of these only pairs that can be similar: shingles that no other open text has can't be common to a pair.
+middle of the band. Then only those members of a band are compared that are still in different groups: of
+few members those pairs that can be similar (shingles that no other open text has can't be common to a
+pair), and many members in memory, within cells of a bounded size that report no pairs but links.
 This finds the components that all pairs of the bands would give.
 """
 
@@ -25,6 +26,8 @@ from verisect.llm import simhash
 from verisect.llm.common import if_small, joined, over_texts, stored
 
 BANDS, ROWS, PIECE = 20, 5, 4096
+#: Members of a band up to which pairs are listed; what a chunk of more members has at most, about.
+FEW, CELL_ROWS, CELL_SHINGLES = 8, 2048, 1 << 21
 _RNG = np.random.default_rng(3)
 _TIMES = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -148,15 +151,91 @@ def components(docs: DataFrame, own: DataFrame, n: int, radius: int, similarity:
     around = rest.join(middle, "band").filter("label <> of").select(*_ordered("node", "hub")).distinct().join(pairs, ["u", "v"], "left_anti")
     found = stored(found.union(verified(sets, sizes, around, similarity)))
     labels = simhash.components(found)
-    # now all pairs of members in different groups, but for those that can't be similar
+    # now all pairs of members in different groups: few members as pairs, many within cells
     rest = still_open()
-    end = lambda e: rest.join(sizes, "node").select("band", F.col("node").alias(e), F.col("label").alias(f"l{e}"), F.col("n").alias(f"n{e}"), F.col("own").alias(f"u{e}"))
+    sized = stored(rest.join(sizes, "node"))
+    many = stored(sized.groupBy("band").agg(F.count("node").alias("members"), F.sum("n").alias("shingles")))
+    found = found.unionByName(_across_few(sized.join(many.filter(F.col("members") <= FEW).select("band"), "band"), sets, sizes, pairs, similarity))
+    found = found.unionByName(_across_many(sized.join(many.filter(F.col("members") > FEW), "band"), sets, similarity))
+    return simhash.components(found)
+
+
+def _across_few(members: DataFrame, sets: DataFrame, sizes: DataFrame, done: DataFrame, similarity: float) -> DataFrame:
+    """Links between members (band, node, label, n, own) of a band that are in different groups."""
+    members = stored(members)
+    end = lambda e: members.select("band", F.col("node").alias(e), F.col("label").alias(f"l{e}"), F.col("n").alias(f"n{e}"), F.col("own").alias(f"u{e}"))
     a, b = end("u"), end("v")
     across = a.join(b, (a["band"] == b["band"]) & (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & _may_link("u", "v", similarity))
-    across = stored(across.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"))
-    if not across.limit(1).count():
-        return labels
-    return simhash.components(found.union(verified(sets, sizes, across, similarity)))
+    return verified(sets, sizes, across.select("u", "v").distinct().join(done, ["u", "v"], "left_anti"), similarity)
+
+
+def _across_many(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The same for bands of many members (with members and shingles, the band's sums): no pair is listed.
+
+    A band is dealt to chunks, and a cell compares two chunks (or one with itself) in memory; it reports no
+    more links than join its groups.
+    """
+    pieces = F.greatest(F.ceil(F.col("members") / CELL_ROWS), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
+    own = members.select("band", "node", "label", pieces.alias("g")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = own.select("band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "label").join(sets, "node")
+
+    def cell(rows: pa.Table) -> pa.Table:
+        node, label, chunk = (rows.column(c).to_numpy() for c in ("node", "label", "c"))
+        found = rows.column("found").combine_chunks()
+        found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+        u, v = linked(found.flatten().to_numpy(), np.diff(found.offsets.to_numpy()), label, chunk, similarity)
+        return pa.table({"u": np.minimum(node[u], node[v]), "v": np.maximum(node[u], node[v])})
+
+    return stored(dealt.select("band", "i", "j", "c", "node", "label", "found").groupBy("band", "i", "j").applyInArrow(cell, "u long, v long"))
+
+
+def linked(shingles: np.ndarray, sizes: np.ndarray, label: np.ndarray, chunk: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of lines that join all groups that similar lines link; lines of one chunk meet only if there is
+    one chunk. shingles: the lines' sets, one after the other."""
+    m = len(sizes)
+    _, token, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    line = np.repeat(np.arange(m), sizes)
+    common = times[token] > 1  # the others are in no two lines
+    token, line = np.unique(token[common], return_inverse=True)[1], line[common]
+    order = np.argsort(token, kind="stable")
+    by_token, starts = line[order], np.searchsorted(token[order], np.arange(token.max(initial=-1) + 2))
+    lengths = np.diff(starts)
+    dense = m * m * len(lengths) / 50 < float((lengths.astype(float) ** 2).sum())
+    groups = simhash._Forest(m)
+    for one in np.unique(label):
+        if len(same := np.flatnonzero(label == one)) > 1:
+            groups.join(same)
+    both = len(np.unique(chunk)) > 1
+    u, v = [], []
+    step = max(1, (1 << 22) // max(1, m))
+    line_starts = np.searchsorted(line, np.arange(m + 1))
+    for s in range(0, m, step):
+        e = min(m, s + step)
+        shared = np.zeros((e - s, m), np.float32)
+        if dense:
+            for t in range(0, len(lengths), 2048):
+                has = np.zeros((m, min(2048, len(lengths) - t)), np.float32)
+                part = (token >= t) & (token < t + 2048)
+                has[line[part], token[part] - t] = 1
+                shared += has[s:e] @ has.T
+        else:
+            for x in range(s, e):
+                mine = token[line_starts[x] : line_starts[x + 1]]
+                size = lengths[mine]
+                at = np.repeat(starts[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                shared[x - s] = np.bincount(by_token[at], minlength=m)
+        near = shared >= similarity * (sizes[s:e, None] + sizes[None, :] - shared) - 1e-6
+        near &= label[s:e, None] != label[None, :]
+        if both:
+            near &= chunk[s:e, None] != chunk[None, :]
+        for a, b in zip(*np.nonzero(near), strict=True):
+            pair = np.array([a + s, b])
+            if len(np.unique(groups.roots(pair))) > 1:
+                groups.join(pair)
+                u.append(a + s)
+                v.append(b)
+    return np.array(u, np.int64), np.array(v, np.int64)
 
 
 def keep_one(docs: DataFrame, shingle_words: int, radius: int, similarity: float) -> DataFrame:
