@@ -325,6 +325,15 @@ def test_cells_link_what_is_similar(seed):
     assert all(jaccard(sets[i], sets[j]) >= 0.8 for i, j in zip(u, v))
 
 
+def test_texts_with_entities_may_hold_them(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("0123456789.- +@ab") for _ in range(rng.randrange(5, 60))) for _ in range(3000)] + ["1.2.3.4", "+1 (2)345.678", "a@b.c", "4111 1111-11111111"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    may = {r.text for r in df.filter(pii.may_hold(F.col("text"))).collect()}
+    held = {t for t in texts if pii.base_spans(t)}
+    assert {"1.2.3.4", "a@b.c", "4111 1111-11111111"} <= held <= may
+
+
 def test_rewrite_overlaps():
     assert pii.rewrite("ab 1.2.3.4 cd", [(1, 3, 10)], [(0, 2, 0.8), (11, 13, 0.99)], 0.95) == "<TERM> <IP> "
 
