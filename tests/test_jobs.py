@@ -18,16 +18,19 @@ CASES = {
     "mnp": ([("1", 3, "AT", "CG", ".", "1/0")], [("1", 3, "A", "C", ".", "1/0"), ("1", 4, "T", "G", ".", "1/0")], {}, {"truth": ["TP"], "call": ["TP", "TP"]}),
     "genotype": ([("1", 993, "C", "CA", ".", "1/1")], [("1", 993, "C", "CA", ".", "1/0")], {"match_geno": True}, {"truth": ["FN"], "call": ["FP"]}),
     "no genotype": ([("1", 993, "C", "CA", ".", "1/1")], [("1", 993, "C", "CA", ".", "1/0")], {}, {"truth": ["TP"], "call": ["TP"]}),
-    "insertion": ([("21", 12893, "A", "<INS>", "SVLEN=100", "1/1")], [("21", 12793, "A", "<INS>", "SVLEN=200", "1/0")], {"wiggle": 150, "ratio": 0.5}, {"truth": ["TP"], "call": ["FP"]}),
+    "insertion": ([("21", 12893, "A", "<INS>", "SVLEN=100", "1/1")], [("21", 12793, "A", "<INS>", "SVLEN=200", "1/0")], {"wiggle": 150, "ratio": 0.5}, {"truth": ["TP"], "call": ["TP"], "distances": (100, 100, 100)}),
     "partial": ([("1", 6, "AAA", "AG", ".", "1|1")], [("1", 1, "CAA", "CA", ".", "1/1"), ("1", 8, "A", "G", ".", "1/1")], {"disallow_partial": True}, {"truth": ["FN"], "call": ["FP", "FP"]}),
 }
 
 
-@pytest.mark.parametrize("case", ["complex", "genotype", "partial"])
+@pytest.mark.parametrize("case", sorted(CASES))
 def test_compare(spark, tmp_path, case):
     truth, calls, options, want = CASES[case]
     got = jobs.compare_variants(variants(spark, tmp_path, "t", truth), variants(spark, tmp_path, "c", calls), **options)["outcomes"].collect()
-    for side, outcomes in want.items():
+    if distances := want.get("distances"):
+        assert [(r.d_start, r.d_end, r.d_len) for r in got if r.side == "truth"] == [distances]
+    for side in ("truth", "call"):
+        outcomes = want[side]
         assert sorted(r.outcome for r in got if r.side == side) == outcomes, case
 
 

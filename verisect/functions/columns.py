@@ -144,7 +144,7 @@ def allele_fraction(ad: Column, ao: Column, ro: Column) -> Column:
     numbers = lambda c: F.transform(F.split(c, ","), lambda x: x.try_cast("double"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
     part = lambda x, t: F.when(t > 0, F.round(x / F.when(t > 0, t), 4)).otherwise(0.0).cast("string")
-    from_ad = F.array_join(F.transform(F.slice(numbers(ad), 2, 100), lambda x: part(x, total(numbers(ad)))), ",")
+    from_ad = F.array_join(F.transform(F.filter(numbers(ad), lambda x, i: i >= 1), lambda x: part(x, total(numbers(ad)))), ",")
     depth = total(numbers(ao)) + F.coalesce(ro.try_cast("double"), F.lit(0.0))
     from_ao = F.array_join(F.transform(numbers(ao), lambda x: part(x, depth)), ",")
     return F.when(ad.contains(","), from_ad).when(ao.isNotNull() & ro.isNotNull(), from_ao).otherwise("N/A")

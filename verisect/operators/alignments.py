@@ -55,7 +55,7 @@ def events_of(loci: Column) -> Column:
 def in_true_regions(df: DataFrame, regions: DataFrame, read_len: str = "read_len") -> DataFrame:
     """Reads (unique by read_name and mate) with a true locus that, a read's length wide, lies in a region;
     reads without loci are left out."""
-    loci = df.select("read_name", "mate", read_len, F.explode("loci").alias("l")).select("read_name", "mate", F.col("l.chr").alias("chr"), F.col("l.loc").alias("start"), (F.col("l.loc") + F.col(read_len) - 1).alias("end"), F.monotonically_increasing_id().alias("__n"))
+    loci = df.select("read_name", "mate", read_len, F.posexplode("loci").alias("__n", "l")).select("read_name", "mate", F.col("l.chr").alias("chr"), F.col("l.loc").alias("start"), (F.col("l.loc") + F.col(read_len) - 1).alias("end"), "__n")
     hit = in_regions(loci, regions, ("read_name", "mate", "__n")).select("read_name", "mate").distinct()
     return df.join(hit, ["read_name", "mate"], "left_semi")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
+from verisect.operators.storage import numbered, placed, stored
 
 ALLELE = ("chr", "pos", "ref", "alt")
 
@@ -110,20 +111,9 @@ def sample_exact(df: DataFrame, sizes: dict[str, int], key: Column | None = None
 
 
 def number_rows(df: DataFrame, order: tuple[str, ...], name: str = "number", start: int = 0) -> DataFrame:
-    """Running numbers over the whole frame without a single-task window: sorted rows are counted per
-    partition, and each partition starts where those before it end."""
-    spark = df.sparkSession
-    placed = df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    per = placed.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect()  # a row for each partition
-    firsts, seen = [], start
-    for r in per:
-        firsts.append((r["__p"], seen))
-        seen += r["n"]
-    offsets = F.broadcast(spark.createDataFrame(firsts, "__p int, __first long")) if firsts else None
-    if offsets is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    within = F.col("__i").bitwiseAND((1 << 33) - 1)
-    return placed.join(offsets, "__p").withColumn(name, F.col("__first") + within).drop("__p", "__i", "__first")
+    """Running numbers over the whole frame without a single-task window: sorted rows are written once with
+    their places, and each partition starts where those before it end."""
+    return numbered(stored(placed(df.orderBy(*order))), name, start)
 
 
 def tag_somatic(df: DataFrame, tag: str = "COSMIC", name: str = "SOMATIC") -> DataFrame:

@@ -6,15 +6,43 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write a frame under spark.checkpoint.dir (a temporary folder if that is unset) and read it again."""
+    """Write a frame under spark.checkpoint.dir and read it again. Where that is unset on one machine, a
+    temporary folder is made; on a cluster it must be set."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Columns that keep a row's place: its partition, and its number within.
+PLACE = ("__p", "__i")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """Adds a row's place in the frame as it is laid out."""
+    return df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+
+
+def numbered(rows: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Running numbers from start for rows of placed(), without a window over everything: each partition
+    starts where those before it end. rows is read twice and must be laid out alike both times: a stored
+    frame, or a scan of files."""
+    spark = rows.sparkSession
+    firsts, seen = [], start
+    for r in rows.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect():  # a row for each partition
+        firsts.append((r["__p"], seen))
+        seen += r["n"]
+    if not firsts:
+        return rows.withColumn(name, F.lit(None).cast("long")).drop(*PLACE)
+    offsets = F.broadcast(spark.createDataFrame(firsts, "__p int, __first long"))
+    return rows.join(offsets, "__p").withColumn(name, F.col("__first") + F.col("__i")).drop("__first", *PLACE)

@@ -46,8 +46,9 @@ def compare_variants(truth: DataFrame, calls: DataFrame, regions: DataFrame | No
         taken = match.match_whole_calls(edges, c.groupBy(F.col("whole").alias("call")).agg(F.count("*").alias("pieces")))
     else:
         taken = match.greedy_match(edges)
+    ends = lambda p: C.variant_end(F.col(f"{p}overall_type"), F.col(f"{p}pos"), F.col(f"{p}len"))  # noqa: E731  of variants, not of centred intervals
     hits = taken.select(F.col("piece").alias("c_rec_no"), F.col("truth").alias("rec_no")).join(t, "rec_no").join(prefixed, "c_rec_no")
-    hits = stored(hits.select("whole", "c_whole", "rec_no", "c_rec_no", "len", "c_len", (F.col("c_start") - F.col("start")).alias("d_start"), (F.col("c_end") - F.col("end")).alias("d_end"), (F.col("c_len") - F.col("len")).alias("d_len")))
+    hits = stored(hits.select("whole", "c_whole", "rec_no", "c_rec_no", "len", "c_len", (F.col("c_pos") - F.col("pos")).alias("d_start"), (ends("c_") - ends("")).alias("d_end"), (F.col("c_len") - F.col("len")).alias("d_len")))
     total = lambda p: p.groupBy(F.col("whole").alias("rec_no")).agg(F.sum("len").alias("len"), F.min("chr").alias("chr"), F.min("start").alias("start"), F.max("end").alias("end"))
     known = lambda df: df if regions is None else intervals.point_flags(df, regions, {"__a": "start", "__b": "end"}).withColumn("known", F.col("__a") & F.col("__b")).drop("__a", "__b")
     by_truth = match.validated_lengths(hits, "whole").withColumnRenamed("whole", "rec_no")

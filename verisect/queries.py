@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
 from verisect.operators import alignments, canonical, cohort, intervals, liftover, mapbuild, match, setops, stats
+from verisect.operators.storage import stored
 from verisect.plans.projections import view, with_views
 
 RATIO, WIGGLE = 0.8, 20
@@ -34,14 +35,15 @@ def _overlap(a: str, b: str, wiggle: int = WIGGLE, ratio: float = RATIO) -> str:
     return f"least({a}.e+{shift}, {b}.e) - greatest({a}.s+{shift}, {b}.s) + 1 >= greatest({a}.e-{a}.s+1, {b}.e-{b}.s+1) * {ratio}::double"
 
 
-#: Pairs of truth and call that may match, and what was matched at least once.
+#: Pairs of truth and call that may match, and what was matched at least once. Lengths are 400 at most, so wide
+#: pairs lie in the same or neighbouring cells of 4096 bases, which lets the other engine join by equality.
 PAIRS = f"""pairs as (
   select t.rec_no, c.rec_no as c_rec_no, t.overall_type, t.len, c.len as c_len, t.pos, c.pos as c_pos from tiv t join civ c on t.chr=c.chr and t.pos=c.pos and t.alt=c.alt where t.overall_type='SNP' and c.overall_type='SNP'
   union all
   select t.rec_no, c.rec_no, t.overall_type, t.len, c.len, t.pos, c.pos from tiv t join civ c on t.chr=c.chr and t.pos=c.pos and t.alt=c.alt and t.overall_type=c.overall_type
   where t.overall_type in ('Insertion','Deletion') and t.len<100 and c.len<100 and {_overlap("t", "c", 0)}
   union all
-  select t.rec_no, c.rec_no, t.overall_type, t.len, c.len, t.pos, c.pos from tiv t join civ c on t.chr=c.chr and t.overall_type=c.overall_type and c.s <= t.e+{WIGGLE} and c.e >= t.s-{WIGGLE}
+  select t.rec_no, c.rec_no, t.overall_type, t.len, c.len, t.pos, c.pos from (select *, pos//4096 + unnest([-1, 0, 1]) as cell from tiv) t join civ c on t.chr=c.chr and t.overall_type=c.overall_type and t.cell=c.pos//4096 and c.s <= t.e+{WIGGLE} and c.e >= t.s-{WIGGLE}
   where t.overall_type<>'SNP' and not (t.overall_type in ('Insertion','Deletion') and t.len<100) and not (c.overall_type in ('Insertion','Deletion') and c.len<100) and {_overlap("c", "t")})"""
 OUTCOMES = """outcomes as (
   select t.rec_no, t.overall_type, t.len, case when exists (select 1 from pairs p where p.rec_no=t.rec_no) then 'TP' else 'FN' end as outcome from truth t
@@ -104,7 +106,8 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    truth, calls, pairs = view(spark, d, "truth"), view(spark, d, "calls"), _pairs(spark, d)
+    truth, calls = view(spark, d, "truth"), view(spark, d, "calls")
+    pairs = stored(_pairs(spark, d).select("rec_no", "c_rec_no"))  # both sides of the outcome need them
     seen = pairs.select("rec_no").distinct().withColumn("__hit", F.lit(True))
     t = truth.join(seen, "rec_no", "left").select("rec_no", "overall_type", "len", F.when(F.col("__hit"), "TP").otherwise("FN").alias("outcome"))
     false = calls.join(pairs.select(F.col("c_rec_no").alias("rec_no")).distinct(), "rec_no", "left_anti")
@@ -374,9 +377,9 @@ def call_outcome(spark, d):
     return match.call_outcome(view(spark, d, "calls"), v, RATIO).select("rec_no", F.col("validated").cast("long").alias("validated"), "outcome")
 
 
-@register("validated_lengths", _sql("truth calls", "select rec_no, cast(sum(len) as bigint) as validated, max(abs(c_pos-pos)) as d_start, max(abs(c_pos+c_len-pos-len)) as d_end, cast(max(abs(c_len-len)) as bigint) as d_len from pairs group by rec_no", TIV, CIV, PAIRS))
+@register("validated_lengths", _sql("truth calls", "select rec_no, cast(sum(len) as bigint) as validated, max(abs(c_pos-pos)) as d_start, max(abs(c_pos-pos + case when overall_type in ('Insertion','SNP','TandemDup') then 0 else c_len-len end)) as d_end, cast(max(abs(c_len-len)) as bigint) as d_len from pairs group by rec_no", TIV, CIV, PAIRS))
 def validated_lengths(spark, d):
-    p = _pairs(spark, d).select("rec_no", "len", (F.col("c_pos") - F.col("pos")).alias("d_start"), (F.col("c_pos") + F.col("c_len") - F.col("pos") - F.col("len")).alias("d_end"), (F.col("c_len") - F.col("len")).alias("d_len"))
+    p = _pairs(spark, d).select("rec_no", "len", (F.col("c_pos") - F.col("pos")).alias("d_start"), (C.variant_end(F.col("overall_type"), F.col("c_pos"), F.col("c_len")) - C.variant_end(F.col("overall_type"), F.col("pos"), F.col("len"))).alias("d_end"), (F.col("c_len") - F.col("len")).alias("d_len"))
     out = match.validated_lengths(p, "rec_no")
     return out.withColumns({c: F.col(c).cast("long") for c in ("validated", "d_start", "d_end", "d_len")})
 

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
+from verisect.operators.storage import numbered, placed
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, rec_no, value) of all lines in file order; rec_no counts over all files. Gzip by extension."""
+    """(file, rec_no, value) of all lines in file order; rec_no counts over all files. Gzip by extension. The
+    text is read twice: once for the number of lines of each part of a file, once for the lines."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("file"), "value")
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1], x[0][1]))
-    return spark.createDataFrame(numbered, "file string, rec_no long, value string")
+    return numbered(placed(lines), "rec_no").select("file", "rec_no", "value")
 
 
 def _data(lines: DataFrame, comment: str = "#") -> DataFrame:
@@ -33,7 +34,7 @@ def read_bed_full(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     parts = F.split("value", "\t")
     opt = lambda i: F.try_element_at(parts, F.lit(i))
     rows = _data(read_lines(spark, paths)).filter(~F.col("value").rlike("^(track|browser)\\b"))
-    return rows.select("rec_no", opt(1).alias("chr"), (opt(2).cast("long") + 1).alias("start"), opt(3).cast("long").alias("end"), opt(4).alias("name"), opt(5).alias("score"), opt(6).alias("strand"), F.slice(parts, 7, 1000).alias("rest"))
+    return rows.select("rec_no", opt(1).alias("chr"), (opt(2).cast("long") + 1).alias("start"), opt(3).cast("long").alias("end"), opt(4).alias("name"), opt(5).alias("score"), opt(6).alias("strand"), F.filter(parts, lambda x, i: i >= 6).alias("rest"))
 
 
 def read_map(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -50,7 +51,7 @@ def read_map(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_read_map(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """read_name, mate (from 0), block_no, chr, start, end, strand, feature, read_start, read_end."""
     parts = F.split("value", "\t")
-    mates = _data(read_lines(spark, paths)).select(F.element_at(parts, 1).alias("read_name"), F.posexplode(F.slice(parts, 2, 1000)).alias("mate", "blocks"))
+    mates = _data(read_lines(spark, paths)).select(F.element_at(parts, 1).alias("read_name"), F.posexplode(F.filter(parts, lambda x, i: i >= 1)).alias("mate", "blocks"))
     blocks = mates.filter(F.col("blocks") != "").select("read_name", "mate", F.posexplode(F.split("blocks", ":")).alias("block_no", "block"))
     f = F.split("block", ",")
     at = lambda i: F.element_at(f, i)
