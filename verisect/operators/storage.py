@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a frame under spark.checkpoint.dir and read it again. Where that is unset on one machine, a
-    temporary folder is made; on a cluster it must be set."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A new name under spark.checkpoint.dir. Where that is unset on one machine, a temporary folder is made;
+    on a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame to a new folder that all executors share and read it again."""
+    spark, path = df.sparkSession, new_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -640,3 +640,8 @@ def annotate_false(spark, d):
     caller = calls.select("rec_no", "chr", "pos", F.col("overall_type").alias("ref"), "alt", F.col("rec_no").alias("af"), F.lit(1).alias("dp"))
     master = view(spark, d, "truth").select("rec_no", "chr", "pos", F.col("rec_no").alias("id"))
     return cohort.annotate_false(false, caller, master).select("rec_no", F.col("af").alias("caller_rec"), "nearest_id", "distance")
+
+
+# -- codecs and files: registered where they are defined -----------------------------------------------------
+
+from verisect import codec_queries  # noqa: E402, F401
