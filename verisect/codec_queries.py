@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
-from verisect.operators import setops
-from verisect.operators.storage import new_path
+from verisect.operators import match, setops
+from verisect.operators.storage import new_path, numbered, placed, stored
 from verisect.plans import jobs
 from verisect.plans.projections import view
-from verisect.queries import _HAP, TIV, _breaks, _sql, register
+from verisect.queries import _HAP, _LADDER, _STATUS, CIV, PAIRS, TIV, _breaks, _pairs, _sql, register
 from verisect.sources import sinks, text, vcf
 
 
@@ -231,3 +231,46 @@ def sam_scan(spark, d):
     path = new_path(spark)
     rows.select(line.alias("value")).write.text(path)
     return text.read_sam(spark, path).select("read_name", "mate", "flags", "chr", "pos", "mapq", "unclipped", "identity")
+
+
+# -- orders and jobs -----------------------------------------------------------------------------------------
+
+_ORDERS = {
+    "vcf": "cast(substr(chr, 4) as int), pos, overall_type, alt",
+    "lifted": "chr, pos, overall_type, alt",
+    "variants": "chr, pos - len%3, rec_no%4, rec_no",
+    "loci": "chr, s, e",
+    "files": "rec_no%4, rec_no",
+}
+_KEYS = {"vcf": "chr||':'||cast(pos as varchar)||overall_type||alt", "lifted": "chr||':'||cast(pos as varchar)||overall_type||alt", "variants": "cast(rec_no as varchar)", "loci": "chr||':'||cast(s as varchar)||'-'||cast(e as varchar)", "files": "cast(rec_no as varchar)"}
+
+
+@register("file_orders", _sql("truth", " union all ".join(f"select '{n}' as kind, {_KEYS[n]} as row_key, row_number() over (order by {by}) - 1 as place from {'(select distinct chr, pos, overall_type, alt from truth)' if n == 'lifted' else 'tiv'}" for n, by in _ORDERS.items()), TIV))
+def file_orders(spark, d):
+    start, end = C.interval_ends(F.col("overall_type"), F.col("pos"), F.col("len"))
+    rows = view(spark, d, "truth").select("rec_no", "chr", "pos", F.col("overall_type").alias("ref"), "alt", (F.col("rec_no") % 4).alias("file_no"), start.alias("start"), end.alias("end"), F.repeat(F.lit("A"), (F.col("len") % 3).cast("int")).alias("ref_deleted"))
+    allele = F.concat("chr", F.lit(":"), F.col("pos").cast("string"), "ref", "alt")
+    record, locus = F.col("rec_no").cast("string"), F.concat("chr", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
+    each = (("vcf", setops.order_vcf, allele), ("lifted", setops.order_lifted, allele), ("variants", setops.order_variants, record), ("loci", setops.order_loci, locus), ("files", setops.file_order, record))
+    frames = [numbered(stored(placed(order(rows).select(F.lit(n).alias("kind"), key.alias("row_key")))), "place") for n, order, key in each]
+    return setops.union_all(*frames).select("kind", "row_key", "place")
+
+
+@register("partial_calls", _sql("truth calls", "select rec_no, case when exists (select 1 from pairs p where p.c_rec_no=c.rec_no and p.rec_no//8%4=0) or not exists (select 1 from pairs p where p.c_rec_no=c.rec_no) then 'FP' else 'TP' end as outcome from calls c", TIV, CIV, PAIRS))
+def partial_calls(spark, d):
+    """Every fourth order's truth is taken to be missed."""
+    pairs = stored(_pairs(spark, d).select(F.col("c_rec_no").alias("call"), F.col("rec_no").alias("truth")))
+    calls = view(spark, d, "calls").select("rec_no")
+    hit = calls.join(pairs.select(F.col("call").alias("rec_no")).distinct().withColumn("hit", F.lit(True)), "rec_no", "left").select("rec_no", F.when(F.col("hit"), "TP").otherwise("FP").alias("outcome"))
+    missed = pairs.filter(F.expr("truth div 8") % 4 == 0).select("truth")
+    return match.disallow_partial_fp(hit, pairs, missed).select("rec_no", "outcome")
+
+
+@register("alignment_job", _sql("alignments", f"select cast(c as int) as cutoff, {_LADDER} from (select unnest(range(0, 256)) as c) g join status s on s.mapq>=g.c group by c", _STATUS))
+def alignment_job(spark, d):
+    """Reads against a read map, through the whole job."""
+    rows = view(spark, d, "alignments").withColumn("mate", F.lit(0))
+    block = F.when(F.col("feature") == "Insertion", "INS").when(F.col("feature") == "Deletion", "DEL").when(F.col("feature") == "TandemDup", "DUP_TANDEM").otherwise("SEQ")
+    known = rows.select("read_name", "mate", F.lit(0).alias("block_no"), F.col("true_chr").alias("chr"), (F.col("true_pos") + 3).alias("start"), F.lit(3).cast("long").alias("read_start"), block.alias("feature"))
+    reads = rows.select("read_name", "mate", "flags", "chr", "pos", "mapq", "identity")
+    return jobs.compare_alignments(reads, jobs.loci_from_read_map(known))["by_mapq"]

@@ -583,7 +583,16 @@ def trim_clip(spark, d):
     return t.select("rec_no", F.col("t.shift").cast("long").alias("shift"), F.length("s.ref").cast("long").alias("ref_len"), F.length(F.element_at("s.alts", 1)).cast("long").alias("alt_len"))
 
 
-@register("canonicalize")
+_CANONICAL = (
+    "texts as (select *, substr(r, 1, cast(len%3 as int))||substr('ACGATCGTCA', cast(len%4+1 as int), cast(len%4+1 as int)) as a, gt='1|1' as hom from (select *, substr('ACGTACGTAC', cast(rec_no%4+1 as int), cast(rec_no%5+1 as int)) as r from truth))",
+    "cut as (select rec_no, chr, hom, pos+n as pos, substr(r, cast(n+1 as int)) as r, substr(a, cast(n+1 as int)) as a, length(a)-length(r) as more from (select *, case when hom then coalesce((select max(k) from range(0, 12) x(k) where k<=least(length(r), length(a)) and left(r, k)=left(a, k)), 0) else 0 end as n from texts where not (length(r)=1 and length(a)=1)))",
+    "sides as (select *, case when side='r' then length(a) else 0 end as kept, case when side='r' then i else i+more end as opposite from (select *, unnest(range(0, length(r)+1)) as i from (select *, unnest(['l', 'r']) as side from cut)))",
+    "pieces as (select rec_no, chr, hom, side, i, case when more>0 then case when side='r' then pos+length(r) else pos end else pos+kept end as pos, case when more>0 then '' else substr(r, cast(kept+1 as int), cast(-more as int)) end as ref, case when more>0 then substr(a, 1, cast(more as int)) else '' end as alt from sides where i=0 and more<>0 union all select rec_no, chr, hom, side, i, pos+i-1, substr(r, cast(i as int), 1), substr(a, cast(opposite as int), 1) from sides where i>0 and opposite between 1 and length(a) and substr(a, cast(opposite as int), 1)<>substr(r, cast(i as int), 1))",
+    "sizes as (select rec_no, count(case when side='l' then 1 end) as nl, count(case when side='r' then 1 end) as nr from pieces group by rec_no)",
+)
+
+
+@register("canonicalize", _sql("truth", "select rec_no, cast(row_number() over (partition by rec_no order by i)-1 as int) as piece_no, chr, cast(pos as bigint) as pos, ref, alt, cast(null as varchar) as alt2, cast(case when hom then 1 else 0 end as int) as gt_p, cast(1 as int) as gt_m from (select p.* from pieces p join sizes s on s.rec_no=p.rec_no and p.side=case when nr<nl then 'r' else 'l' end union all select rec_no, chr, hom, 'l', 0, pos, r, a from texts where length(r)=1 and length(a)=1)", *_CANONICAL))
 def canonicalize(spark, d):
     rows = _alleles(_alleles_text(view(spark, d, "truth"))).withColumn("alts", F.array("alt_text"))
     return canonical.canonicalize(rows)
