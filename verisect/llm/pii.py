@@ -165,15 +165,17 @@ def entity_texts(found: DataFrame) -> DataFrame:
 def term_documents(docs: DataFrame) -> tuple[DataFrame, int]:
     """(term, term_docs): in how many different texts of docs each term is; and how many texts there are.
 
-    Every row counts 1; of a text that n rows hold, one row more counts 1 - n. So only texts with copies
-    are brought together.
+    Every row counts 1; of a text that n rows hold, the row of its smallest id counts 1 - n more (if several
+    have that id, each its part of that). So texts with copies count once; if they are few no text is moved.
     """
-    rows = docs.filter("text is not null").select(F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text"))
-    sizes = stored(rows.groupBy("hash").agg(F.count("hash").alias("n")))
-    again = if_small(stored(sizes.filter("n > 1")))
-    parts = rows.select("text", F.lit(1).cast("long").alias("times")).unionByName(rows.join(again, "hash").dropDuplicates(["hash"]).select("text", (1 - F.col("n")).alias("times")))
+    text, own_id = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    rows = docs.filter("text is not null").select(F.xxhash64(text).alias("hash"), own_id.alias("id"), text.alias("text"))
+    alike = rows.groupBy("hash", "id").agg(F.count("hash").alias("m"))
+    sizes = stored(alike.groupBy("hash").agg(F.sum("m").alias("n"), F.min(F.struct("id", "m")).alias("first")))
+    again = if_small(stored(sizes.filter("n > 1").select("hash", F.col("first.id").alias("id"), ((1 - F.col("n")) / F.col("first.m")).alias("times"))))
+    parts = rows.select("text", F.lit(1.0).alias("times")).unionByName(rows.join(again, ["hash", "id"]).select("text", "times"))
     words = parts.select("times", F.explode(F.array_distinct(F.split(F.lower("text"), NOT_TERM))).alias("term"))
-    return words.groupBy("term").agg(F.sum("times").alias("term_docs")), max(1, sizes.count())
+    return words.groupBy("term").agg(F.round(F.sum("times")).cast("long").alias("term_docs")), max(1, sizes.count())
 
 
 def _disclosure(both: Column, entity_docs: Column, term_docs: Column, all_docs: int, prior: float) -> Column:
