@@ -198,6 +198,10 @@ def disclosures(docs: DataFrame, texts: DataFrame, prior: float = PRIOR, at_leas
     at_most = _disclosure(F.least("entity_docs", "term_docs"), F.col("entity_docs"), F.col("term_docs"), all_docs, prior)
     pairs = stored(rates.filter(at_most >= at_least).select("entity", "term", "entity_docs", "term_docs"))
     occurs = texts.select("key", F.explode("terms").alias("t")).select("key", "t.term", "t.at")
+    # most terms of a text are of no pair: they are left out by a hash before anything moves, if that is small
+    hashes = stored(pairs.select(F.xxhash64("term").alias("hash")).distinct())
+    if if_small(hashes) is not hashes:
+        occurs = occurs.join(F.broadcast(hashes), F.xxhash64("term") == F.col("hash"), "left_semi")
     together = stored(occurs.join(pairs.select("entity", "term"), "term").join(holds, ["key", "entity"]).select("key", "entity", "term", "at"))
     both = together.groupBy("entity", "term").agg(F.count("key").alias("both")).join(pairs, ["entity", "term"])
     shown = _disclosure(F.col("both"), F.col("entity_docs"), F.greatest("term_docs", "both"), all_docs, prior)
