@@ -14,8 +14,8 @@ from verisect.llm.common import stored
 
 #: Near duplicates of this pipeline: five-word shingles. At a similarity (Jaccard) of 0.8 fingerprints of
 #: 64 bits differ in 9.7 bits on average (64 * acos(2 * 0.8 / 1.8) / pi), too many for a search that does not
-#: grow with the square of the documents; so MinHash bands propose pairs
-#: as well. Pairs are linked if their whole shingle sets have at least that similarity.
+#: grow with the square of the documents; so MinHash bands propose pairs as well. Pairs are linked if their
+#: whole shingle sets have at least that similarity.
 SHINGLE_WORDS, RADIUS, SIMILARITY = 5, 4, 0.8
 
 
