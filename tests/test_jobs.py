@@ -13,6 +13,20 @@ def variants(spark, tmp_path, name, lines):
     return vcf.read_vcf(spark, str(path))[0]
 
 
+def moved(a, pos_a, b, pos_b):
+    """Two translocations whose sources and targets are exchanged."""
+    return [
+        (a, pos_a, "G", "<DEL:TRA>", "SVTYPE=DEL;TRAID=2;SVLEN=-3", "1|1"),
+        (a, pos_a, "G", "<DUP:TRA>", "SVTYPE=DUP;TRAID=1;SVLEN=4;CHR2=2;POS2=7;END2=10", "1|1"),
+        (b, pos_b, "T", "<DEL:TRA>", "SVTYPE=DEL;TRAID=1;SVLEN=-4", "1|1"),
+        (b, pos_b, "T", "<DUP:TRA>", "SVTYPE=DUP;TRAID=2;SVLEN=3;CHR2=1;POS2=9;END2=11", "1|1"),
+    ]
+
+
+def copy_at(pos, size, start, end, more=""):
+    return ("1", pos, "A", "<DUP:ISP>", f"SVTYPE=DUP;SVLEN={size};CHR2=1;POS2={start};END2={end}{more}", "0|1")
+
+
 CASES = {
     "complex": ([("1", 996, "AATG", "AC", ".", "1/1")], [("1", 996, "AAT", "A", ".", "0|1"), ("1", 999, "G", "C", ".", "0|1")], {}, {"truth": ["TP"], "call": ["TP", "TP"]}),
     "mnp": ([("1", 3, "AT", "CG", ".", "1/0")], [("1", 3, "A", "C", ".", "1/0"), ("1", 4, "T", "G", ".", "1/0")], {}, {"truth": ["TP"], "call": ["TP", "TP"]}),
@@ -20,6 +34,12 @@ CASES = {
     "no genotype": ([("1", 993, "C", "CA", ".", "1/1")], [("1", 993, "C", "CA", ".", "1/0")], {}, {"truth": ["TP"], "call": ["TP"]}),
     "insertion": ([("21", 12893, "A", "<INS>", "SVLEN=100", "1/1")], [("21", 12793, "A", "<INS>", "SVLEN=200", "1/0")], {"wiggle": 150, "ratio": 0.5}, {"truth": ["TP"], "call": ["TP"], "distances": (100, 100, 100)}),
     "partial": ([("1", 6, "AAA", "AG", ".", "1|1")], [("1", 1, "CAA", "CA", ".", "1/1"), ("1", 8, "A", "G", ".", "1/1")], {"disallow_partial": True}, {"truth": ["FN"], "call": ["FP", "FP"]}),
+    "translocations": (moved("1", 8, "2", 6), moved("1", 11, "2", 5), {"wiggle": 10}, {"truth": ["TP", "TP"], "call": ["TP", "TP"], "members": [[1, 4], [2, 3]], "kinds": {"Translocation"}}),
+    "orientation": ([copy_at(1, 10, 9, 18)], [copy_at(1, 10, 9, 18, ";ISINV")], {"wiggle": 100}, {"truth": ["FN"], "call": ["FP"]}),
+    "copied elsewhere": ([copy_at(1, 3, 9, 11)], [copy_at(15, 3, 9, 11)], {"wiggle": 100}, {"truth": ["TP"], "call": ["TP"], "kinds": {"InterDup"}}),
+    "copied too far": ([copy_at(1, 3, 9, 11)], [copy_at(15, 3, 9, 11)], {"wiggle": 5}, {"truth": ["FN"], "call": ["FP"]}),
+    "half a translocation": (moved("1", 8, "2", 6)[:1], moved("1", 8, "2", 6), {}, {"truth": [], "call": ["FP", "FP"]}),
+    "split": ([("1", 100, "A" + "C" * 150, "G", ".", "1/1")], [("1", 99, "TA" + "C" * 149, "T", ".", "1/1")], {}, {"truth": ["FN", "TP"], "call": ["TP"], "kinds": {"Deletion", "SNP"}}),
 }
 
 
@@ -29,6 +49,11 @@ def test_compare(spark, tmp_path, case):
     got = jobs.compare_variants(variants(spark, tmp_path, "t", truth), variants(spark, tmp_path, "c", calls), **options)["outcomes"].collect()
     if distances := want.get("distances"):
         assert [(r.d_start, r.d_end, r.d_len) for r in got if r.side == "truth"] == [distances]
+    if members := want.get("members"):
+        base = min(n for r in got for n in r.members) - 1  # record numbers count the header
+        assert sorted([n - base for n in r.members] for r in got if r.side == "truth") == members
+    if kinds := want.get("kinds"):
+        assert {r.overall_type for r in got if r.side == "truth"} == kinds
     for side in ("truth", "call"):
         outcomes = want[side]
         assert sorted(r.outcome for r in got if r.side == side) == outcomes, case

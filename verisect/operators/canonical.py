@@ -114,15 +114,16 @@ def _haplotypes(gt_p: Column, gt_m: Column, make) -> Column:
 
 def dup_to_breakends(dups: DataFrame) -> DataFrame:
     """Two breakends for each haplotype that carries a dispersed duplication (rec_no, chr, pos, chr2, pos2,
-    end2, is_inv, gt_p, gt_m): one into the copy and one out of it, swapped if it is inverted."""
+    end2, is_inv, gt_p, gt_m): one into the copy, at the base before pos, and one out of it, at pos; the
+    mates are swapped if it is inverted."""
 
     def ends(hap: str, p: int, m: int) -> Column:
         into, out = F.when(F.col("is_inv"), F.col("end2")).otherwise(F.col("pos2")), F.when(F.col("is_inv"), F.col("pos2")).otherwise(F.col("end2"))
-        bnd = lambda mate, left: F.struct(F.lit(hap).alias("haplotype"), F.col("chr2").alias("mate_chr"), mate.alias("mate_pos"), F.lit(left).alias("left"), F.when(F.col("is_inv"), not left).otherwise(left).alias("forward"), F.lit(p).alias("gt_p"), F.lit(m).alias("gt_m"))
+        bnd = lambda mate, left: F.struct((F.col("pos") - 1 if left else F.col("pos")).alias("pos"), F.lit(hap).alias("haplotype"), F.col("chr2").alias("mate_chr"), mate.alias("mate_pos"), F.lit(left).alias("left"), F.when(F.col("is_inv"), not left).otherwise(left).alias("forward"), F.lit(p).alias("gt_p"), F.lit(m).alias("gt_m"))
         return F.array(bnd(into, True), bnd(out, False))
 
     each = F.flatten(_haplotypes(F.col("gt_p"), F.col("gt_m"), ends))
-    return dups.select("rec_no", "chr", "pos", F.posexplode(each).alias("piece_no", "x")).select("rec_no", "piece_no", "chr", "pos", "x.*")
+    return dups.select("rec_no", "chr", F.posexplode(each).alias("piece_no", "x")).select("rec_no", "piece_no", "chr", "x.*")
 
 
 def del_to_breakends(dels: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
@@ -12,56 +12,117 @@ from verisect.operators import alignments as al
 from verisect.operators import canonical, cohort, intervals, liftover, mapbuild, match, setops, stats
 from verisect.operators.storage import stored
 
-#: Bits of a piece's number in the id of a piece.
+#: Bits of a piece's number in the id of a piece; the topmost one tells the members of a composite apart.
 PIECE_BITS = 20
-
-
-def pieces_of(variants: DataFrame) -> DataFrame:
-    """Comparable pieces of canonical variant rows: rec_no (of the piece), whole, chr, pos, overall_type, ref_len,
-    len, alt, hom, start, end. Sequence variants are taken apart, others are one piece."""
+#: Allele types of copies that stand elsewhere; they are compared by their breakends.
+MOVED_COPIES = ("Translocation_Duplication", "Interspersed_Duplication")
+
+
+def _carried(types: bool = False) -> Column:
+    """Alleles that the two haplotypes carry (missing ones filled in), as an array; or their types."""
+    eff = C.effective_alleles(F.col("gt_p"), F.col("gt_m"), F.size("alts"), F.col("chr"))
+    alleles = F.array(eff["p"], eff["m"])
+    if not types:
+        return alleles
+    return F.transform(F.filter(alleles, lambda g: g > 0), lambda g: F.try_element_at("alts", g)["allele_type"])
+
+
+def with_composites(variants: DataFrame) -> DataFrame:
+    """Adds whole, members (record numbers), kind and size, and makes rec_no the id of the member's pieces. Two
+    records of one TRAID are a composite: it stands at its second record, its kind is that of all its alleles,
+    its size the larger one. A TRAID's record without a partner is half an event and is left out."""
+    plain = variants.filter("traid is null").withColumns({"whole": F.col("rec_no"), "members": F.array("rec_no"), "kind": F.col("overall_type"), "size": F.col("max_len")})
+    joined = variants.filter("traid is not null")
+    pairs = setops.pair_by_traid(joined)
+    kinds = canonical.compose_traid(joined.select("rec_no", _carried(True).alias("types")), pairs).select("traid", "pair", "rec_no", F.col("composite_type").alias("kind"))
+    placed = joined.drop("traid").join(kinds, "rec_no").join(pairs, ["traid", "pair"]).drop("pair").withColumn("whole", F.element_at("members", 2))
+    placed = placed.withColumn("size", F.max("max_len").over(Window.partitionBy("whole")))
+    member = (F.array_position("members", F.col("rec_no")) - 1).cast("long")
+    each = plain.unionByName(placed)
+    return each.withColumn("rec_no", F.shiftleft(F.col("whole").cast("long"), PIECE_BITS) + F.shiftleft(member, PIECE_BITS - 1))
+
+
+def breakend_pieces(variants: DataFrame) -> DataFrame:
+    """Breakends of the haplotypes that carry a dispersed duplication or a translocated deletion; of a variant
+    that has both the duplication alone. A duplication without CHR2 has its source on its own chromosome."""
+    each = variants.withColumn("copies", F.exists(_carried(True), lambda t: t.isin(*MOVED_COPIES))).select("*", F.posexplode(_carried()).alias("hap", "allele")).filter("allele > 0")
+    each = each.withColumn("kind_of", F.try_element_at("alts", F.col("allele"))["allele_type"]).withColumns({"gt_p": (F.col("hap") == 0).cast("int"), "gt_m": (F.col("hap") == 1).cast("int")})
+    source = {c: F.try_element_at(c, F.col("allele")) for c in ("chr2", "pos2", "end2")}
+    source["chr2"] = F.coalesce(source["chr2"], F.col("chr"))
+    dups = canonical.dup_to_breakends(each.filter(F.col("kind_of").isin(*MOVED_COPIES)).withColumns(source))
+    dels = canonical.del_to_breakends(each.filter(~F.col("copies") & (F.col("kind_of") == "Translocation_Deletion")))
+    return dups.unionByName(dels).withColumn("piece_no", F.col("piece_no") + 2 * F.col("gt_m"))
+
+
+def pieces_of(units: DataFrame, ratio: float = 0.8, sv_length: int = C.SV_LENGTH) -> DataFrame:
+    """Comparable pieces of rows of with_composites: rec_no (of the piece), whole, unit, split, chr, pos,
+    overall_type, ref_len, len, alt, hom, start, end, and the mate's place and orientation of breakends. Sequence
+    variants and dispersed ones are taken apart, others are one piece. unit: what has an outcome of its own, the
+    whole variant, or each piece of one that is split."""
     symbolic = F.exists("alts", lambda a: a["kind"] == "symbolic")
-    seqs = variants.filter(~symbolic).withColumn("alts", F.transform("alts", lambda a: a["seq"]))
-    cut = stored(canonical.canonicalize(seqs)).withColumnRenamed("rec_no", "whole")
+    moved = F.exists(_carried(True), lambda t: t.isin(*MOVED_COPIES, "Translocation_Deletion"))
+    seqs = units.filter(~symbolic).withColumn("alts", F.transform("alts", lambda a: a["seq"]))
+    cut = stored(canonical.canonicalize(seqs))
     n_ref, n_alt = F.length("ref"), F.length("alt")
     kind = F.when((n_ref == 1) & (n_alt == 1), "SNP").when(n_ref == 0, "Insertion").when(n_alt == 0, "Deletion").otherwise("Complex")
-    cut = cut.select("whole", "piece_no", "chr", "pos", kind.alias("overall_type"), n_ref.alias("ref_len"), F.greatest(n_ref, n_alt).alias("len"), "alt", (F.col("gt_p") == F.col("gt_m")).alias("hom"))
+    cut = cut.select("rec_no", "piece_no", "chr", "pos", kind.alias("overall_type"), n_ref.alias("ref_len"), F.greatest(n_ref, n_alt).alias("len"), "alt", (F.col("gt_p") == F.col("gt_m")).alias("hom"))
     hom = C.is_hom(F.col("gt_p"), F.col("gt_m"))
-    rest = variants.filter(symbolic).select(F.col("rec_no").alias("whole"), F.lit(0).alias("piece_no"), "chr", "pos", "overall_type", "ref_len", F.col("max_len").alias("len"), F.lit("").alias("alt"), hom.alias("hom"))
+    rest = units.filter(symbolic & ~moved).select("rec_no", F.lit(0).alias("piece_no"), "chr", "pos", "overall_type", "ref_len", F.col("max_len").alias("len"), F.lit("").alias("alt"), hom.alias("hom"))
+    ends = breakend_pieces(units.filter(symbolic & moved)).select("rec_no", "piece_no", "chr", "pos", F.lit("Breakend").alias("overall_type"), F.lit(0).alias("ref_len"), F.lit(1).alias("len"), F.lit("").alias("alt"), F.lit(False).alias("hom"), "mate_chr", "mate_pos", "left", "forward")
     start, end = C.interval_ends(F.col("overall_type"), F.col("pos"), F.col("len"))
-    each = cut.unionByName(rest).withColumns({"start": start, "end": end})
-    return each.withColumn("rec_no", F.shiftleft(F.col("whole").cast("long"), PIECE_BITS) + F.col("piece_no")).drop("piece_no")
+    each = cut.unionByName(rest).unionByName(ends, allowMissingColumns=True).withColumns({"start": start, "end": end})
+    each = each.withColumns({"whole": F.shiftright("rec_no", PIECE_BITS), "rec_no": F.col("rec_no") + F.col("piece_no")}).drop("piece_no")
+    flagged = match.split_flag(each, "whole", ratio, sv_length)
+    return flagged.withColumn("unit", F.when(F.col("split"), F.col("rec_no")).otherwise(F.shiftleft("whole", PIECE_BITS)))
+
+
+def _breakend_pairs(truth: DataFrame, calls: DataFrame, wiggle: int) -> DataFrame:
+    """Pairs of breakends that match; calls' columns have c_ names."""
+    right = calls.withColumns({f"r_{x}": F.col(f"c_{x}") for x in ("chr", "pos", "mate_chr", "mate_pos", "left", "forward")})
+    return intervals.breakend_join(truth, right, wiggle).select(*truth.columns, *calls.columns)
 
 
-def compare_variants(truth: DataFrame, calls: DataFrame, regions: DataFrame | None = None, ratio: float = 0.8, wiggle: int = 20, match_geno: bool = False, whole_calls: bool = False, disallow_partial: bool = False, sv_length: int = C.SV_LENGTH) -> dict[str, DataFrame]:
-    """outcomes (side, rec_no, overall_type, len, outcome, and for truth the largest distances), counts by
-    type and by bin. whole_calls: a call matches with all its pieces or not at all; disallow_partial: a call
-    that touches a missed truth is false."""
-    t, c = stored(pieces_of(truth)), stored(pieces_of(calls))
+def compare_variants(truth: DataFrame, calls: DataFrame, regions: DataFrame | None = None, ratio: float = 0.8, wiggle: int = 20, match_geno: bool = False, whole_calls: bool = False, disallow_partial: bool = False, sv_length: int = C.SV_LENGTH, either_end: bool = False) -> dict[str, DataFrame]:
+    """outcomes (side, rec_no, overall_type, len, outcome, members, and for truth the largest distances), counts
+    by type and by bin. A composite has one row, its records are its members; a split variant has one for each
+    piece. whole_calls: a call matches with all its pieces or not at all; disallow_partial: a call that touches a
+    missed truth is false; either_end: one end in a region will do."""
+    t_units, c_units = stored(with_composites(truth)), stored(with_composites(calls))
+    t, c = stored(pieces_of(t_units, ratio, sv_length)), stored(pieces_of(c_units, ratio, sv_length))
     prefixed = c.select(*(F.col(x).alias(f"c_{x}") for x in c.columns))
-    pairs = match.candidates(t, prefixed, ratio, wiggle, sv_length)
+    bnd = F.lit("Breakend")
+    pairs = match.candidates(t.filter(F.col("overall_type") != bnd), prefixed.filter(F.col("c_overall_type") != bnd), ratio, wiggle, sv_length)
+    pairs = pairs.unionByName(_breakend_pairs(t.filter(F.col("overall_type") == bnd), prefixed.filter(F.col("c_overall_type") == bnd), wiggle))
     if match_geno:
         pairs = pairs.filter(F.col("hom") == F.col("c_hom"))
-    edges = stored(pairs.select(F.col("c_whole").alias("call"), F.col("c_whole").alias("call_order"), F.col("c_rec_no").alias("piece"), F.col("rec_no").alias("truth"), F.col("rec_no").alias("truth_order")))
+    edges = stored(pairs.select(F.col("c_whole").alias("call"), F.col("c_whole").alias("call_order"), F.col("c_rec_no").alias("piece"), F.col("rec_no").alias("truth"), F.col("rec_no").alias("truth_order"), "c_unit"))
     if whole_calls:
         taken = match.match_whole_calls(edges, c.groupBy(F.col("whole").alias("call")).agg(F.count("*").alias("pieces")))
     else:
         taken = match.greedy_match(edges)
     ends = lambda p: C.variant_end(F.col(f"{p}overall_type"), F.col(f"{p}pos"), F.col(f"{p}len"))  # noqa: E731  of variants, not of centred intervals
     hits = taken.select(F.col("piece").alias("c_rec_no"), F.col("truth").alias("rec_no")).join(t, "rec_no").join(prefixed, "c_rec_no")
-    hits = stored(hits.select("whole", "c_whole", "rec_no", "c_rec_no", "len", "c_len", (F.col("c_pos") - F.col("pos")).alias("d_start"), (ends("c_") - ends("")).alias("d_end"), (F.col("c_len") - F.col("len")).alias("d_len")))
-    total = lambda p: p.groupBy(F.col("whole").alias("rec_no")).agg(F.sum("len").alias("len"), F.min("chr").alias("chr"), F.min("start").alias("start"), F.max("end").alias("end"))
-    known = lambda df: df if regions is None else intervals.point_flags(df, regions, {"__a": "start", "__b": "end"}).withColumn("known", F.col("__a") & F.col("__b")).drop("__a", "__b")
-    by_truth = match.validated_lengths(hits, "whole").withColumnRenamed("whole", "rec_no")
-    truth_out = match.truth_outcome(known(total(t)), by_truth, ratio)
-    by_call = hits.groupBy(F.col("c_whole").alias("rec_no")).agg(F.sum("c_len").alias("validated"))
-    call_out = match.call_outcome(known(total(c)), by_call, ratio)
+    hits = stored(hits.select("unit", "c_unit", "len", "c_len", (F.col("c_pos") - F.col("pos")).alias("d_start"), (ends("c_") - ends("")).alias("d_end"), (F.col("c_len") - F.col("len")).alias("d_len")))
+
+    def total(pieces: DataFrame) -> DataFrame:
+        """One row a unit. Each member of a composite has to lie in the regions."""
+        member = F.shiftright("rec_no", PIECE_BITS - 1)
+        spans = pieces.groupBy("unit", "whole", "split", member.alias("member"), "chr").agg(F.sum("len").alias("len"), F.min("overall_type").alias("piece_type"), F.min("start").alias("start"), F.max("end").alias("end"))
+        known = []
+        if regions is not None:
+            spans = intervals.point_flags(spans, regions, {"__a": "start", "__b": "end"})
+            known = [F.bool_and((F.col("__a") | F.col("__b")) if either_end else (F.col("__a") & F.col("__b"))).alias("known")]
+        return spans.groupBy("unit", "whole", "split").agg(F.sum("len").alias("len"), F.min("piece_type").alias("piece_type"), *known)
+
+    truth_out = match.truth_outcome(total(t), match.validated_lengths(hits, "unit"), ratio, "unit")
+    call_out = match.call_outcome(total(c), hits.groupBy(F.col("c_unit").alias("unit")).agg(F.sum("c_len").alias("validated")), ratio, "unit")
     if disallow_partial:
-        missed = truth_out.filter("outcome = 'FN'").select(F.col("rec_no").alias("whole")).join(t, "whole").select(F.col("rec_no").alias("truth"))
-        call_out = match.disallow_partial_fp(call_out, edges, missed)
-    kinds = lambda v: v.select("rec_no", "overall_type", F.col("max_len").alias("n"))
-    named = lambda out, v, side, more: out.join(kinds(v), "rec_no").select(F.lit(side).alias("side"), "rec_no", "overall_type", F.col("n").alias("len"), "outcome", *more)
+        missed = truth_out.filter("outcome = 'FN'").select("unit").join(t, "unit").select(F.col("rec_no").alias("truth"))
+        call_out = match.disallow_partial_fp(call_out, edges.select(F.col("c_unit").alias("call"), "truth"), missed, "unit")
+    kinds = lambda units: units.filter((F.col("rec_no") % (1 << PIECE_BITS)) == 0).select("whole", "kind", "size", "members")  # noqa: E731  of a composite the first member's row
+    named = lambda out, units, side, more: out.join(kinds(units), "whole").select(F.lit(side).alias("side"), F.col("whole").alias("rec_no"), F.when(F.col("split"), F.col("piece_type")).otherwise(F.col("kind")).alias("overall_type"), F.when(F.col("split"), F.col("len")).otherwise(F.col("size")).cast("int").alias("len"), "outcome", "members", *more)
     no = F.lit(None).cast("long")
-    outcomes = named(truth_out, truth, "truth", [F.col(x).cast("long").alias(x) for x in ("d_start", "d_end", "d_len")]).unionByName(named(call_out, calls, "call", [no.alias(x) for x in ("d_start", "d_end", "d_len")]))
+    outcomes = named(truth_out, t_units, "truth", [F.col(x).cast("long").alias(x) for x in ("d_start", "d_end", "d_len")]).unionByName(named(call_out, c_units, "call", [no.alias(x) for x in ("d_start", "d_end", "d_len")]))
     outcomes = stored(outcomes)
     counted = outcomes.filter("side = 'truth' or outcome = 'FP'").filter(F.col("outcome").isin("TP", "FN", "FP"))
     return {"outcomes": outcomes, "by_type": stats.with_metrics(stats.confusion_by_type(counted)), "by_bin": stats.confusion_by_bin(counted), "sv_bins": stats.confusion_by_bin(counted, sv_length=sv_length)}
