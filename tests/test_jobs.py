@@ -39,6 +39,7 @@ CASES = {
     "copied elsewhere": ([copy_at(1, 3, 9, 11)], [copy_at(15, 3, 9, 11)], {"wiggle": 100}, {"truth": ["TP"], "call": ["TP"], "kinds": {"InterDup"}}),
     "copied too far": ([copy_at(1, 3, 9, 11)], [copy_at(15, 3, 9, 11)], {"wiggle": 5}, {"truth": ["FN"], "call": ["FP"]}),
     "half a translocation": (moved("1", 8, "2", 6)[:1], moved("1", 8, "2", 6), {}, {"truth": [], "call": ["FP", "FP"]}),
+    "insertion of any length": ([("21", 500, "A", "<INS>", "SVLEN=100", "1/1")], [("21", 505, "A", "<INS>", "SVLEN=900", "1/1")], {"ignore_insertion_length": True}, {"truth": ["TP"], "call": ["TP"]}),
     "split": ([("1", 100, "A" + "C" * 150, "G", ".", "1/1")], [("1", 99, "TA" + "C" * 149, "T", ".", "1/1")], {}, {"truth": ["FN", "TP"], "call": ["TP"], "kinds": {"Deletion", "SNP"}}),
 }
 

@@ -54,7 +54,7 @@ def breakend_pieces(variants: DataFrame) -> DataFrame:
     return dups.unionByName(dels).withColumn("piece_no", F.col("piece_no") + 2 * F.col("gt_m"))
 
 
-def pieces_of(units: DataFrame, ratio: float = 0.8, sv_length: int = C.SV_LENGTH) -> DataFrame:
+def pieces_of(units: DataFrame, ratio: float = 0.8, sv_length: int = C.SV_LENGTH, ignore_insertion_length: bool = False) -> DataFrame:
     """Comparable pieces of rows of with_composites: rec_no (of the piece), whole, unit, split, chr, pos,
     overall_type, ref_len, len, alt, hom, start, end, and the mate's place and orientation of breakends. Sequence
     variants and dispersed ones are taken apart, others are one piece. unit: what has an outcome of its own, the
@@ -69,7 +69,7 @@ def pieces_of(units: DataFrame, ratio: float = 0.8, sv_length: int = C.SV_LENGTH
     hom = C.is_hom(F.col("gt_p"), F.col("gt_m"))
     rest = units.filter(symbolic & ~moved).select("rec_no", F.lit(0).alias("piece_no"), "chr", "pos", "overall_type", "ref_len", F.col("max_len").alias("len"), F.lit("").alias("alt"), hom.alias("hom"))
     ends = breakend_pieces(units.filter(symbolic & moved)).select("rec_no", "piece_no", "chr", "pos", F.lit("Breakend").alias("overall_type"), F.lit(0).alias("ref_len"), F.lit(1).alias("len"), F.lit("").alias("alt"), F.lit(False).alias("hom"), "mate_chr", "mate_pos", "left", "forward")
-    start, end = C.interval_ends(F.col("overall_type"), F.col("pos"), F.col("len"))
+    start, end = C.interval_ends(F.col("overall_type"), F.col("pos"), F.col("len"), ignore_insertion_length)
     each = cut.unionByName(rest).unionByName(ends, allowMissingColumns=True).withColumns({"start": start, "end": end})
     each = each.withColumns({"whole": F.shiftright("rec_no", PIECE_BITS), "rec_no": F.col("rec_no") + F.col("piece_no")}).drop("piece_no")
     flagged = match.split_flag(each, "whole", ratio, sv_length)
@@ -82,16 +82,17 @@ def _breakend_pairs(truth: DataFrame, calls: DataFrame, wiggle: int) -> DataFram
     return intervals.breakend_join(truth, right, wiggle).select(*truth.columns, *calls.columns)
 
 
-def compare_variants(truth: DataFrame, calls: DataFrame, regions: DataFrame | None = None, ratio: float = 0.8, wiggle: int = 20, match_geno: bool = False, whole_calls: bool = False, disallow_partial: bool = False, sv_length: int = C.SV_LENGTH, either_end: bool = False) -> dict[str, DataFrame]:
+def compare_variants(truth: DataFrame, calls: DataFrame, regions: DataFrame | None = None, ratio: float = 0.8, wiggle: int = 20, match_geno: bool = False, whole_calls: bool = False, disallow_partial: bool = False, sv_length: int = C.SV_LENGTH, either_end: bool = False, ignore_insertion_length: bool = False) -> dict[str, DataFrame]:
     """outcomes (side, rec_no, overall_type, len, outcome, members, and for truth the largest distances), counts
     by type and by bin. A composite has one row, its records are its members; a split variant has one for each
     piece. whole_calls: a call matches with all its pieces or not at all; disallow_partial: a call that touches a
-    missed truth is false; either_end: one end in a region will do."""
+    missed truth is false; either_end: one end in a region will do;
+    ignore_insertion_length: insertions are compared by their places."""
     t_units, c_units = stored(with_composites(truth)), stored(with_composites(calls))
-    t, c = stored(pieces_of(t_units, ratio, sv_length)), stored(pieces_of(c_units, ratio, sv_length))
+    t, c = (stored(pieces_of(u, ratio, sv_length, ignore_insertion_length)) for u in (t_units, c_units))
     prefixed = c.select(*(F.col(x).alias(f"c_{x}") for x in c.columns))
     bnd = F.lit("Breakend")
-    pairs = match.candidates(t.filter(F.col("overall_type") != bnd), prefixed.filter(F.col("c_overall_type") != bnd), ratio, wiggle, sv_length)
+    pairs = match.candidates(t.filter(F.col("overall_type") != bnd), prefixed.filter(F.col("c_overall_type") != bnd), ratio, wiggle, sv_length, ignore_insertion_length=ignore_insertion_length)
     pairs = pairs.unionByName(_breakend_pairs(t.filter(F.col("overall_type") == bnd), prefixed.filter(F.col("c_overall_type") == bnd), wiggle))
     if match_geno:
         pairs = pairs.filter(F.col("hom") == F.col("c_hom"))
