@@ -60,6 +60,14 @@ def test_compare(spark, tmp_path, case):
         assert sorted(r.outcome for r in got if r.side == side) == outcomes, case
 
 
+def test_composites_in_regions(spark, tmp_path):
+    """All members have to lie in the regions: here those on chromosome 2 don't."""
+    regions = spark.createDataFrame([("1", 1, 1000)], "chr string, start long, end long")
+    truth, calls = (variants(spark, tmp_path, n, moved("1", a, "2", b)) for n, a, b in (("t", 8, 6), ("c", 11, 5)))
+    got = jobs.compare_variants(truth, calls, regions, wiggle=10)["outcomes"].collect()
+    assert sorted((r.side, r.outcome) for r in got) == [("call", "TP"), ("call", "TP"), ("truth", "unknown_TP"), ("truth", "unknown_TP")]
+
+
 def test_alignments(spark):
     reads = spark.createDataFrame([("r1", 0, 0, "1", 105, 60, 0.9), ("r2", 0, 0, "1", 900, 60, 0.9), ("r3", 0, 4, None, None, 0, None), ("r4", 0, 256, "1", 1, 60, 0.9)], "read_name string, mate int, flags int, chr string, pos long, mapq int, identity double")
     read_map = spark.createDataFrame([("r1", 0, 0, "1", 100, 150, "+", "SEQ", 0, 50), ("r2", 0, 0, "1", 100, 150, "+", "SEQ", 0, 50)], "read_name string, mate int, block_no int, chr string, start long, end long, strand string, feature string, read_start long, read_end long")

@@ -111,8 +111,8 @@ def compare_variants(truth: DataFrame, calls: DataFrame, regions: DataFrame | No
         spans = pieces.groupBy("unit", "whole", "split", member.alias("member"), "chr").agg(F.sum("len").alias("len"), F.min("overall_type").alias("piece_type"), F.min("start").alias("start"), F.max("end").alias("end"))
         known = []
         if regions is not None:
-            spans = intervals.point_flags(spans, regions, {"__a": "start", "__b": "end"})
-            known = [F.bool_and((F.col("__a") | F.col("__b")) if either_end else (F.col("__a") & F.col("__b"))).alias("known")]
+            spans = intervals.point_flags(spans, regions, {"in_start": "start", "in_end": "end"})
+            known = [F.bool_and((F.col("in_start") | F.col("in_end")) if either_end else (F.col("in_start") & F.col("in_end"))).alias("known")]
         return spans.groupBy("unit", "whole", "split").agg(F.sum("len").alias("len"), F.min("piece_type").alias("piece_type"), *known)
 
     truth_out = match.truth_outcome(total(t), match.validated_lengths(hits, "unit"), ratio, "unit")
