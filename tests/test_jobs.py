@@ -68,6 +68,14 @@ def test_composites_in_regions(spark, tmp_path):
     assert sorted((r.side, r.outcome) for r in got) == [("call", "TP"), ("call", "TP"), ("truth", "unknown_TP"), ("truth", "unknown_TP")]
 
 
+@pytest.mark.parametrize("either, want", [(True, "TP"), (False, "unknown_TP")])
+def test_one_end_in_regions(spark, tmp_path, either, want):
+    regions = spark.createDataFrame([("1", 1, 150)], "chr string, start long, end long")
+    truth, calls = (variants(spark, tmp_path, n, [("1", 100, "A", "<DEL>", "SVLEN=-200", "1/1")]) for n in "tc")
+    got = jobs.compare_variants(truth, calls, regions, either_end=either)["outcomes"].filter("side = 'truth'").collect()
+    assert [r.outcome for r in got] == [want]
+
+
 def test_alignments(spark):
     reads = spark.createDataFrame([("r1", 0, 0, "1", 105, 60, 0.9), ("r2", 0, 0, "1", 900, 60, 0.9), ("r3", 0, 4, None, None, 0, None), ("r4", 0, 256, "1", 1, 60, 0.9)], "read_name string, mate int, flags int, chr string, pos long, mapq int, identity double")
     read_map = spark.createDataFrame([("r1", 0, 0, "1", 100, 150, "+", "SEQ", 0, 50), ("r2", 0, 0, "1", 100, 150, "+", "SEQ", 0, 50)], "read_name string, mate int, block_no int, chr string, start long, end long, strand string, feature string, read_start long, read_end long")
