@@ -50,3 +50,12 @@ def numbered(rows: DataFrame, name: str, start: int = 0) -> DataFrame:
         return rows.withColumn(name, F.lit(None).cast("long")).drop(*PLACE)
     offsets = F.broadcast(spark.createDataFrame(firsts, "__p int, __first long"))
     return rows.join(offsets, "__p").withColumn(name, F.col("__first") + F.col("__i")).drop("__first", *PLACE)
+
+
+#: Rows of a few numbers each that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored frame of a few values a row, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
