@@ -15,6 +15,7 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_sentencepiece": {"doc_id", "ids", "n_tokens", "text_crc32"}, "op2_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}, "op3_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}, "op4_topk": {"query_id", "rank", "vec_id", "score"},
     "op5_ann": {"query_id", "rank", "vec_id", "score"}, "op6_simhash": {"doc_id", "fingerprint", "component_id"}, "op7_mixing": {"doc_id", "size", "source_size", "target", "taken"}, "op8_url_filter": {"page_id", "host", "path", "rule", "verdict"}, "op9_langid": {"doc_id", "held_out", "lang_pred", "score"}, "op10_token_counts": {"source", "lang", "tokenizer", "docs", "tokens"},
+    "op11_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"}, "op12_merkle": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"}, "op13_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
 }
 
 
