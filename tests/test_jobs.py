@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from verisect.operators import setops
 from verisect.plans import jobs
 from verisect.sources import text, vcf
 
@@ -40,6 +41,15 @@ CASES = {
     "copied too far": ([copy_at(1, 3, 9, 11)], [copy_at(15, 3, 9, 11)], {"wiggle": 5}, {"truth": ["FN"], "call": ["FP"]}),
     "half a translocation": (moved("1", 8, "2", 6)[:1], moved("1", 8, "2", 6), {}, {"truth": [], "call": ["FP", "FP"]}),
     "insertion of any length": ([("21", 500, "A", "<INS>", "SVLEN=100", "1/1")], [("21", 505, "A", "<INS>", "SVLEN=900", "1/1")], {"ignore_insertion_length": True}, {"truth": ["TP"], "call": ["TP"]}),
+    "equal truths, one call": ([("1", 50, "A", "C", ".", "1/1")] * 2, [("1", 50, "A", "C", ".", "1/1")], {"disallow_partial": True}, {"truth": ["FN", "TP"], "call": ["TP"]}),
+    "imprecise call": ([("21", 12893, "A", "<INS>", "SVLEN=100", "1/1")], [("21", 12793, "A", "<INS>", "SVLEN=200;IMPRECISE_LENGTH", "1/0")], {"wiggle": 150, "ratio": 0.5, "ignore_imprecise_length": True}, {"truth": ["TP"], "call": ["TP"], "distances": (100, 100, None)}),
+    "imprecise truth": ([("21", 12893, "A", "<INS>", "SVLEN=100;IMPRECISE_LENGTH", "1/1")], [("21", 12793, "A", "<INS>", "SVLEN=200", "1/0")], {"wiggle": 150, "ratio": 0.5, "ignore_imprecise_length": True}, {"truth": ["TP"], "call": ["TP"], "distances": (100, 100, None)}),
+    "imprecise but counted": ([("21", 12893, "A", "<INS>", "SVLEN=100;IMPRECISE_LENGTH", "1/1")], [("21", 12793, "A", "<INS>", "SVLEN=200", "1/0")], {"wiggle": 150, "ratio": 0.5}, {"truth": ["TP"], "call": ["TP"], "distances": (100, 100, 100)}),
+    "the other haplotype": ([("1", 993, "C", "CA", "SVLEN=1", "0/1")], [("1", 993, "C", "CA", "SVLEN=1", "1/0")], {"match_geno": True}, {"truth": ["TP"], "call": ["TP"]}),
+    "no genotype, second base": ([("HXB2", 3161, "G", "T", ".", "1|1")], [("HXB2", 3161, "G", "A,T", ".", "./.")], {}, {"truth": ["TP"], "call": ["TP"]}),
+    "bases without a genotype": ([("1", 3, "A", "T", ".", "1/1"), ("1", 4, "C", "T", ".", "0/1")], [("1", 3, "AC", "TC,GT", ".", "./.")], {}, {"truth": ["TP", "TP"], "call": ["TP"]}),
+    "homozygous truth first": ([("1", 30, "A", "G", ".", "0/1"), ("1", 30, "A", "G", ".", "1/1")], [("1", 30, "A", "G", ".", "0/1")], {}, {"truth": ["FN", "TP"], "call": ["TP"], "hit": [2]}),
+    "heterozygous truth first": ([("1", 30, "A", "G", ".", "1/1"), ("1", 30, "A", "G", ".", "0/1")], [("1", 30, "A", "G", ".", "0/1")], {"match_geno": True}, {"truth": ["FN", "TP"], "call": ["TP"], "hit": [2]}),
     "split": ([("1", 100, "A" + "C" * 150, "G", ".", "1/1")], [("1", 99, "TA" + "C" * 149, "T", ".", "1/1")], {}, {"truth": ["FN", "TP"], "call": ["TP"], "kinds": {"Deletion", "SNP"}}),
 }
 
@@ -55,11 +65,27 @@ def test_compare(spark, tmp_path, case):
         assert sorted([n - base for n in r.members] for r in got if r.side == "truth") == members
     if kinds := want.get("kinds"):
         assert {r.overall_type for r in got if r.side == "truth"} == kinds
+    if hit := want.get("hit"):
+        base = min(n for r in got for n in r.members) - 1
+        assert [r.rec_no - base for r in got if r.side == "truth" and r.outcome == "TP"] == hit
     for side in ("truth", "call"):
         outcomes = want[side]
         assert sorted(r.outcome for r in got if r.side == side) == outcomes, case
 
 
+def test_files_of_any_number(spark, tmp_path):
+    """Records keep their outcomes whatever number their file has."""
+    site = lambda i: ("1", 100 + i, "A", "C", ".", "1/1")
+    truth, calls = (setops.concat_files(*[variants(spark, tmp_path, f"{n}{i}", [site(i)]) for i in range(10)]) for n in "tc")
+    far = lambda df: df.withColumn("rec_no", F.col("rec_no") + (1 << 60))
+    for t, c in ((truth, calls), (far(truth), calls)):
+        got = jobs.compare_variants(t, c)["outcomes"]
+        assert sorted((r.side, r.outcome) for r in got.collect()) == [("call", "TP")] * 10 + [("truth", "TP")] * 10
+        assert got.filter("side = 'truth'").select("rec_no").distinct().count() == 10
+    with pytest.raises(Exception, match="no record number"):
+        setops.concat_files(far(truth)).collect()
+
+
 def test_composites_in_regions(spark, tmp_path):
     """All members have to lie in the regions: here those on chromosome 2 don't."""
     regions = spark.createDataFrame([("1", 1, 1000)], "chr string, start long, end long")

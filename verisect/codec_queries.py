@@ -256,7 +256,7 @@ def file_orders(spark, d):
     return setops.union_all(*frames).select("kind", "row_key", "place")
 
 
-@register("partial_calls", _sql("truth calls", "select rec_no, case when exists (select 1 from pairs p where p.c_rec_no=c.rec_no and p.rec_no//8%4=0) or not exists (select 1 from pairs p where p.c_rec_no=c.rec_no) then 'FP' else 'TP' end as outcome from calls c", TIV, CIV, PAIRS))
+@register("partial_calls", _sql("truth calls", "select c.rec_no, case when bad is null or bad then 'FP' else 'TP' end as outcome from calls c left join (select c_rec_no, bool_or(rec_no//8%4=0) as bad from pairs group by c_rec_no) p on p.c_rec_no=c.rec_no", TIV, CIV, PAIRS))
 def partial_calls(spark, d):
     """Every fourth order's truth is taken to be missed."""
     pairs = stored(_pairs(spark, d).select(F.col("c_rec_no").alias("call"), F.col("rec_no").alias("truth")))

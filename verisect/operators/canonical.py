@@ -72,21 +72,21 @@ def _two_alleles(pos: Column, ref: Column, a: Column, b: Column, right: bool) ->
     return F.concat(indels, F.array_compact(F.transform(_places(ref), snps)))
 
 
-def canonicalize(variants: DataFrame) -> DataFrame:
+def canonicalize(variants: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece of each variant (rec_no, chr, pos, ref, alts, gt_p, gt_m) of sequence alleles:
-    rec_no, piece_no, chr, pos, ref, alt, alt2, gt_p, gt_m. Missing genotypes count as alleles 1 and
+    rec_no, piece_no, chr, pos, ref, alt, alt2, gt_p, gt_m, and the variant's columns named in carry. Missing genotypes count as alleles 1 and
     min(2, number of ALTs). What each step works out is a column, so that it is worked out once."""
     pos, ref, a, b = F.col("pos"), F.col("ref"), F.col("__p"), F.col("__m")
     eff = C.effective_alleles(F.col("gt_p"), F.col("gt_m"), F.size("alts"), F.col("chr"))
     allele = lambda g: F.when(g > 0, F.try_element_at("alts", F.when(g > 0, g).otherwise(1)))
-    rows = variants.select("rec_no", "chr", "pos", "ref", "alts", eff.alias("__g")).filter("__g.p > 0 or __g.m > 0")
-    rows = rows.select("rec_no", "chr", "pos", "ref", allele(F.col("__g.p")).alias("__p"), allele(F.col("__g.m")).alias("__m"))
+    rows = variants.select("rec_no", "chr", "pos", "ref", "alts", eff.alias("__g"), *carry).filter("__g.p > 0 or __g.m > 0")
+    rows = rows.select("rec_no", "chr", *carry, "pos", "ref", allele(F.col("__g.p")).alias("__p"), allele(F.col("__g.m")).alias("__m"))
     len_or = lambda x: F.coalesce(F.length(x), F.lit(1))
     single = (F.length(ref) == 1) & (len_or(a) == 1) & (len_or(b) == 1)
     snp = F.array(_piece(pos, ref, F.coalesce(a, b), F.when(a.isNotNull(), 1).otherwise(0), F.when(b.isNull(), 0).when(a.isNull() | (a == b), 1).otherwise(2), F.when(a != b, b)))
     # the three kinds are worked out apart: SNPs, variants of both haplotypes, and those of one
     both = a.isNotNull() & b.isNotNull()
-    keep = ["rec_no", "chr"]
+    keep = ["rec_no", "chr", *carry]
     out = rows.filter(single).select(*keep, snp.alias("pieces"))
 
     two = rows.filter(~single & both).withColumn("__n", F.least(C.prefix_length(F.array(ref, a)), C.prefix_length(F.array(ref, b))))
@@ -104,7 +104,7 @@ def canonicalize(variants: DataFrame) -> DataFrame:
     out = out.unionByName(two.select(*keep, best.alias("pieces"))).unionByName(one.select(*keep, best.alias("pieces")))
     # outer: for the inner kind Spark derives a filter that repeats the whole expression many times over
     each = out.select(*keep, F.posexplode_outer("pieces").alias("piece_no", "x")).filter("x is not null")
-    return each.select("rec_no", "piece_no", "chr", "x.*")
+    return each.select("rec_no", "piece_no", "chr", "x.*", *carry)
 
 
 def _haplotypes(gt_p: Column, gt_m: Column, make) -> Column:
@@ -112,7 +112,7 @@ def _haplotypes(gt_p: Column, gt_m: Column, make) -> Column:
     return F.array_compact(F.array(F.when(gt_p > 0, make("paternal", 1, 0)), F.when(gt_m > 0, make("maternal", 0, 1))))
 
 
-def dup_to_breakends(dups: DataFrame) -> DataFrame:
+def dup_to_breakends(dups: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Two breakends for each haplotype that carries a dispersed duplication (rec_no, chr, pos, chr2, pos2,
     end2, is_inv, gt_p, gt_m): one into the copy, at the base before pos, and one out of it, at pos; the
     mates are swapped if it is inverted."""
@@ -123,10 +123,10 @@ def dup_to_breakends(dups: DataFrame) -> DataFrame:
         return F.array(bnd(into, True), bnd(out, False))
 
     each = F.flatten(_haplotypes(F.col("gt_p"), F.col("gt_m"), ends))
-    return dups.select("rec_no", "chr", F.posexplode(each).alias("piece_no", "x")).select("rec_no", "piece_no", "chr", "x.*")
+    return dups.select("rec_no", "chr", *carry, F.posexplode(each).alias("piece_no", "x")).select("rec_no", "piece_no", "chr", "x.*", *carry)
 
 
-def del_to_breakends(dels: DataFrame) -> DataFrame:
+def del_to_breakends(dels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """One breakend for each haplotype that carries a translocated deletion (rec_no, chr, pos, ref_len,
     gt_p, gt_m): the base before is joined to the base after."""
 
@@ -134,7 +134,8 @@ def del_to_breakends(dels: DataFrame) -> DataFrame:
         return F.struct(F.lit(hap).alias("haplotype"), F.col("chr").alias("mate_chr"), (F.col("pos") + F.col("ref_len")).alias("mate_pos"), F.lit(True).alias("left"), F.lit(True).alias("forward"), F.lit(p).alias("gt_p"), F.lit(m).alias("gt_m"))
 
     each = _haplotypes(F.col("gt_p"), F.col("gt_m"), end)
-    return dels.select("rec_no", "chr", (F.col("pos") - 1).alias("pos"), F.posexplode(each).alias("piece_no", "x")).select("rec_no", "piece_no", "chr", "pos", "x.*")
+    rows = dels.select("rec_no", "chr", (F.col("pos") - 1).alias("pos"), *carry, F.posexplode(each).alias("piece_no", "x"))
+    return rows.select("rec_no", "piece_no", "chr", "pos", "x.*", *carry)
 
 
 def compose_traid(variants: DataFrame, pairs: DataFrame) -> DataFrame:

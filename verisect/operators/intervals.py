@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
+from verisect.operators.scan import in_order, scanned
 
 #: Bits of the bin width at each level: 2 kb, 128 kb, 8 Mb, and a whole chromosome.
 LEVELS = (11, 17, 23, 40)
@@ -107,6 +108,27 @@ def merge_intervals(df: DataFrame, cols: tuple[str, str, str] = ("chr", "start",
     return islands(near.drop("__chunk"), keys)
 
 
+def sweep(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Stretches (chr, start, end, in_a, in_b) between the ends of two sets of intervals (chr, start, end), which
+    may overlap; stretches outside both are left out. Ends are put in order and the open intervals are counted
+    along, so no interval meets all those that lie in it."""
+    ends = lambda df, k: df.filter("end >= start").select("chr", F.explode(F.array(F.struct(F.col("start").cast("long").alias("at"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).cast("long").alias("at"), F.lit(-1).alias("d")))).alias("x")).select("chr", "x.at", *(F.when(F.lit(k == i), F.col("x.d")).otherwise(0).alias(n) for i, n in enumerate(("a", "b"))))
+    steps = ends(a, 0).unionByName(ends(b, 1)).groupBy("chr", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    rows = scanned(in_order(steps, ["chr", "at"]), ("chr",), sums={"a_before": F.col("a"), "b_before": F.col("b")}, following={"next": F.col("at")})
+    open_ = rows.select("chr", F.col("at").alias("start"), (F.col("next") - 1).alias("end"), (F.col("a") + F.col("a_before") > 0).alias("in_a"), (F.col("b") + F.col("b_before") > 0).alias("in_b"))
+    return open_.filter("end is not null and (in_a or in_b)")
+
+
+def intersect_intervals(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(chr, start, end) of what both sets cover, cut at the ends of their intervals."""
+    return sweep(a, b).filter("in_a and in_b").select("chr", "start", "end")
+
+
+def subtract_intervals(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(chr, start, end) of what a covers and b doesn't, cut at the ends of their intervals."""
+    return sweep(a, b).filter("in_a and not in_b").select("chr", "start", "end")
+
+
 def in_regions(df: DataFrame, regions: DataFrame, key: tuple[str, ...], cols: tuple[str, str, str] = ("chr", "start", "end"), levels: int | None = None) -> DataFrame:
     """Rows of df (unique by key) that share a base with any region (chr, start, end)."""
     merged = merge_intervals(regions).select(F.col("chr").alias("r_chr"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
@@ -166,7 +188,8 @@ def restrict_to_regions(df: DataFrame, regions: DataFrame, flank: int = 0, short
     are counted from the region and the contig is named chr_start_end (or the region's number in order)."""
     r = regions.select(F.col("chr").alias("r_chr"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     if short_names:
-        r = r.withColumn("r_name", F.row_number().over(Window.orderBy("r_chr", "r_start", "r_end")).cast("string"))
+        ordered = scanned(in_order(r, ["r_chr", "r_start", "r_end"]), sums={"__n": F.lit(1)})
+        r = ordered.withColumn("r_name", (F.col("__n") + 1).cast("string")).drop("__n")
     else:
         r = r.withColumn("r_name", F.concat_ws("_", "r_chr", F.col("r_start").cast("string"), F.col("r_end").cast("string")))
     pairs = interval_join(df, r, levels=levels).filter((F.col("start") >= F.col("r_start") + flank) & (F.col("end") <= F.col("r_end") - flank))

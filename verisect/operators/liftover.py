@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
 from verisect.operators.intervals import interval_join, merge_intervals
+from verisect.operators.scan import in_order, scanned
 
 MIN_READ_OVERLAP = 10
 
@@ -36,7 +37,7 @@ def asof_block(intervals: DataFrame, blocks: DataFrame, chr: str = "chr", start:
     last one that starts before their end. Blocks that share a start come together."""
     b = _src(blocks)
     starts = blocks.select("src_chr", "src_loc").distinct()
-    following = starts.withColumn("next_loc", F.lead("src_loc").over(Window.partitionBy("src_chr").orderBy("src_loc")))
+    following = scanned(in_order(starts, ["src_chr", "src_loc"]), ("src_chr",), following={"next_loc": F.col("src_loc")})
     far = following.groupBy("src_chr").agg(F.max("src_loc").alias("last"))
     following = following.join(F.broadcast(far), "src_chr").select(F.col("src_chr").alias("n_chr"), F.col("src_loc").alias("n_loc"), F.coalesce(F.col("next_loc") - 1, F.col("last") + (1 << 40) - 1).alias("b_until"))
     b = b.join(following, (b["b_src_chr"] == following["n_chr"]) & (b["b_src_loc"] == following["n_loc"])).drop("n_chr", "n_loc")
@@ -108,9 +109,9 @@ def lift_merge(pieces: DataFrame, key: str = "rec_no") -> DataFrame:
 
 def assign_coordinates(blocks: DataFrame, by: str = "src_chr", order: str = "block_no") -> DataFrame:
     """src_loc and dst_loc of ordered blocks: DEL takes no source, INS no destination."""
-    w = Window.partitionBy(by).orderBy(order)
-    running = lambda size: F.sum(size).over(w) - size + 1
-    return blocks.withColumns({"src_loc": running(F.when(F.col("feature") == "DEL", 0).otherwise(F.col("size"))), "dst_loc": running(F.when(F.col("feature") == "INS", 0).otherwise(F.col("size")))})
+    but = lambda kind: F.when(F.col("feature") == kind, 0).otherwise(F.col("size"))
+    rows = scanned(in_order(blocks, [by, order]), (by,), sums={"__src": but("DEL"), "__dst": but("INS")})
+    return rows.withColumns({"src_loc": F.col("__src") + 1, "dst_loc": F.col("__dst") + 1}).drop("__src", "__dst")
 
 
 _REGION = r"^(.*)_(\d+)_(\d+)$"

@@ -31,14 +31,14 @@ def small_join(truth: DataFrame, calls: DataFrame, ratio: float, ref_len: str |
     return truth.join(calls, same).filter(C.overlaps(F.col("start"), F.col("end"), F.col("c_start"), F.col("c_end"), ratio, 0))
 
 
-def candidates(truth: DataFrame, calls: DataFrame, ratio: float, wiggle: int, small: int = C.SV_LENGTH, levels: int | None = None, ignore_insertion_length: bool = False) -> DataFrame:
+def candidates(truth: DataFrame, calls: DataFrame, ratio: float, wiggle: int, small: int = C.SV_LENGTH, levels: int | None = None, ignore_insertion_length: bool = False, ref_len: str | None = None) -> DataFrame:
     """Pairs of truth (rec_no, chr, pos, start, end, overall_type, len, alt) and calls (c_ names) that may
     match: SNPs by base, small variants by bases and place, others by overlap within wiggle. Insertions whose
     length is ignored are never small; their start and end should be their place."""
     keep = [*truth.columns, *calls.columns]
     t_small, c_small = C.is_small(F.col("overall_type"), F.col("len"), small, ignore_insertion_length), C.is_small(F.col("c_overall_type"), F.col("c_len"), small, ignore_insertion_length)
     snp = snp_join(truth.filter(F.col("overall_type") == "SNP"), calls.filter(F.col("c_overall_type") == "SNP"))
-    exact = small_join(truth.filter(t_small), calls.filter(c_small), ratio)
+    exact = small_join(truth.filter(t_small), calls.filter(c_small), ratio, ref_len)
     wide_t, wide_c = truth.filter((F.col("overall_type") != "SNP") & ~t_small), calls.filter((F.col("c_overall_type") != "SNP") & ~c_small)
     wide = interval_join(wide_t, wide_c, wiggle, levels, (("overall_type", "c_overall_type"),), ("chr", "start", "end"), ("c_chr", "c_start", "c_end"))
     wide = wide.filter(C.overlaps(F.col("c_start"), F.col("c_end"), F.col("start"), F.col("end"), ratio, wiggle))

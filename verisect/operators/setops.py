@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
+from verisect.operators.scan import in_order, scanned
 from verisect.operators.storage import numbered, placed, stored
 
 ALLELE = ("chr", "pos", "ref", "alt")
@@ -41,8 +42,11 @@ def only_once(*frames: DataFrame, key: tuple[str, ...] = ALLELE) -> DataFrame:
 
 
 def concat_files(*frames: DataFrame) -> DataFrame:
-    """Files one after the other: rec_no goes on over the frames, in their order."""
-    return union_all(*frames).withColumn("rec_no", F.shiftleft(F.col("file_no").cast("long"), 40) + F.col("rec_no"))
+    """Files one after the other: rec_no (below 2^40 in each, else the query fails) goes on over the frames, in
+    their order."""
+    own = F.col("rec_no").cast("long")
+    fits = F.when(own.between(0, (1 << 40) - 1), own).otherwise(F.raise_error(F.concat(F.lit("no record number of a file: "), own.cast("string"))).cast("long"))
+    return union_all(*frames).withColumn("rec_no", F.shiftleft(F.col("file_no").cast("long"), 40) + fits)
 
 
 def chr_in(df: DataFrame, names: list[str]) -> DataFrame:
@@ -94,10 +98,10 @@ def file_order(df: DataFrame) -> DataFrame:
 
 def assert_sorted(df: DataFrame, order: tuple[str, ...] = ("rec_no",)) -> DataFrame:
     """df, if positions never fall within a chromosome; else the plan raises when it runs."""
-    w = Window.partitionBy("chr").orderBy(*order)
-    falls = F.lag("pos").over(w) > F.col("pos")
+    rows = scanned(in_order(df, ["chr", *order]), ("chr",), previous={"__before": F.col("pos")})
+    falls = F.col("__before") > F.col("pos")
     checked = F.when(falls, F.raise_error(F.concat(F.lit("not sorted by position at "), F.col("chr"), F.lit(":"), F.col("pos").cast("string"))).cast("long")).otherwise(F.col("pos"))
-    return df.withColumn("pos", checked)
+    return rows.withColumn("pos", checked).drop("__before")
 
 
 def sample_exact(df: DataFrame, sizes: dict[str, int], key: Column | None = None, kind: str = "overall_type", seed: int = 0, tie: tuple[str, ...] = ("rec_no",)) -> DataFrame:
@@ -118,11 +122,11 @@ def number_rows(df: DataFrame, order: tuple[str, ...], name: str = "number", sta
 
 def tag_somatic(df: DataFrame, tag: str = "COSMIC", name: str = "SOMATIC") -> DataFrame:
     """Records whose id lacks the tag get a running number with name, after their own id if there is one."""
-    w = Window.partitionBy("file_no").orderBy("rec_no")
     lacks = ~F.col("id").contains(tag)
-    number = F.sum(lacks.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    new = F.concat(F.lit(name), F.lit("_"), number.cast("string"))
-    return df.withColumn("id", F.when(lacks, F.when(F.col("id").isin("", "."), new).otherwise(F.concat(F.col("id"), F.lit(","), new))).otherwise(F.col("id")))
+    rows = scanned(in_order(df, ["file_no", "rec_no"]), ("file_no",), sums={"__number": lacks.cast("int")})
+    new = F.concat(F.lit(name), F.lit("_"), F.col("__number").cast("string"))
+    tagged = rows.withColumn("id", F.when(lacks, F.when(F.col("id").isin("", "."), new).otherwise(F.concat(F.col("id"), F.lit(","), new))).otherwise(F.col("id")))
+    return tagged.drop("__number")
 
 
 def split_somatic(df: DataFrame, tag: str = "SOMATIC") -> tuple[DataFrame, DataFrame]:

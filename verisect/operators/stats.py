@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
+from verisect.operators.intervals import intersect_intervals
+from verisect.operators.scan import in_order, scanned
 
 
 def _counts() -> list[Column]:
@@ -40,15 +42,30 @@ def per_base(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("overall_type").agg(size("TP").alias("tp_bases"), size("FP").alias("fp_bases"), known.alias("t_bases"))
 
 
-def true_negatives(bases: DataFrame, genome_bases: int | Column) -> DataFrame:
-    """Adds tn_bases: bases that are neither known nor called."""
+def true_negatives(bases: DataFrame, genome_bases: int | Column | DataFrame) -> DataFrame:
+    """Adds tn_bases: bases that are neither known nor called; genome_bases: a number, or the row of non_n_bases."""
+    if isinstance(genome_bases, DataFrame):
+        genome_bases = genome_bases.first()["non_n"]
     genome = F.lit(genome_bases) if isinstance(genome_bases, int) else genome_bases
     return bases.withColumn("tn_bases", genome - F.col("t_bases") - F.col("fp_bases"))
 
 
-def non_n_bases(chunks: DataFrame) -> DataFrame:
-    """One row: the bases other than N of contig chunks."""
-    return chunks.agg(F.coalesce(F.sum(C.non_n(F.col("bases"))), F.lit(0)).cast("long").alias("non_n"))
+def base_runs(chunks: DataFrame) -> DataFrame:
+    """(chr, start, end) of the longest stretches without N within contig chunks (contig, start, bases)."""
+    runs = F.regexp_extract_all("bases", F.lit("([Nn]+|[^Nn]+)"), F.lit(1))
+    each = chunks.select("contig", F.col("start").alias("chunk"), F.posexplode(runs).alias("i", "run")).withColumn("n", F.length("run"))
+    within = Window.partitionBy("contig", "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)  # the runs of a chunk
+    at = F.col("chunk") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    return each.withColumn("start", at.cast("long")).filter(~F.col("run").rlike("^[Nn]")).select(F.col("contig").alias("chr"), "start", (F.col("start") + F.col("n") - 1).alias("end"))
+
+
+def non_n_bases(chunks: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """One row: the bases other than N of contig chunks; with regions (chr, start, end; they may overlap) only
+    those that lie in some region."""
+    if regions is None:
+        return chunks.agg(F.coalesce(F.sum(C.non_n(F.col("bases"))), F.lit(0)).cast("long").alias("non_n"))
+    both = intersect_intervals(base_runs(chunks), regions)
+    return both.agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).cast("long").alias("non_n"))
 
 
 def with_metrics(counts: DataFrame, tp: str = "tp", fp: str = "fp", t: str = "t", tn: Column | None = None, places: int | None = None) -> DataFrame:
@@ -134,12 +151,9 @@ def count_by_allele_type(variants: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def drop_adjacent_dups(df: DataFrame, keys: tuple[str, ...], by: tuple[str, ...] = ("chr",), order: tuple[str, ...] = ("rec_no",)) -> DataFrame:
-    """Rows that differ from their predecessor in order."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.lag(k).over(w))
-    return df.withColumn("__same", same & (F.row_number().over(w) > 1)).filter("not __same").drop("__same")
+    """Rows that differ from their predecessor in order, within each group of ``by``."""
+    rows = scanned(in_order(df, [*by, *order]), by, previous={"__before": F.struct(*keys)})
+    return rows.filter(~F.col("__before").eqNullSafe(F.struct(*keys))).drop("__before")
 
 
 def vcf_totals(variants: DataFrame) -> DataFrame:

@@ -12,8 +12,6 @@ from verisect.operators import alignments as al
 from verisect.operators import canonical, cohort, intervals, liftover, mapbuild, match, setops, stats
 from verisect.operators.storage import stored
 
-#: Bits of a piece's number in the id of a piece; the topmost one tells the members of a composite apart.
-PIECE_BITS = 20
 #: Allele types of copies that stand elsewhere; they are compared by their breakends.
 MOVED_COPIES = ("Translocation_Duplication", "Interspersed_Duplication")
 
@@ -28,105 +26,181 @@ def _carried(types: bool = False) -> Column:
 
 
 def with_composites(variants: DataFrame) -> DataFrame:
-    """Adds whole, members (record numbers), kind and size, and makes rec_no the id of the member's pieces. Two
-    records of one TRAID are a composite: it stands at its second record, its kind is that of all its alleles,
-    its size the larger one. A TRAID's record without a partner is half an event and is left out."""
-    plain = variants.filter("traid is null").withColumns({"whole": F.col("rec_no"), "members": F.array("rec_no"), "kind": F.col("overall_type"), "size": F.col("max_len")})
-    joined = variants.filter("traid is not null")
+    """Variants (and their ``sample``, if there is one) with record, whole, member, members, kind and size.
+
+    record: a dense number in order of sample and rec_no, which the pieces go by from here on, so that rec_no may
+    be any number. Two records of one TRAID are a composite: it stands at its second record, its kind is that of
+    all its alleles, its size the larger one, members are the rec_no of both. A TRAID's record without a partner
+    is half an event and is left out. The number of a record's own TRAID pair is counted within its sample.
+    """
+    sampled = variants if "sample" in variants.columns else variants.withColumn("sample", F.lit(""))
+    rows = stored(setops.number_rows(sampled, ("sample", "rec_no"), "record"))
+    alone = {"whole": F.col("record"), "member": F.lit(0), "members": F.array("rec_no"), "kind": F.col("overall_type"), "size": F.col("max_len")}
+    plain = rows.filter("traid is null").withColumns(alone)
+    event = F.concat_ws("\u0001", "sample", "traid")
+    joined = rows.filter("traid is not null").withColumns({"original": F.col("rec_no"), "rec_no": F.col("record"), "traid": event})
     pairs = setops.pair_by_traid(joined)
-    kinds = canonical.compose_traid(joined.select("rec_no", _carried(True).alias("types")), pairs).select("traid", "pair", "rec_no", F.col("composite_type").alias("kind"))
-    placed = joined.drop("traid").join(kinds, "rec_no").join(pairs, ["traid", "pair"]).drop("pair").withColumn("whole", F.element_at("members", 2))
-    placed = placed.withColumn("size", F.max("max_len").over(Window.partitionBy("whole")))
-    member = (F.array_position("members", F.col("rec_no")) - 1).cast("long")
-    each = plain.unionByName(placed)
-    return each.withColumn("rec_no", F.shiftleft(F.col("whole").cast("long"), PIECE_BITS) + F.shiftleft(member, PIECE_BITS - 1))
+    kinds = canonical.compose_traid(joined.select("rec_no", _carried(True).alias("types")), pairs)
+    kinds = kinds.select("traid", "pair", "rec_no", F.col("composite_type").alias("kind"))
+    placed = joined.drop("traid").join(kinds, "rec_no").join(pairs.withColumnRenamed("members", "both"), ["traid", "pair"]).drop("pair")
+    whole = Window.partitionBy("whole")  # two rows
+    placed = placed.withColumn("whole", F.element_at("both", 2)).withColumn("member", (F.array_position("both", F.col("rec_no")) - 1).cast("int"))
+    originals = F.transform(F.array_sort(F.collect_list(F.struct("member", "original")).over(whole)), lambda x: x["original"])
+    placed = placed.withColumns({"size": F.max("max_len").over(whole), "members": originals, "rec_no": F.col("original")})
+    return plain.unionByName(placed.drop("both", "original"))
 
 
-def breakend_pieces(variants: DataFrame) -> DataFrame:
+def breakend_pieces(variants: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Breakends of the haplotypes that carry a dispersed duplication or a translocated deletion; of a variant
     that has both the duplication alone. A duplication without CHR2 has its source on its own chromosome."""
-    each = variants.withColumn("copies", F.exists(_carried(True), lambda t: t.isin(*MOVED_COPIES))).select("*", F.posexplode(_carried()).alias("hap", "allele")).filter("allele > 0")
-    each = each.withColumn("kind_of", F.try_element_at("alts", F.col("allele"))["allele_type"]).withColumns({"gt_p": (F.col("hap") == 0).cast("int"), "gt_m": (F.col("hap") == 1).cast("int")})
+    copies = F.exists(_carried(True), lambda t: t.isin(*MOVED_COPIES))
+    each = variants.withColumn("copies", copies).select("*", F.posexplode(_carried()).alias("hap", "allele")).filter("allele > 0")
+    kind = F.try_element_at("alts", F.col("allele"))["allele_type"]
+    each = each.withColumns({"kind_of": kind, "gt_p": (F.col("hap") == 0).cast("int"), "gt_m": (F.col("hap") == 1).cast("int")})
     source = {c: F.try_element_at(c, F.col("allele")) for c in ("chr2", "pos2", "end2")}
     source["chr2"] = F.coalesce(source["chr2"], F.col("chr"))
-    dups = canonical.dup_to_breakends(each.filter(F.col("kind_of").isin(*MOVED_COPIES)).withColumns(source))
-    dels = canonical.del_to_breakends(each.filter(~F.col("copies") & (F.col("kind_of") == "Translocation_Deletion")))
+    dups = canonical.dup_to_breakends(each.filter(F.col("kind_of").isin(*MOVED_COPIES)).withColumns(source), carry)
+    dels = canonical.del_to_breakends(each.filter(~F.col("copies") & (F.col("kind_of") == "Translocation_Deletion")), carry)
     return dups.unionByName(dels).withColumn("piece_no", F.col("piece_no") + 2 * F.col("gt_m"))
 
 
+#: What pieces keep of their variant.
+_CARRY = ("sample", "whole", "member", "imprecise")
+
+
 def pieces_of(units: DataFrame, ratio: float = 0.8, sv_length: int = C.SV_LENGTH, ignore_insertion_length: bool = False) -> DataFrame:
-    """Comparable pieces of rows of with_composites: rec_no (of the piece), whole, unit, split, chr, pos,
-    overall_type, ref_len, len, alt, hom, start, end, and the mate's place and orientation of breakends. Sequence
-    variants and dispersed ones are taken apart, others are one piece. unit: what has an outcome of its own, the
-    whole variant, or each piece of one that is split."""
+    """Comparable pieces of rows of with_composites: no (dense, in order of the records), whole, member, unit,
+    split, sample, chr, pos, overall_type, ref_len, len, hom, alleles (the haplotypes that carry the piece, with
+    their bases; one for both if hom), start, end, imprecise, and the mate's place and orientation of breakends.
+
+    Sequence variants and dispersed ones are taken apart, others are one piece. unit: what has an outcome of its
+    own, the whole variant, or each piece of one that is split."""
+    units = units.withColumn("rec_no", F.col("record"))
     symbolic = F.exists("alts", lambda a: a["kind"] == "symbolic")
     moved = F.exists(_carried(True), lambda t: t.isin(*MOVED_COPIES, "Translocation_Deletion"))
     seqs = units.filter(~symbolic).withColumn("alts", F.transform("alts", lambda a: a["seq"]))
-    cut = stored(canonical.canonicalize(seqs))
+    cut = stored(canonical.canonicalize(seqs, _CARRY))
+
+    def alleles(p: Column, m: Column, bases) -> Column:
+        own = lambda hap, g: F.when(g > 0, F.struct(F.lit(hap).alias("hap"), bases(g).alias("alt")))
+        return F.array_compact(F.array(own(0, p), F.when(~F.col("hom"), own(1, m))))
+
     n_ref, n_alt = F.length("ref"), F.length("alt")
     kind = F.when((n_ref == 1) & (n_alt == 1), "SNP").when(n_ref == 0, "Insertion").when(n_alt == 0, "Deletion").otherwise("Complex")
-    cut = cut.select("rec_no", "piece_no", "chr", "pos", kind.alias("overall_type"), n_ref.alias("ref_len"), F.greatest(n_ref, n_alt).alias("len"), "alt", (F.col("gt_p") == F.col("gt_m")).alias("hom"))
-    hom = C.is_hom(F.col("gt_p"), F.col("gt_m"))
-    rest = units.filter(symbolic & ~moved).select("rec_no", F.lit(0).alias("piece_no"), "chr", "pos", "overall_type", "ref_len", F.col("max_len").alias("len"), F.lit("").alias("alt"), hom.alias("hom"))
-    ends = breakend_pieces(units.filter(symbolic & moved)).select("rec_no", "piece_no", "chr", "pos", F.lit("Breakend").alias("overall_type"), F.lit(0).alias("ref_len"), F.lit(1).alias("len"), F.lit("").alias("alt"), F.lit(False).alias("hom"), "mate_chr", "mate_pos", "left", "forward")
+    base = lambda g: F.when(g == 2, F.coalesce("alt2", "alt")).otherwise(F.col("alt"))
+    cut = cut.withColumn("hom", F.col("gt_p") == F.col("gt_m")).select("rec_no", "piece_no", *_CARRY, "chr", "pos", kind.alias("overall_type"), n_ref.alias("ref_len"), F.greatest(n_ref, n_alt).alias("len"), "hom", alleles(F.col("gt_p"), F.col("gt_m"), base).alias("alleles"))
+    eff, none = C.effective_alleles(F.col("gt_p"), F.col("gt_m"), F.size("alts"), F.col("chr")), F.lit("")
+    rest = units.filter(symbolic & ~moved).withColumns({"hom": C.is_hom(F.col("gt_p"), F.col("gt_m")), "e": eff})
+    rest = rest.select("rec_no", F.lit(0).alias("piece_no"), *_CARRY, "chr", "pos", "overall_type", "ref_len", F.col("max_len").alias("len"), "hom", alleles(F.col("e.p"), F.col("e.m"), lambda g: none).alias("alleles"))
+    ends = breakend_pieces(units.filter(symbolic & moved), _CARRY).withColumn("hom", F.lit(False))
+    ends = ends.select("rec_no", "piece_no", *_CARRY, "chr", "pos", F.lit("Breakend").alias("overall_type"), F.lit(0).alias("ref_len"), F.lit(1).alias("len"), "hom", alleles(F.col("gt_p"), F.col("gt_m"), lambda g: none).alias("alleles"), "mate_chr", "mate_pos", "left", "forward")
     start, end = C.interval_ends(F.col("overall_type"), F.col("pos"), F.col("len"), ignore_insertion_length)
     each = cut.unionByName(rest).unionByName(ends, allowMissingColumns=True).withColumns({"start": start, "end": end})
-    each = each.withColumns({"whole": F.shiftright("rec_no", PIECE_BITS), "rec_no": F.col("rec_no") + F.col("piece_no")}).drop("piece_no")
-    flagged = match.split_flag(each, "whole", ratio, sv_length)
-    return flagged.withColumn("unit", F.when(F.col("split"), F.col("rec_no")).otherwise(F.shiftleft("whole", PIECE_BITS)))
+    numbered = setops.number_rows(each, ("whole", "member", "piece_no"), "no").drop("rec_no", "piece_no")
+    flagged = match.split_flag(numbered, "whole", ratio, sv_length)
+    return flagged.withColumn("unit", F.when(F.col("split"), F.col("no")).otherwise(F.min("no").over(Window.partitionBy("whole"))))
 
 
-def _breakend_pairs(truth: DataFrame, calls: DataFrame, wiggle: int) -> DataFrame:
-    """Pairs of breakends that match; calls' columns have c_ names."""
-    right = calls.withColumns({f"r_{x}": F.col(f"c_{x}") for x in ("chr", "pos", "mate_chr", "mate_pos", "left", "forward")})
-    return intervals.breakend_join(truth, right, wiggle).select(*truth.columns, *calls.columns)
+def _by_allele(pieces: DataFrame, prefix: str = "") -> DataFrame:
+    """A row for each haplotype that carries a piece, for matching: places of different samples never meet."""
+    lane = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\u0001", "sample", c))
+    names = ("no", "whole", "overall_type", "ref_len", "len", "pos", "start", "end", "hom", "mate_pos", "left", "forward")
+    rows = pieces.select(*names, lane("chr").alias("chr"), lane("mate_chr").alias("mate_chr"), F.explode("alleles").alias("x")).select(*names, "chr", "mate_chr", "x.hap", "x.alt")
+    return rows.select(*(F.col(c).alias(f"{prefix}{c}") for c in rows.columns))
 
 
-def compare_variants(truth: DataFrame, calls: DataFrame, regions: DataFrame | None = None, ratio: float = 0.8, wiggle: int = 20, match_geno: bool = False, whole_calls: bool = False, disallow_partial: bool = False, sv_length: int = C.SV_LENGTH, either_end: bool = False, ignore_insertion_length: bool = False) -> dict[str, DataFrame]:
-    """outcomes (side, rec_no, overall_type, len, outcome, members, and for truth the largest distances), counts
-    by type and by bin. A composite has one row, its records are its members; a split variant has one for each
-    piece. whole_calls: a call matches with all its pieces or not at all; disallow_partial: a call that touches a
-    missed truth is false; either_end: one end in a region will do;
-    ignore_insertion_length: insertions are compared by their places."""
+def piece_edges(t: DataFrame, c: DataFrame, ratio: float, wiggle: int, sv_length: int, ignore_insertion_length: bool) -> DataFrame:
+    """Which truth each call's pieces may take, for match.ordered_match: matches are found haplotype by haplotype
+    and counted by the truth's haplotype (n_p, n_m)."""
+    truth, calls = _by_allele(t), _by_allele(c, "c_")
+    bnd = F.lit("Breakend")
+    pairs = match.candidates(truth.filter(F.col("overall_type") != bnd), calls.filter(F.col("c_overall_type") != bnd), ratio, wiggle, sv_length, ignore_insertion_length=ignore_insertion_length, ref_len="ref_len")
+    right = calls.filter(F.col("c_overall_type") == bnd)
+    right = right.withColumns({f"r_{x}": F.col(f"c_{x}") for x in ("chr", "pos", "mate_chr", "mate_pos", "left", "forward")})
+    ends = intervals.breakend_join(truth.filter(F.col("overall_type") == bnd), right, wiggle).select(pairs.columns)
+    found = pairs.unionByName(ends)
+    count = lambda hap: F.count_if(F.col("hap") == hap)
+    return found.groupBy(F.col("c_whole").alias("call"), F.col("c_no").alias("piece"), F.col("no").alias("truth")).agg(F.first("c_hom").alias("c_hom"), F.first("hom").alias("t_hom"), count(0).alias("n_p"), count(1).alias("n_m"), F.first("len").alias("len")).withColumns({"call_order": F.col("call"), "truth_order": F.col("truth")})
+
+
+def compare_variants(
+    truth: DataFrame,
+    calls: DataFrame,
+    regions: DataFrame | None = None,
+    ratio: float = 0.8,
+    wiggle: int = 20,
+    match_geno: bool = False,
+    whole_calls: bool = False,
+    disallow_partial: bool = False,
+    sv_length: int = C.SV_LENGTH,
+    either_end: bool = False,
+    ignore_insertion_length: bool = False,
+    ignore_imprecise_length: bool = False,
+    chunks: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """outcomes (sample, side, rec_no, overall_type, len, outcome, members, and for truth the largest distances),
+    counts by type and by bin, and per_base sums, with true negatives if the genome's contig chunks are given.
+
+    A composite has one row, its records are its members; a split variant has one for each piece. Frames with a
+    column ``sample`` are compared sample by sample, in one plan. match_geno: homozygous and heterozygous don't
+    match; whole_calls: a call matches with all its pieces or not at all; disallow_partial: so it is, and a call
+    that matched a truth that is missed in the end is false; either_end: one end in a region will do;
+    ignore_insertion_length: insertions are compared by their places; ignore_imprecise_length: variants whose
+    length is imprecise have no difference of length.
+    """
     t_units, c_units = stored(with_composites(truth)), stored(with_composites(calls))
     t, c = (stored(pieces_of(u, ratio, sv_length, ignore_insertion_length)) for u in (t_units, c_units))
+    edges = stored(piece_edges(t, c, ratio, wiggle, sv_length, ignore_insertion_length))
+    need = c.groupBy(F.col("whole").alias("call")).agg(F.count("*").alias("pieces")) if whole_calls or disallow_partial else None
+    taken = match.ordered_match(edges, need, match_geno)
     prefixed = c.select(*(F.col(x).alias(f"c_{x}") for x in c.columns))
-    bnd = F.lit("Breakend")
-    pairs = match.candidates(t.filter(F.col("overall_type") != bnd), prefixed.filter(F.col("c_overall_type") != bnd), ratio, wiggle, sv_length, ignore_insertion_length=ignore_insertion_length)
-    pairs = pairs.unionByName(_breakend_pairs(t.filter(F.col("overall_type") == bnd), prefixed.filter(F.col("c_overall_type") == bnd), wiggle))
-    if match_geno:
-        pairs = pairs.filter(F.col("hom") == F.col("c_hom"))
-    edges = stored(pairs.select(F.col("c_whole").alias("call"), F.col("c_whole").alias("call_order"), F.col("c_rec_no").alias("piece"), F.col("rec_no").alias("truth"), F.col("rec_no").alias("truth_order"), "c_unit"))
-    if whole_calls:
-        taken = match.match_whole_calls(edges, c.groupBy(F.col("whole").alias("call")).agg(F.count("*").alias("pieces")))
-    else:
-        taken = match.greedy_match(edges)
     ends = lambda p: C.variant_end(F.col(f"{p}overall_type"), F.col(f"{p}pos"), F.col(f"{p}len"))  # noqa: E731  of variants, not of centred intervals
-    hits = taken.select(F.col("piece").alias("c_rec_no"), F.col("truth").alias("rec_no")).join(t, "rec_no").join(prefixed, "c_rec_no")
-    hits = stored(hits.select("unit", "c_unit", "len", "c_len", (F.col("c_pos") - F.col("pos")).alias("d_start"), (ends("c_") - ends("")).alias("d_end"), (F.col("c_len") - F.col("len")).alias("d_len")))
+    hits = taken.select(F.col("piece").alias("c_no"), F.col("truth").alias("no"), "matched").join(t, "no").join(prefixed, "c_no")
+    unsure = F.coalesce("imprecise", F.lit(False)) | F.coalesce("c_imprecise", F.lit(False)) if ignore_imprecise_length else F.lit(False)
+    length = F.when(~unsure, F.col("c_len") - F.col("len"))
+    matched = F.when(F.col("c_hom"), F.col("matched")).otherwise(F.col("c_len"))
+    hits = stored(hits.select("unit", "c_unit", matched.alias("len"), "c_len", (F.col("c_pos") - F.col("pos")).alias("d_start"), (ends("c_") - ends("")).alias("d_end"), length.alias("d_len")))
 
     def total(pieces: DataFrame) -> DataFrame:
         """One row a unit. Each member of a composite has to lie in the regions."""
-        member = F.shiftright("rec_no", PIECE_BITS - 1)
-        spans = pieces.groupBy("unit", "whole", "split", member.alias("member"), "chr").agg(F.sum("len").alias("len"), F.min("overall_type").alias("piece_type"), F.min("start").alias("start"), F.max("end").alias("end"))
+        spans = pieces.groupBy("unit", "whole", "split", "member", "chr").agg(F.sum("len").alias("len"), F.min("overall_type").alias("piece_type"), F.min("start").alias("start"), F.max("end").alias("end"))
         known = []
         if regions is not None:
             spans = intervals.point_flags(spans, regions, {"in_start": "start", "in_end": "end"})
-            known = [F.bool_and((F.col("in_start") | F.col("in_end")) if either_end else (F.col("in_start") & F.col("in_end"))).alias("known")]
+            inside = (F.col("in_start") | F.col("in_end")) if either_end else (F.col("in_start") & F.col("in_end"))
+            known = [F.bool_and(inside).alias("known")]
         return spans.groupBy("unit", "whole", "split").agg(F.sum("len").alias("len"), F.min("piece_type").alias("piece_type"), *known)
 
     truth_out = match.truth_outcome(total(t), match.validated_lengths(hits, "unit"), ratio, "unit")
-    call_out = match.call_outcome(total(c), hits.groupBy(F.col("c_unit").alias("unit")).agg(F.sum("c_len").alias("validated")), ratio, "unit")
+    found = hits.groupBy(F.col("c_unit").alias("unit")).agg(F.sum("c_len").alias("validated"))
+    call_out = match.call_outcome(total(c), found, ratio, "unit")
     if disallow_partial:
-        missed = truth_out.filter("outcome = 'FN'").select("unit").join(t, "unit").select(F.col("rec_no").alias("truth"))
-        call_out = match.disallow_partial_fp(call_out, edges.select(F.col("c_unit").alias("call"), "truth"), missed, "unit")
-    kinds = lambda units: units.filter((F.col("rec_no") % (1 << PIECE_BITS)) == 0).select("whole", "kind", "size", "members")  # noqa: E731  of a composite the first member's row
-    named = lambda out, units, side, more: out.join(kinds(units), "whole").select(F.lit(side).alias("side"), F.col("whole").alias("rec_no"), F.when(F.col("split"), F.col("piece_type")).otherwise(F.col("kind")).alias("overall_type"), F.when(F.col("split"), F.col("len")).otherwise(F.col("size")).cast("int").alias("len"), "outcome", "members", *more)
-    no = F.lit(None).cast("long")
-    outcomes = named(truth_out, t_units, "truth", [F.col(x).cast("long").alias(x) for x in ("d_start", "d_end", "d_len")]).unionByName(named(call_out, c_units, "call", [no.alias(x) for x in ("d_start", "d_end", "d_len")]))
-    outcomes = stored(outcomes)
-    counted = outcomes.filter("side = 'truth' or outcome = 'FP'").filter(F.col("outcome").isin("TP", "FN", "FP"))
-    return {"outcomes": outcomes, "by_type": stats.with_metrics(stats.confusion_by_type(counted)), "by_bin": stats.confusion_by_bin(counted), "sv_bins": stats.confusion_by_bin(counted, sv_length=sv_length)}
+        missed = truth_out.filter("outcome = 'FN'").select(F.col("unit").alias("truth"))
+        call_out = match.disallow_partial_fp(call_out, hits.select(F.col("c_unit").alias("call"), F.col("unit").alias("truth")), missed, "unit")
+
+    def named(out: DataFrame, units: DataFrame, side: str, distances: list[Column]) -> DataFrame:
+        """Outcomes under the names of their records: of a composite its second one, and its own type and size."""
+        kinds = units.filter("member = 0").select("whole", "sample", "kind", "size", "members")
+        split = F.col("split")
+        kind, size = F.when(split, F.col("piece_type")).otherwise(F.col("kind")), F.when(split, F.col("len")).otherwise(F.col("size"))
+        return out.join(kinds, "whole").select("sample", F.lit(side).alias("side"), F.element_at("members", -1).alias("rec_no"), kind.alias("overall_type"), size.cast("int").alias("len"), "outcome", "members", *distances)
+
+    names = ("d_start", "d_end", "d_len")
+    known, none = [F.col(x).cast("long").alias(x) for x in names], [F.lit(None).cast("long").alias(x) for x in names]
+    outcomes = stored(named(truth_out, t_units, "truth", known).unionByName(named(call_out, c_units, "call", none)))
+    counted = counted_outcomes(outcomes)
+    bases = stats.per_base(counted)
+    if chunks is not None:
+        bases = stats.true_negatives(bases, stats.non_n_bases(chunks, regions))
+    return {
+        "outcomes": outcomes, "by_type": stats.with_metrics(stats.confusion_by_type(counted)), "by_bin": stats.confusion_by_bin(counted),
+        "sv_bins": stats.confusion_by_bin(counted, sv_length=sv_length), "per_base": bases,
+    }
+
+
+def counted_outcomes(outcomes: DataFrame) -> DataFrame:
+    """The outcomes that count: known truth, and false calls."""
+    return outcomes.filter("side = 'truth' or outcome = 'FP'").filter(F.col("outcome").isin("TP", "FN", "FP"))
 
 
 def compare_alignments(alignments: DataFrame, truth: DataFrame, regions: DataFrame | None = None, wiggle: int = 20, mapq: int = 10, identity: float = 1.0, all_alignments: bool = False) -> dict[str, DataFrame]:

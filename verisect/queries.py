@@ -37,7 +37,7 @@ def _overlap(a: str, b: str, wiggle: int = WIGGLE, ratio: float = RATIO) -> str:
 
 #: Pairs of truth and call that may match, and what was matched at least once. Lengths are 400 at most, so wide
 #: pairs lie in the same or neighbouring cells of 4096 bases, which lets the other engine join by equality.
-PAIRS = f"""pairs as (
+PAIRS = f"""pairs as materialized (
   select t.rec_no, c.rec_no as c_rec_no, t.overall_type, t.len, c.len as c_len, t.pos, c.pos as c_pos from tiv t join civ c on t.chr=c.chr and t.pos=c.pos and t.alt=c.alt where t.overall_type='SNP' and c.overall_type='SNP'
   union all
   select t.rec_no, c.rec_no, t.overall_type, t.len, c.len, t.pos, c.pos from tiv t join civ c on t.chr=c.chr and t.pos=c.pos and t.alt=c.alt and t.overall_type=c.overall_type
