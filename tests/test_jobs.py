@@ -54,23 +54,39 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("case", sorted(CASES))
-def test_compare(spark, tmp_path, case):
-    truth, calls, options, want = CASES[case]
-    got = jobs.compare_variants(variants(spark, tmp_path, "t", truth), variants(spark, tmp_path, "c", calls), **options)["outcomes"].collect()
-    if distances := want.get("distances"):
-        assert [(r.d_start, r.d_end, r.d_len) for r in got if r.side == "truth"] == [distances]
-    if members := want.get("members"):
-        base = min(n for r in got for n in r.members) - 1  # record numbers count the header
-        assert sorted([n - base for n in r.members] for r in got if r.side == "truth") == members
-    if kinds := want.get("kinds"):
-        assert {r.overall_type for r in got if r.side == "truth"} == kinds
-    if hit := want.get("hit"):
-        base = min(n for r in got for n in r.members) - 1
-        assert [r.rec_no - base for r in got if r.side == "truth" and r.outcome == "TP"] == hit
-    for side in ("truth", "call"):
-        outcomes = want[side]
-        assert sorted(r.outcome for r in got if r.side == side) == outcomes, case
+def cohort(spark, tmp_path, name, files):
+    """Variants of one file for each sample."""
+    folder = tmp_path / name
+    folder.mkdir()
+    for sample, lines in files.items():
+        (folder / f"{sample}.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n" + "".join(f"{c}\t{p}\t.\t{r}\t{a}\t.\t.\t{i}\tGT\t{g}\n" for c, p, r, a, i, g in lines))
+    return vcf.read_vcf(spark, str(folder))[0].withColumn("sample", F.regexp_replace("source", r"\.vcf$", ""))
+
+
+#: Cases of the same options are samples of one comparison.
+GROUPS = {}
+for _name, _case in CASES.items():
+    GROUPS.setdefault(", ".join(f"{k}={v}" for k, v in _case[2].items()) or "plain", []).append(_name)
+
+
+@pytest.mark.parametrize("group", sorted(GROUPS))
+def test_compare(spark, tmp_path, group):
+    names = {f"s{i}": n for i, n in enumerate(GROUPS[group])}
+    truth, calls = (cohort(spark, tmp_path, side, {s: CASES[n][k] for s, n in names.items()}) for k, side in enumerate("tc"))
+    rows = jobs.compare_variants(truth, calls, **CASES[GROUPS[group][0]][2])["outcomes"].collect()
+    for sample, case in names.items():
+        want, got = CASES[case][3], [r for r in rows if r.sample == sample]
+        base = min((n for r in got for n in r.members if r.side == "truth"), default=0) - 1  # record numbers count other lines
+        if distances := want.get("distances"):
+            assert [(r.d_start, r.d_end, r.d_len) for r in got if r.side == "truth"] == [distances], case
+        if members := want.get("members"):
+            assert sorted([n - base for n in r.members] for r in got if r.side == "truth") == members, case
+        if kinds := want.get("kinds"):
+            assert {r.overall_type for r in got if r.side == "truth"} == kinds, case
+        if hit := want.get("hit"):
+            assert [r.rec_no - base for r in got if r.side == "truth" and r.outcome == "TP"] == hit, case
+        for side in ("truth", "call"):
+            assert sorted(r.outcome for r in got if r.side == side) == want[side], case
 
 
 def test_files_of_any_number(spark, tmp_path):

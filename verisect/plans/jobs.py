@@ -34,7 +34,7 @@ def with_composites(variants: DataFrame) -> DataFrame:
     is half an event and is left out. The number of a record's own TRAID pair is counted within its sample.
     """
     sampled = variants if "sample" in variants.columns else variants.withColumn("sample", F.lit(""))
-    rows = stored(setops.number_rows(sampled, ("sample", "rec_no"), "record"))
+    rows = setops.number_rows(sampled, ("sample", "rec_no"), "record")
     alone = {"whole": F.col("record"), "member": F.lit(0), "members": F.array("rec_no"), "kind": F.col("overall_type"), "size": F.col("max_len")}
     plain = rows.filter("traid is null").withColumns(alone)
     event = F.concat_ws("\u0001", "sample", "traid")
