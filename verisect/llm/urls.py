@@ -18,7 +18,7 @@ from verisect.llm.common import table
 
 #: One of these blocks a URL.
 STRICT = ("adult-x", "bestiality", "camgirls", "escorts", "hentai", "milf", "porn", "porno", "pornhub", "sexcam", "sexshop", "xvideos", "xxx")
-#: Term and weight; distinct ones add up. Fixed values.
+#: Term and weight; distinct ones add up.
 SOFT = {
     "ads": 2, "adult": 2, "bet": 1, "bets": 2, "betting": 2, "bonus": 1, "casino": 2, "cheap": 1, "crack": 2, "dating": 1, "erotic": 2,
     "farm": 1, "free": 1, "gambling": 2, "hacked": 1, "jackpot": 2, "keygen": 2, "loan": 1, "naked": 2, "nude": 2, "pills": 2,
