@@ -601,13 +601,36 @@ def canonicalize(spark, d):
 # -- assignment and maps -------------------------------------------------------------------------------------
 
 
-@register("greedy_match")
+def _assigned(need: str = "") -> str:
+    """Rounds of an ordered assignment over edges (call, piece, truth, best: less is better, len), as a CTE: taken
+    edges, with the longest truth that was free; need: the pieces that a call must match, if it must."""
+    full = f" and count(case when best=choice then 1 end) over (partition by call) = {need}" if need else ""
+    more = f", {need}" if need else ""
+    return f"""st as (
+  select 0 as round, call, piece, truth, best, len{more}, 0 as matched, false as taken from edges
+  union all
+  select round+1, call, piece, truth, best, len{more}, longest, chosen from (
+    select *, bool_or(chosen) over (partition by truth) as gone from (
+      select *, not waiting and best=choice{full} as chosen from (
+        select *, bool_or(holder<call) over (partition by call) as waiting, max(len) over (partition by call, piece) as longest from (
+          select *, min(call) over (partition by truth) as holder, min(best) over (partition by call, piece) as choice from st where not taken))))
+  where chosen or (waiting and not gone))"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@register("greedy_match", _recursive(_sql("truth calls", "select call, call as call_order, piece, truth from st where taken", TIV, CIV, PAIRS, "edges as (select distinct c_rec_no as call, cast(0 as int) as piece, rec_no as truth, rec_no as best, 0 as len from pairs)", _assigned())))
 def greedy_match(spark, d):
     edges = _pairs(spark, d).select(F.col("c_rec_no").alias("call"), F.col("c_rec_no").alias("call_order"), F.lit(0).alias("piece"), F.col("rec_no").alias("truth"), F.col("rec_no").alias("truth_order"))
     return match.greedy_match(edges)
 
 
-@register("greedy_match_whole")
+_WHOLE_EDGES = "edges as (select distinct c_rec_no//16 as call, c_rec_no%16 as piece, rec_no as truth, rec_no as best, 0 as len, pieces from pairs join (select rec_no//16 as c, count(*) as pieces from calls group by 1) on c=c_rec_no//16)"
+
+
+@register("greedy_match_whole", _recursive(_sql("truth calls", "select call, call as call_order, piece, truth from st where taken", TIV, CIV, PAIRS, _WHOLE_EDGES, _assigned("pieces"))))
 def greedy_match_whole(spark, d):
     edges = _pairs(spark, d).select(F.floor(F.col("c_rec_no") / 16).alias("call"), F.floor(F.col("c_rec_no") / 16).alias("call_order"), (F.col("c_rec_no") % 16).alias("piece"), F.col("rec_no").alias("truth"), F.col("rec_no").alias("truth_order"))
     pieces = view(spark, d, "calls").groupBy(F.floor(F.col("rec_no") / 16).alias("call")).agg(F.count("*").alias("pieces"))
@@ -631,12 +654,33 @@ def _contigs(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "truth").groupBy(F.col("chr").alias("contig")).agg((F.max("pos") + 2000).alias("length"))
 
 
-@register("drop_conflicts")
+#: Accepted variants: of those that change bases, from the first of each island on the next one that starts behind.
+_KEPT = (
+    "contigs as (select chr as contig, max(pos)+2000 as length from truth group by chr)",
+    "hap as (select rec_no, chr, pos, overall_type, case when overall_type='Insertion' then 0 else len end as ref_len, len as ins_len from truth join contigs on chr=contig where pos>=1 and pos+(case when overall_type='Insertion' then 0 else len end)-1<=length)",
+    "isl as materialized (select *, sum(head) over (partition by chr order by pos, rec_no) as island from (select *, case when pos > coalesce(max(pos+ref_len-1) over (partition by chr order by pos, rec_no rows between unbounded preceding and 1 preceding), -1) then 1 else 0 end as head from hap where ref_len>0))",
+    "nxt as materialized (select a.rec_no, min({'p': b.pos, 'r': b.rec_no}).r as nxt from isl a join isl b on a.chr=b.chr and a.island=b.island and b.pos > a.pos+a.ref_len-1 group by a.rec_no)",
+    "path as (select rec_no from isl where head=1 union all select n.nxt from path k join nxt n on k.rec_no=n.rec_no)",
+    "del as materialized (select h.* from hap h join path using (rec_no) where overall_type='Deletion')",
+    "shut as (select i.rec_no from hap i join del d on d.chr=i.chr and d.pos<=i.pos and d.pos+d.ref_len-1>=i.pos-1 where i.ref_len=0 and (d.pos<i.pos or (d.pos=i.pos and d.rec_no<i.rec_no)) group by i.rec_no having bool_or(d.pos<=i.pos-1) and bool_or(d.pos+d.ref_len-1>=i.pos))",
+    "kept as materialized (select * from hap where rec_no in (select rec_no from path) union all select i.* from hap i where ref_len=0 and rec_no in (select min(rec_no) from hap where ref_len=0 and rec_no not in (select rec_no from shut) group by chr, pos))",
+)
+
+
+@register("drop_conflicts", _recursive(_sql("truth", "select rec_no, chr, pos, overall_type from kept", *_KEPT)))
 def drop_conflicts(spark, d):
     return mapbuild.drop_conflicts(_haplotype(spark, d), _contigs(spark, d)).select("rec_no", "chr", "pos", "overall_type")
 
 
-@register("block_map")
+_BLOCKS = (
+    "big as (select *, case overall_type when 'Insertion' then 'INS' when 'Deletion' then 'DEL' else 'DUP_TANDEM' end as f, pos + case when overall_type='Deletion' then ref_len else 0 end as e from kept where overall_type<>'SNP')",
+    "seen as (select *, coalesce(lag(e) over (partition by chr order by pos, rec_no), 1) as after_ from big)",
+    "blocks as (select chr, after_ as ref_at, pos-after_ as size, 'SEQ' as feature, null as rec_no from seen union all select chr, pos, case when f='INS' then ins_len else ref_len end, f, rec_no from seen union all select contig, coalesce(last_, 1), length+1-coalesce(last_, 1), 'SEQ', null from contigs left join (select chr, max(e) as last_ from big group by chr) on chr=contig)",
+    "placed as (select *, row_number() over w as n, sum(case when feature='DEL' then 0 else size end) over w - case when feature='DEL' then 0 else size end + 1 as src from blocks where size>0 window w as (partition by chr order by ref_at, feature='SEQ', rec_no nulls first rows unbounded preceding))",
+)
+
+
+@register("block_map", _recursive(_sql("truth", "select cast(n as int) as block_no, cast(size as bigint) as size, chr||'_paternal' as src_chr, cast(src - case when feature='DEL' then 1 else 0 end as bigint) as src_loc, chr as dst_chr, cast(ref_at - case when feature in ('SEQ','DEL') then 0 else 1 end as bigint) as dst_loc, '+' as direction, feature, cast(rec_no as varchar) as variant_id from placed", *_KEPT, *_BLOCKS)))
 def block_map(spark, d):
     kept = mapbuild.drop_conflicts(_haplotype(spark, d), _contigs(spark, d))
     return mapbuild.build_block_map(kept, _contigs(spark, d))
