@@ -251,7 +251,7 @@ def test_streaming_lift(spark, tmp_path):
 
 def test_reports(spark, tmp_path):
     o = spark.createDataFrame([("SNP", 1, "TP"), ("SNP", 1, "FP"), ("Deletion", 200, "FN")], "overall_type string, len int, outcome string")
-    sinks.write_report(stats.confusion_by_type(o), {"wiggle": "20"}, str(tmp_path / "rep"))
+    sinks.write_report(stats.report_records(o, non_n=1000), {"wiggle": "20"}, str(tmp_path / "rep"))
     rec = {r.overall_type: r.record for r in text.read_reports(spark, str(tmp_path / "rep")).collect()}
     assert rec["SNP"].sum_count["_TP"] == 1 and rec["All"].sum_count["_T"] == 2
     tables = {(r.size_class, r.overall_type): r for r in cohort.summary_tables(o).collect()}

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
-from verisect.operators.intervals import allele_join, nearest_join
+from verisect.operators.intervals import allele_join, endpoints_in_regions, nearest_join
 
 # The groups of a cohort report.
 GROUPS = {"all": None, "snp": ("SNP",), "ins": ("Insertion",), "del": ("Deletion",), "indel": ("Insertion", "Deletion")}
 
 
-def counts_from_outcomes(tp: DataFrame, fp: DataFrame, fn: DataFrame) -> DataFrame:
-    """Rows of ready TP, FP and FN sets under one ``outcome`` column, for the counts of stats."""
-    return tp.withColumn("outcome", F.lit("TP")).unionByName(fp.withColumn("outcome", F.lit("FP"))).unionByName(fn.withColumn("outcome", F.lit("FN")))
+def counts_from_outcomes(tp: DataFrame, fp: DataFrame, fn: DataFrame, regions: DataFrame | None = None, either_end: bool = False) -> DataFrame:
+    """Rows of ready TP, FP and FN sets under one ``outcome`` column, for the counts of stats. regions: only what
+    has both ends of its reference span in some region (or either end) counts; rows then need chr, pos and
+    ref_len."""
+    rows = tp.withColumn("outcome", F.lit("TP")).unionByName(fp.withColumn("outcome", F.lit("FP"))).unionByName(fn.withColumn("outcome", F.lit("FN")))
+    if regions is None:
+        return rows
+    spans = rows.withColumns({"__start": F.col("pos"), "__end": F.col("pos") + F.greatest("ref_len", F.lit(1)) - 1})
+    return endpoints_in_regions(spans, regions, either_end, ("chr", "__start", "__end")).drop("__start", "__end")
 
 
 def summary_tables(outcomes: DataFrame, sv_length: int = C.SV_LENGTH) -> DataFrame:

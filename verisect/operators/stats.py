@@ -19,6 +19,10 @@ def _counts() -> list[Column]:
     return [F.count_if(is_("TP")).alias("tp"), F.count_if(is_("FP")).alias("fp"), F.count_if(is_("TP", "FN")).alias("t")]
 
 
+def confusion_counts(outcomes: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return outcomes.groupBy(*by).agg(*_counts())
+
+
 def confusion_by_type(outcomes: DataFrame) -> DataFrame:
     """tp, fp and t for each overall type, and for all types together (overall_type ``All``)."""
     total = outcomes.rollup("overall_type").agg(F.grouping("overall_type").alias("__all"), *_counts())
@@ -111,6 +115,74 @@ def variant_stats(variants: DataFrame, breaks: tuple[int, ...] = C.SIZE_BREAKS,
     return each.groupBy("haplotype", "overall_type", C.size_bin(F.col("len"), breaks).alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("len") >= sv_length).alias("n_sv"))
 
 
+def haplotype_rows(variants: DataFrame) -> DataFrame:
+    """A row for each haplotype that carries a variant, with the type and length of its own allele, and one for
+    both together: rec_no, chr, haplotype (paternal, maternal, overall), overall_type, len, start, end. variants:
+    canonical rows; missing alleles are filled in."""
+    eff = C.effective_alleles(F.col("gt_p"), F.col("gt_m"), F.size("alts"), F.col("chr"))
+
+    def own(name: str, g: Column) -> Column:
+        alt = F.try_element_at("alts", F.when(g > 0, g).otherwise(1))
+        kind, size = C.overall_type(F.array(alt["allele_type"])), F.greatest("ref_len", alt["alt_len"])
+        return F.when(g > 0, F.struct(F.lit(name).alias("haplotype"), kind.alias("overall_type"), size.cast("int").alias("len")))
+
+    both = F.struct(F.lit("overall").alias("haplotype"), F.col("overall_type"), F.col("max_len").cast("int").alias("len"))
+    some = F.when((F.col("e.p") > 0) | (F.col("e.m") > 0), both)
+    each = variants.withColumn("e", eff).withColumn("x", F.explode(F.array_compact(F.array(own("paternal", F.col("e.p")), own("maternal", F.col("e.m")), some))))
+    return each.select("rec_no", "chr", "x.*", F.col("pos").alias("start"), (F.col("pos") + F.greatest("ref_len", F.lit(1)) - 1).alias("end"))
+
+
+def haplotype_stats(rows: DataFrame, breaks: tuple[int, ...] = C.SIZE_BREAKS, sv_length: int = C.SV_LENGTH) -> DataFrame:
+    """Rows of haplotype_rows per haplotype, type and bin: n, and n_sv of those at least sv_length long."""
+    return rows.groupBy("haplotype", "overall_type", C.size_bin(F.col("len"), breaks).alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("len") >= sv_length).alias("n_sv"))
+
+
+def _cell(tp: Column, fp: Column, t: Column, tn: Column | None = None, lower: Column | int = -1, upper: Column | int = -1) -> Column:
+    """A report's cell: counts, their rates (NaN for 0 / 0, as text in JSON), and its bin's limits (-1: none)."""
+    long = lambda c: (F.lit(c) if isinstance(c, int) else F.coalesce(c, F.lit(0))).cast("long")
+    tp, fp, t, tn = long(tp), long(fp), long(t), long(0 if tn is None else tn)
+
+    def over(a: Column, b: Column) -> Column:
+        return F.when(b != 0, a.cast("double") / F.when(b != 0, b)).when(a > 0, float("inf")).otherwise(float("nan"))
+
+    tpr, fdr = over(tp, t), over(fp, tp + fp)
+    rates = {"tpr": tpr, "fdr": fdr, "ppv": over(tp, tp + fp), "spc": over(tn, tn + fp), "f1": over(F.lit(2.0) * (F.lit(1.0) - fdr) * tpr, F.lit(1.0) - fdr + tpr)}
+    fn = F.lit(0).cast("long")  # what is missed is counted in T alone
+    counts = {"tp": tp, "fp": fp, "tn": tn, "fn": fn, "t": t, "_TP": tp, "_FP": fp, "_TN": tn, "_FN": fn, "_T": t}
+    limits = {k: (F.lit(v) if isinstance(v, int) else v).cast("int") for k, v in (("lower", lower), ("upper", upper))}
+    return F.struct(*(v.alias(k) for k, v in {**limits, "empty": (tp == 0) & (fp == 0) & (t == 0), **counts, **rates}.items()))
+
+
+#: Types whose true negatives a report has; all together have them too.
+TN_TYPES = ("SNP", "Insertion", "Deletion")
+
+
+def report_records(outcomes: DataFrame, breaks: tuple[int, ...] = C.SIZE_BREAKS, sv_length: int = C.SV_LENGTH, non_n: int | None = None) -> DataFrame:
+    """(overall_type, record) for each type and All: cells of all bins in order, of the bins of items of at least
+    sv_length, the sums of both, and sums of bases, with true negatives for TN_TYPES and All if the genome's bases
+    are known. outcomes: as for the counts. Without outcomes there is one row of zeros, All."""
+    is_ = lambda *n: F.col("outcome").isin(*n)
+    sized = outcomes.select(F.explode(F.array("overall_type", F.lit("All"))).alias("kind"), "outcome", F.col("len").cast("long").alias("len"), (F.col("overall_type") == "Insertion").alias("ins"))
+    sv = F.col("len") >= sv_length
+    counts = {"tp": is_("TP"), "fp": is_("FP"), "t": is_("TP", "FN")}
+    sums = [F.count_if(v).alias(k) for k, v in counts.items()] + [F.count_if(v & sv).alias(f"sv_{k}") for k, v in counts.items()]
+    bases = [F.sum(F.when(v & ~(F.col("ins") if k == "t" else F.lit(False)), F.col("len")).otherwise(0)).alias(f"b_{k}") for k, v in counts.items()]
+    counted = sized.groupBy("kind", C.size_bin(F.col("len"), breaks).alias("bin")).agg(*sums, *bases)
+    names = [f"{p}{k}" for p in ("", "sv_", "b_") for k in counts]
+    spark = outcomes.sparkSession
+    kinds = counted.select("kind").union(spark.range(1).select(F.lit("All"))).distinct()
+    grid = kinds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(breaks)))))
+    full = grid.join(counted, ["kind", "bin"], "left").fillna(0, names)
+    lows, highs = F.array(*map(F.lit, (1, *(b + 1 for b in breaks)))), F.array(*map(F.lit, (*breaks, -1)))
+    limits = {"lower": F.element_at(lows, F.col("bin") + 1), "upper": F.element_at(highs, F.col("bin") + 1)}
+    cell = lambda p: _cell(*(F.col(f"{p}{k}") for k in counts), **limits)
+    ordered = lambda p: F.transform(F.array_sort(F.collect_list(F.struct("bin", cell(p).alias("c")))), lambda x: x["c"])  # noqa: E731  one for each bin
+    per = full.groupBy(F.col("kind").alias("overall_type")).agg(ordered("").alias("bin_counts"), ordered("sv_").alias("sv_bin_counts"), *(F.sum(n).alias(n) for n in names))
+    tn = F.when(F.col("overall_type").isin(*TN_TYPES, "All"), F.lit(non_n) - F.col("b_t") - F.col("b_fp")) if non_n is not None else None
+    whole = lambda p, tn=None: _cell(*(F.col(f"{p}{k}") for k in counts), tn)
+    return per.select("overall_type", F.struct("bin_counts", "sv_bin_counts", whole("").alias("sum_count"), whole("sv_").alias("svSumCount"), whole("b_", tn).alias("sum_per_base_count"), F.array(*map(F.lit, breaks)).alias("bin_breaks")).alias("record"))
+
+
 def distance_summary(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """n, max, min, mean, sum, sample variance, quantiles at (n + 1) p, and how many are 0, 1 and 2.
 

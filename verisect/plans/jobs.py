@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from verisect.functions import columns as C
 from verisect.operators import alignments as al
 from verisect.operators import canonical, cohort, intervals, liftover, mapbuild, match, setops, stats
 from verisect.operators.storage import stored
+from verisect.sources import sinks, vcf
 
 #: Allele types of copies that stand elsewhere; they are compared by their breakends.
 MOVED_COPIES = ("Translocation_Duplication", "Interspersed_Duplication")
@@ -221,12 +220,12 @@ def loci_from_read_map(read_map: DataFrame) -> DataFrame:
 
 
 def variant_statistics(variants: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """Counts per haplotype, type and bin of the non-reference variants, in regions if there are any."""
-    rows = variants.filter(C.is_nonref(F.col("gt_p"), F.col("gt_m"))).withColumn("len", F.col("max_len"))
+    """Counts per haplotype, type and bin of the non-reference variants: each haplotype by its own allele, and all
+    together. With regions each of the three counts only if its own span touches one."""
+    rows = stats.haplotype_rows(variants.filter(C.is_nonref(F.col("gt_p"), F.col("gt_m"))))
     if regions is not None:
-        spans = rows.withColumns({"start": F.col("pos"), "end": F.col("pos") + F.greatest("ref_len", F.lit(1)) - 1})
-        rows = intervals.in_regions(spans, regions, ("rec_no",))
-    return stats.variant_stats(rows)
+        rows = intervals.in_regions(stored(rows), regions, ("rec_no", "haplotype"))
+    return stats.haplotype_stats(rows)
 
 
 def lift_bed(bed: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -253,19 +252,47 @@ def lift_read_map(read_map: DataFrame, blocks: DataFrame, min_len: int = liftove
     return named.select("read_name", "mate", "block_no", F.col("piece_chr").alias("chr"), F.col("piece_start").alias("start"), F.col("piece_end").alias("end"), F.col("piece_strand").alias("strand"), "feature", F.col("read_offset").alias("read_start"), (F.col("read_offset") + F.col("read_len") - 1).alias("read_end"))
 
 
-def augment_and_summarise(tp: DataFrame, fp: DataFrame, fn: DataFrame, rescued_truth: DataFrame, rescued_calls: DataFrame) -> dict[str, DataFrame]:
-    """TP, T, FN and FP after a second matcher's finds, and their summary tables."""
+def augment_and_summarise(
+    tp: DataFrame | None, fp: DataFrame, fn: DataFrame | None, rescued_truth: DataFrame | None = None, rescued_calls: DataFrame | None = None,
+    regions: DataFrame | None = None, either_end: bool = False, breaks: tuple[int, ...] = C.SIZE_BREAKS,
+) -> dict[str, DataFrame]:
+    """TP, T, FN and FP after a second matcher's finds, their summary tables, and counts by type and by bin (of the
+    user's breaks). Without truth (tp and fn are None) every call is false. regions: as of counts_from_outcomes."""
+    none = fp.limit(0)
+    tp, fn, rescued_truth, rescued_calls = (none if x is None else x for x in (tp, fn, rescued_truth, rescued_calls))
     parts = setops.merge_results(tp, fp, fn, rescued_truth, rescued_calls)
-    table = cohort.summary_tables(cohort.counts_from_outcomes(parts["TP"], parts["FP"], parts["FN"]))
-    return {**parts, "summary": table}
+    parts = {k: v.drop("file_no") for k, v in parts.items()}
+    counted = stored(cohort.counts_from_outcomes(parts["TP"], parts["FP"], parts["FN"], regions, either_end))
+    return {**parts, "summary": cohort.summary_tables(counted), "by_type": stats.confusion_by_type(counted), "by_bin": stats.confusion_by_bin(counted, breaks)}
+
+
+def read_cohort(spark: SparkSession, truth_files: DataFrame, call_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Variants of truth and calls with their ``sample``, of the samples that have a file (sample, path) on both
+    sides. All files of a side are read in one scan; file names must differ within a side."""
+    pairs = cohort.pair_samples(truth_files, call_files).collect()  # a row for each sample
+    name = lambda path: path.rstrip("/").rsplit("/", 1)[-1]
+    out = []
+    for side in ("truth_path", "calls_path"):
+        names = spark.createDataFrame([(name(r[side]), r["sample"]) for r in pairs], "source string, sample string")
+        rows, _ = vcf.read_vcf(spark, [r[side] for r in pairs])
+        out.append(rows.join(F.broadcast(names), "source"))
+    return tuple(out)
+
+
+def validate_cohort(truth: DataFrame, calls: DataFrame, **options) -> dict[str, DataFrame]:
+    """Counts per sample and type, totals and spread over samples that have truth and calls. Both frames have a
+    column ``sample``, by which all samples are compared in one plan."""
+    both = lambda a, b: a.join(b.select("sample").distinct(), "sample", "left_semi")
+    outcomes = compare_variants(both(truth, calls), both(calls, truth), **options)["outcomes"]
+    counts = stored(stats.confusion_counts(counted_outcomes(outcomes), ("sample", "overall_type")))
+    per = counts.withColumn("tpr", C.ratio(F.col("tp"), F.col("t")))
+    return {"counts": counts, "totals": cohort.cohort_totals(counts), "spread": cohort.cohort_spread(per, "tpr", ("overall_type",))}
 
 
-def validate_cohort(samples: dict[str, tuple[DataFrame, DataFrame]], **options) -> dict[str, DataFrame]:
-    """totals and per-sample spread over samples that have truth and calls."""
-    each = [compare_variants(t, c, **options)["by_type"].withColumn("sample", F.lit(name)) for name, (t, c) in sorted(samples.items())]
-    counts = stored(reduce(DataFrame.unionByName, each).filter("overall_type <> 'All'"))
-    per = counts.withColumn("tpr", C.ratio(F.col("tp"), F.col("t")))
-    return {"counts": counts, "totals": cohort.cohort_totals(counts.select("sample", "overall_type", "tp", "fp", "t")), "spread": cohort.cohort_spread(per, "tpr", ("overall_type",))}
+def comparison_report(outcomes: DataFrame, params: dict[str, str | int | float], chunks: DataFrame | None = None, regions: DataFrame | None = None, sv_length: int = C.SV_LENGTH) -> DataFrame:
+    """The report of compare_variants' outcomes as one row of JSON, with true negatives if the genome is given."""
+    genome = None if chunks is None else stats.non_n_bases(chunks, regions).first()["non_n"]
+    return sinks.report_json(stats.report_records(counted_outcomes(outcomes), sv_length=sv_length, non_n=genome), params)
 
 
 def combine_variants(frames: list[DataFrame], mode: str = "first") -> DataFrame:

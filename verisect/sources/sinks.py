@@ -39,14 +39,15 @@ def write_bed(df: DataFrame, path: str) -> None:
     df.orderBy("chr", "start", "end").select(line.alias("value")).write.text(path)
 
 
-def report_json(counts: DataFrame, params: dict[str, str]) -> DataFrame:
-    """One row with the report of per-type counts (overall_type, tp, fp, t): types in a map, and all."""
-    cell = F.struct(F.col("tp").alias("_TP"), F.col("fp").alias("_FP"), F.col("t").alias("_T"))
-    data = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("overall_type") != "All", F.struct("overall_type", F.struct(cell.alias("sum_count")).alias("r"))))))
-    total = F.first(F.when(F.col("overall_type") == "All", F.struct(cell.alias("sum_count"))), True)
-    known = F.create_map(*[F.lit(x) for kv in params.items() for x in kv]) if params else F.create_map().cast("map<string,string>")
-    return counts.agg(data.alias("data"), total.alias("all_data")).select(F.to_json(F.struct(known.alias("params"), F.struct("data", "all_data").alias("num_true_correct"))).alias("value"))
-
-
-def write_report(counts: DataFrame, params: dict[str, str], path: str) -> None:
-    report_json(counts, params).write.text(path)
+def report_json(records: DataFrame, params: dict[str, str | int | float]) -> DataFrame:
+    """One row: the report of records (overall_type, record) of stats.report_records as JSON, types in a map, and
+    all together apart."""
+    kinds = F.filter(F.sort_array(F.collect_list(F.struct("overall_type", "record"))), lambda x: x["overall_type"] != "All")
+    data = F.map_from_entries(kinds)
+    total = F.first(F.when(F.col("overall_type") == "All", F.col("record")), True)
+    known = F.struct(*(F.lit(v).alias(k) for k, v in params.items())) if params else F.create_map().cast("map<string,string>")
+    return records.agg(data.alias("data"), total.alias("all_data")).select(F.to_json(F.struct(known.alias("params"), F.struct("data", "all_data").alias("num_true_correct"))).alias("value"))
+
+
+def write_report(records: DataFrame, params: dict[str, str | int | float], path: str) -> None:
+    report_json(records, params).coalesce(1).write.text(path)

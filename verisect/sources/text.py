@@ -1,22 +1,100 @@
 """Scans of text files: BED, block maps, read maps, FASTA, SAM, simulated reads, DGV, report JSON.
 
-Line order is kept as (file, line) columns taken from the scan, not from later partition order.
+Lines are numbered in the order of their files' paths and of their places in a file, whatever sizes the files
+have and however they are split and read.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
-from verisect.operators.storage import numbered, placed
+from verisect.operators.scan import scanned
+from verisect.operators.storage import if_small, placed, stored
+
+_GZIP = b"\x1f\x8b"
+
+
+def gzip_without_name(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files under these paths that are gzip by their first two bytes, but not by their names. The driver lists
+    them and reads two bytes of each, through the file systems that Spark knows."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        for status in fs.globStatus(at) or []:
+            files = fs.listFiles(status.getPath(), True)
+            while files.hasNext():
+                file = files.next()
+                name = file.getPath().getName()
+                if name.startswith(("_", ".")) or name.endswith((".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")) or file.getLen() < 2:
+                    continue
+                stream = fs.open(file.getPath())
+                try:
+                    if bytes((stream.read() & 255, stream.read() & 255)) == _GZIP:
+                        found.append(file.getPath().toString())
+                finally:
+                    stream.close()
+    return found
+
+
+def _inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of gzip files (path, name, content), of one or several members, a few MB at a time."""
+    for batch in batches:
+        for path, name, content in zip(*(batch.column(c).to_pylist() for c in ("path", "name", "content")), strict=True):
+            rest, tail = content, b""
+            while rest:
+                engine = zlib.decompressobj(31)
+                while not engine.eof:
+                    piece = engine.decompress(rest, 1 << 22)
+                    rest = engine.unconsumed_tail
+                    if not piece and not rest:
+                        break
+                    *lines, tail = (tail + piece).split(b"\n")
+                    if lines:
+                        yield _line_batch(path, name, lines)
+                rest = engine.unused_data
+            if tail:
+                yield _line_batch(path, name, [tail])
+
+
+def _line_batch(path: str, name: str, lines: list[bytes]) -> pa.RecordBatch:
+    text = [line.removesuffix(b"\r").decode("utf-8", "replace") for line in lines]
+    return pa.RecordBatch.from_pydict({"path": [path] * len(text), "file": [name] * len(text), "block": pa.array([0] * len(text), pa.int64()), "value": text})
+
+
+def placed_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, rec_no, value of all lines, with their places for scan.scanned(). Gzip is told by content: files that
+    are named .gz are read by Spark as they are, others whole, which Spark bounds to 2 GB of compressed bytes. The
+    text is read twice: once for the number of lines of each part of a file, once for the lines."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    hidden = gzip_without_name(spark, paths)
+    meta = [F.col(f"_metadata.{m}").alias(n) for m, n in (("file_path", "path"), ("file_name", "file"), ("file_block_start", "block"))]
+    lines = spark.read.text(paths).select(*meta, "value")
+    if hidden:
+        bare = lambda p: F.regexp_replace(p, "^file:/+", "file:/")  # noqa: E731  a file's path in two spellings
+        lines = lines.filter(~bare(F.col("path")).isin(*(h if not h.startswith("file:") else "file:/" + h.removeprefix("file:").lstrip("/") for h in hidden)))
+        whole = spark.read.format("binaryFile").load(hidden).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+        lines = lines.unionByName(whole.mapInArrow(_inflated, "path string, file string, block long, value string"))
+    rows = placed(lines)
+    parts = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("__i").alias("first"))
+    order = Window.orderBy("path", "block")  # a row for each part of a file
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = stored(parts.select(F.col("path").alias("__path"), F.col("block").alias("__block"), F.col("first").alias("__first"), before.alias("__before"), (F.row_number().over(order) - 1).alias("__no")))
+    joined = rows.join(if_small(parts), (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")))
+    line = F.col("__i") - F.col("__first")
+    return joined.select("file", (F.col("__before") + line).alias("rec_no"), "value", F.col("__no").cast("int").alias("__p"), line.alias("__i"))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, rec_no, value) of all lines in file order; rec_no counts over all files. Gzip by extension. The
-    text is read twice: once for the number of lines of each part of a file, once for the lines."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("file"), "value")
-    return numbered(placed(lines), "rec_no").select("file", "rec_no", "value")
+    """(file, rec_no, value) of all lines, in order of paths; rec_no counts over all files."""
+    return placed_lines(spark, paths).select("file", "rec_no", "value")
 
 
 def _data(lines: DataFrame, comment: str = "#") -> DataFrame:
@@ -67,16 +145,19 @@ def read_map_from_bed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], chunk: int = 1 << 16) -> DataFrame:
-    """contig, chunk_no, start (1-based), bases. A line is a row; places come from a running sum of line
-    lengths within a contig, and chunks are cut from the lines that touch them."""
-    lines = read_lines(spark, paths)
-    order = Window.partitionBy("file").orderBy("rec_no").rowsBetween(Window.unboundedPreceding, 0)
+    """contig, chunk_no, start (1-based), bases. A line is a row; a line's contig and its place in it are carried
+    from part to part of a file, and chunks are cut from the lines that touch them. A contig ends with its file."""
+    lines = placed_lines(spark, paths)
     head = F.col("value").startswith(">")
-    named = lines.withColumn("contig", F.last(F.when(head, F.regexp_extract("value", r"^>(\S+)", 1)), True).over(order)).filter(~head & (F.trim("value") != ""))
-    named = named.withColumn("bases", F.trim("value")).withColumn("n", F.length("bases"))
-    within = Window.partitionBy("file", "contig").orderBy("rec_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = named.withColumn("at", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    cut = placed.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("at") / chunk), F.floor((F.col("at") + F.col("n") - 1) / chunk))))
+    bases = F.when(~head, F.trim("value")).otherwise("")
+    named = scanned(lines, ("file",), last={"contig": F.when(head, F.regexp_extract("value", r"^>(\S+)", 1))}, sums={"before": head.cast("int")})
+    # bases before the line since its header: those of the file, less those up to the header
+    counted = scanned(named, ("file",), sums={"at": F.length(bases)})
+    counted = counted.withColumns({"no": F.col("before") + head.cast("int"), "n": F.length(bases), "bases": bases})
+    from_ = counted.filter(head).select(F.col("file").alias("h_file"), F.col("no").alias("h_no"), F.col("at").alias("h_at"))  # a row for each contig
+    rows = counted.filter("n > 0 and contig is not null").join(from_, (F.col("file") == F.col("h_file")) & (F.col("no") == F.col("h_no")))
+    rows = rows.select("contig", (F.col("at") - F.col("h_at")).alias("at"), "n", "bases")
+    cut = rows.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("at") / chunk), F.floor((F.col("at") + F.col("n") - 1) / chunk))))
     skip = F.greatest(F.col("chunk_no") * chunk - F.col("at"), F.lit(0))
     end = F.least(F.col("at") + F.col("n"), (F.col("chunk_no") + 1) * chunk)
     part = F.substr("bases", (skip + 1).cast("int"), (end - F.col("at") - skip).cast("int"))
@@ -101,18 +182,19 @@ def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return out.withColumns({"unclipped": C.unclipped_start(F.col("pos"), F.col("cigar")), "identity": C.identity(F.col("cigar"), F.col("read_len"))})
 
 
-def _records(lines: DataFrame, size: int) -> DataFrame:
-    """Groups of ``size`` lines as an array, per file."""
-    w = Window.partitionBy("file").orderBy("rec_no")
-    numbered = lines.withColumn("i", F.row_number().over(w) - 1).withColumn("record", F.floor(F.col("i") / size))
-    return numbered.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("l")).filter(F.size("l") == size).select("file", "record", F.transform("l", lambda x: x["value"]).alias("lines"))
+def _records(lines: DataFrame, size: int, keep: Column | None = None) -> DataFrame:
+    """Groups of ``size`` lines of placed_lines() as an array, per file; keep: which lines count."""
+    counted = scanned(lines, ("file",), sums={"i": F.lit(1) if keep is None else keep.cast("int")})
+    rows = counted if keep is None else counted.filter(keep)
+    rows = rows.withColumn("record", F.floor(F.col("i") / size))
+    lists = rows.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("l")).filter(F.size("l") == size)
+    return lists.select("file", "record", F.transform("l", lambda x: x["value"]).alias("lines"))
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, record, name, bases (other than ACGT become N), quality, and the truth in the name."""
-    lines = read_lines(spark, paths)
     at = lambda i: F.element_at("lines", i)
-    named = _records(lines, 4).select("file", "record", F.substr(at(1), F.lit(2)).alias("name"), C.mask_bases(at(2)).alias("bases"), at(4).alias("quality"))
+    named = _records(placed_lines(spark, paths), 4).select("file", "record", F.substr(at(1), F.lit(2)).alias("name"), C.mask_bases(at(2)).alias("bases"), at(4).alias("quality"))
     return named.withColumn("truth", C.parse_read_name(F.col("name")))
 
 
@@ -131,11 +213,11 @@ def read_dwgsim(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_art_aln(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Reads of an ART .aln file: chr, name, 1-based start on the forward strand, strand, reference bases.
     A reverse read's place counts from the contig's end, whose length is in the @SQ lines."""
-    lines = read_lines(spark, paths)
+    lines = placed_lines(spark, paths)
     sq = lines.filter(F.col("value").startswith("@SQ")).select(F.element_at(F.split("value", "\t"), 2).alias("chr"), F.element_at(F.split("value", "\t"), 3).cast("long").alias("contig_len")).distinct()
-    body = lines.filter(~F.col("value").startswith("@") & ~F.col("value").startswith("#") & (F.col("value") != ""))
+    body = ~F.col("value").startswith("@") & ~F.col("value").startswith("#") & (F.col("value") != "")
     head = F.split(F.substr(F.element_at("lines", 1), F.lit(2)), "\t")
-    rows = _records(body, 3).select(F.element_at(head, 1).alias("chr"), F.element_at(head, 2).alias("name"), F.element_at(head, 3).cast("long").alias("at"), F.element_at(head, 4).alias("strand"), F.regexp_replace(F.element_at("lines", 2), "-", "").alias("ref_bases"))
+    rows = _records(lines, 3, body).select(F.element_at(head, 1).alias("chr"), F.element_at(head, 2).alias("name"), F.element_at(head, 3).cast("long").alias("at"), F.element_at(head, 4).alias("strand"), F.regexp_replace(F.element_at("lines", 2), "-", "").alias("ref_bases"))
     joined = rows.join(sq, "chr", "left")
     forward = F.when(F.col("strand") == "-", F.col("contig_len") - F.col("at") - F.length("ref_bases") + 1).otherwise(F.col("at") + 1)
     return joined.select("chr", "name", forward.alias("start"), "strand", "ref_bases")
@@ -162,8 +244,8 @@ def read_dgv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return sized.filter(~((F.col("ref_len") == 1) & (F.col("alt_len") == 1)))
 
 
-CELL = "struct<_TP:bigint,_FP:bigint,_TN:bigint,_FN:bigint,_T:bigint,lower:int,upper:int>"
-RECORD = f"struct<bin_counts:array<{CELL}>,sv_bin_counts:array<{CELL}>,sum_count:{CELL},svSumCount:{CELL},sum_per_base_count:{CELL}>"
+CELL = "struct<lower:int,upper:int,empty:boolean,tp:bigint,fp:bigint,tn:bigint,fn:bigint,t:bigint,_TP:bigint,_FP:bigint,_TN:bigint,_FN:bigint,_T:bigint,tpr:double,fdr:double,ppv:double,spc:double,f1:double>"
+RECORD = f"struct<bin_counts:array<{CELL}>,sv_bin_counts:array<{CELL}>,sum_count:{CELL},svSumCount:{CELL},sum_per_base_count:{CELL},bin_breaks:array<int>>"
 
 
 def read_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -105,7 +105,7 @@ def normalise(parsed: DataFrame) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, paths: str | list[str], sample: str | int | None = None, pass_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(variants, rejects) of VCF files, rejects with a reason. Gzip is told by the extension. The parsed
+    """(variants, rejects) of VCF files, rejects with a reason. Gzip is told by content. The parsed
     rows are written to the shared folder once: text can't be pruned, and file order is fixed there."""
     lines = read_lines(spark, paths)
     names = None
