@@ -161,15 +161,15 @@ def split_somatic(spark, d):
 # -- files ---------------------------------------------------------------------------------------------------
 
 
-def _scanned(spark: SparkSession, d: str) -> DataFrame:
-    """The truth as variant rows that were written as a VCF and scanned; the record's number is in the id."""
+def _scanned(spark: SparkSession, d: str, name: str = "truth") -> DataFrame:
+    """The truth (or the calls) as variant rows that were written as a VCF and scanned; the record's number is in the id."""
     symbol = F.create_map(*[F.lit(x) for kv in {"Insertion": "<INS>", "Deletion": "<DEL>", "TandemDup": "<DUP:TANDEM>"}.items() for x in kv])[F.col("overall_type")]
     snp = F.col("overall_type") == "SNP"
     ref = F.when(~snp, "N").when(F.col("alt") == "A", "C").otherwise("A")
     size = F.when(F.col("overall_type") == "Deletion", -F.col("len")).otherwise(F.col("len")).cast("string")
     line = F.concat_ws("\t", "chr", F.when(snp, F.col("pos")).otherwise(F.col("pos") - 1).cast("string"), F.col("rec_no").cast("string"), ref, F.when(snp, F.col("alt")).otherwise(symbol), F.lit("."), F.lit("PASS"), F.when(snp, ".").otherwise(F.concat(F.lit("SVLEN="), size)), F.lit("GT"), "gt")
     path = new_path(spark)
-    view(spark, d, "truth").select(line.alias("value")).write.text(path)
+    view(spark, d, name).select(line.alias("value")).write.text(path)
     return vcf.read_vcf(spark, path)[0]
 
 

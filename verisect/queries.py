@@ -698,3 +698,4 @@ def annotate_false(spark, d):
 # -- codecs and files: registered where they are defined -----------------------------------------------------
 
 from verisect import codec_queries  # noqa: E402, F401
+from verisect import job_queries  # noqa: E402, F401
