@@ -141,7 +141,3 @@ def pair_by_traid(df: DataFrame) -> DataFrame:
     numbered = df.filter(F.col("traid").isNotNull()).withColumn("pair", F.floor(place / 2))
     pairs = numbered.groupBy("traid", "pair").agg(F.array_sort(F.collect_list("rec_no")).alias("members"))
     return pairs.filter(F.size("members") == 2)
-
-
-def common_matches(a: Column, b: Column) -> Column:
-    return F.array_intersect(a, b)

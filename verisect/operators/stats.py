@@ -222,6 +222,26 @@ def count_by_allele_type(variants: DataFrame, lo: int, hi: int) -> DataFrame:
     return inside.groupBy("overall_type").agg(F.sum(alleles).cast("long").alias("n"))
 
 
+# The allele types that are counted by name.
+COUNTED_TYPES = ("SNP", "Insertion", "Deletion", "MNP", "Inversion", "Interspersed_Duplication", "Translocation_Duplication", "Tandem_Duplication", "Complex")
+
+
+def count_alleles(variants: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(kind, n): alleles of each of COUNTED_TYPES (both of a heterozygous variant, one of a homozygous one, the
+    reference allele too, which is ``other`` as all types not counted by name are), and variants ``out of range``
+    and in ``all``. variants: canonical rows; those equal to the one before count in neither."""
+    same = ("pos", "ref", "ref_len", "alts", "gt_p", "gt_m", "id")
+    once = drop_adjacent_dups(variants, same)
+    eff = C.effective_alleles(F.col("gt_p"), F.col("gt_m"), F.size("alts"), F.col("chr"))
+    size = lambda g: F.when(g > 0, F.greatest("ref_len", F.try_element_at("alts", F.when(g > 0, g))["alt_len"])).otherwise(0)
+    rows = once.withColumn("e", eff)
+    outside = (F.greatest(size(F.col("e.p")), size(F.col("e.m"))) > hi) | (F.least(size(F.col("e.p")), size(F.col("e.m"))) < lo)
+    kind = lambda g: F.coalesce(F.try_element_at("alts", F.when(g > 0, g))["allele_type"], F.lit("Reference"))
+    named = lambda k: F.when(k.isin(*COUNTED_TYPES), k).otherwise("other")
+    both = F.when(F.col("e.p") == F.col("e.m"), F.array(named(kind(F.col("e.p"))))).otherwise(F.array(named(kind(F.col("e.p"))), named(kind(F.col("e.m")))))
+    return rows.select(F.explode(F.when(outside, F.array(F.lit("out of range"))).otherwise(F.concat(F.array(F.lit("all")), both))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def drop_adjacent_dups(df: DataFrame, keys: tuple[str, ...], by: tuple[str, ...] = ("chr",), order: tuple[str, ...] = ("rec_no",)) -> DataFrame:
     """Rows that differ from their predecessor in order, within each group of ``by``."""
     rows = scanned(in_order(df, [*by, *order]), by, previous={"__before": F.struct(*keys)})

@@ -299,8 +299,11 @@ def combine_variants(frames: list[DataFrame], mode: str = "first") -> DataFrame:
     return setops.order_vcf(setops.combine(frames, mode))
 
 
-def restrict_cohort(variants: DataFrame, regions: DataFrame, flank: int = 0, short_names: bool = False) -> DataFrame:
-    """Variants (rec_no, chr, pos, ref_len, ...) inside merged regions, with places counted from them."""
+def restrict_cohort(variants: DataFrame, regions: DataFrame, flank: int = 0, short_names: bool = False, samples: list[int] | None = None) -> DataFrame:
+    """Variants (rec_no, chr, pos, ref_len, ...) inside merged regions, with places counted from them. samples:
+    of the column ``samples`` (an array of what each sample has) only these places, from 0, in this order."""
+    if samples is not None:
+        variants = variants.withColumn("samples", F.array(*(F.try_element_at("samples", F.lit(i + 1)) for i in samples)))
     spans = variants.withColumns({"start": F.col("pos"), "end": F.col("pos") + F.greatest("ref_len", F.lit(1)) - 1})
     inside = intervals.restrict_to_regions(spans, intervals.merge_intervals(regions), flank, short_names)
     return inside.withColumn("pos", F.col("start")).drop("start", "end")

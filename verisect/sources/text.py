@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import columns as C
+from verisect.operators.intervals import add_anchor_base
 from verisect.operators.scan import scanned
 from verisect.operators.storage import if_small, placed, stored
 
@@ -227,9 +228,10 @@ def read_art_aln(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 DGV_COLUMNS = ("variantaccession", "chr", "start", "end", "varianttype", "variantsubtype", "reference", "pubmedid", "method", "platform", "mergedvariants", "supportingvariants", "mergedorsample", "frequency", "samplesize", "observedgains", "observedlosses", "cohortdescription", "genes", "samples")
 
 
-def read_dgv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_dgv(spark: SparkSession, paths: str | list[str], chunks: DataFrame | None = None, chunk_size: int = 1 << 16) -> DataFrame:
     """rec_no, chr, pos, id, allele_type, ref_len, alt_len, cn. Subtypes that aren't known are dropped; a
-    gain's copies are observed gains + 1; one base for one base is dropped."""
+    gain's copies are observed gains + 1; one base for one base is dropped. With the genome's chunks (all but the
+    last of a contig of chunk_size) also anchor, the base before a deletion."""
     parts = F.split("value", "\t")
     col = {n: F.try_element_at(parts, F.lit(i + 1)) for i, n in enumerate(DGV_COLUMNS)}
     rows = _data(read_lines(spark, paths)).filter((col["variantaccession"] != "variantaccession") & (col["varianttype"] != "OTHER"))
@@ -241,7 +243,10 @@ def read_dgv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ref_len = F.when(F.col("allele_type") == "Insertion", 0).otherwise(F.col("__n"))
     alt_len = F.when(F.col("allele_type") == "Deletion", 0).otherwise(F.col("__n"))
     sized = known.withColumns({"ref_len": ref_len, "alt_len": alt_len}).drop("__n")
-    return sized.filter(~((F.col("ref_len") == 1) & (F.col("alt_len") == 1)))
+    kept = sized.filter(~((F.col("ref_len") == 1) & (F.col("alt_len") == 1)))
+    if chunks is None:
+        return kept
+    return add_anchor_base(kept, chunks, chunk_size).withColumn("anchor", F.when(F.col("allele_type") == "Deletion", F.col("anchor")))
 
 
 CELL = "struct<lower:int,upper:int,empty:boolean,tp:bigint,fp:bigint,tn:bigint,fn:bigint,t:bigint,_TP:bigint,_FP:bigint,_TN:bigint,_FN:bigint,_T:bigint,tpr:double,fdr:double,ppv:double,spc:double,f1:double>"

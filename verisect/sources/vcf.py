@@ -141,18 +141,54 @@ def get_field(key: str) -> Column:
 
 # -- sink ----------------------------------------------------------------------------------------------------
 
+# The header of a written file.
 HEADER = (
     "##fileformat=VCFv4.3",
     '##INFO=<ID=SVLEN,Number=.,Type=Integer,Description="Length">',
     '##INFO=<ID=SVTYPE,Number=1,Type=String,Description="Type of structural variant">',
     '##INFO=<ID=VARIANT_OVERALL_TYPE,Number=1,Type=String,Description="Overall variant type">',
+    '##INFO=<ID=CHR2,Number=.,Type=String,Description="Chromosome of the source of a copy">',
+    '##INFO=<ID=POS2,Number=.,Type=Integer,Description="Start of the source of a copy">',
+    '##INFO=<ID=END2,Number=.,Type=Integer,Description="End of the source of a copy">',
+    '##INFO=<ID=TRAID,Number=1,Type=String,Description="Translocation that a record belongs to">',
+    '##INFO=<ID=ISINV,Number=0,Type=Flag,Description="The copy is inverted">',
     '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+    '##FORMAT=<ID=CN,Number=1,Type=String,Description="Copy number of each haplotype">',
     "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tsample",
 )
+#: SVTYPE by overall type.
+SVTYPES = {"TandemDup": "DUP", "TransDup": "DUP", "InterDup": "DUP", "Deletion": "DEL", "TransDel": "DEL", "Inversion": "INV"}
+
+
+def _info(sizes: Column) -> Column:
+    """INFO of a canonical row: its own fields first, then its type and what the type asks for; of a key that comes
+    twice the first one stays."""
+    kind = F.col("overall_type")
+    field = lambda key, value: F.concat(F.lit(f"{key}="), value)  # noqa: E731  null if the value is
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    copied, moved = kind.isin("TransDup", "InterDup"), kind.isin("TransDup", "InterDup", "TransDel")
+    names = F.create_map(*[F.lit(x) for kv in SVTYPES.items() for x in kv])
+    own = F.when(~F.coalesce("info_raw", F.lit(".")).isin("", "."), F.col("info_raw"))
+    turned = F.when(kind.isin("TandemDup", "TransDup", "InterDup") & F.col("is_inv"), "ISINV")
+    more = [F.when(copied, field(k, listed(F.col(c)))) for k, c in (("CHR2", "chr2"), ("POS2", "pos2"), ("END2", "end2"))]
+    return C.dedupe_info(F.concat_ws(";", own, field("VARIANT_OVERALL_TYPE", kind), field("SVTYPE", names[kind]), F.when(moved, field("TRAID", F.col("traid"))), field("SVLEN", listed(sizes)), *more, turned))
+
+
+def _sample() -> tuple[Column, Column]:
+    """FORMAT and the sample's text: GT, and CN where an allele has several copies. A haplotype that isn't there is left
+    out, as haploid text is."""
+    p, m = F.col("gt_p"), F.col("gt_m")
+    has_cn = F.exists("alts", lambda a: F.coalesce(a["cn"], F.lit(0)) > 1)
+    sep = F.when(F.col("phased") | (p == m), "|").otherwise("/")
+    pair = lambda x, y: F.when((p >= 0) & (m >= 0), F.concat(x, sep, y)).when(p >= 0, x).when(m >= 0, y)
+    copies = lambda g: F.coalesce(F.try_element_at("alts", F.when(g > 0, g))["cn"], F.lit(1)).cast("string")
+    gt = F.coalesce(pair(p.cast("string"), m.cast("string")), F.lit("./."))
+    cn = F.coalesce(pair(copies(p), copies(m)), F.lit("./."))
+    return F.when(has_cn, "GT:CN").otherwise("GT"), F.when(has_cn, F.concat_ws(":", gt, cn)).otherwise(gt)
 
 
 def format_vcf_line() -> Column:
-    """A data line of a canonical row: trimmed bases come back, INFO gets the overall type and SVLEN."""
+    """A data line of a canonical row: trimmed bases come back, INFO says what the type asks for, CN is kept."""
     symbolic = F.exists("alts", lambda a: a["kind"] == "symbolic")
     padded = (F.col("ref") == "") | F.exists("alts", lambda a: a["seq"] == "")
     pad, tail = F.when(padded, F.col("ref_deleted")).otherwise(""), F.coalesce("clipped", F.lit(""))
@@ -160,11 +196,9 @@ def format_vcf_line() -> Column:
     name = lambda a: F.concat(F.lit("<"), a["sv_major"], F.coalesce(F.concat(F.lit(":"), a["sv_minor"]), F.lit("")), F.lit(">"))
     alt = F.array_join(F.transform("alts", lambda a: F.when(a["kind"] == "symbolic", name(a)).otherwise(F.concat(pad, a["seq"], tail))), ",")
     sizes = C.svlen_list(F.transform("alts", lambda a: a["allele_type"]), F.col("ref_len"), F.transform("alts", lambda a: a["alt_len"]))
-    info = F.concat_ws(";", F.when(F.size(sizes) > 0, F.concat(F.lit("SVLEN="), F.array_join(F.transform(sizes, lambda x: x.cast("string")), ","))), F.concat(F.lit("VARIANT_OVERALL_TYPE="), F.col("overall_type")), F.when(~F.coalesce("info_raw", F.lit(".")).isin("", "."), F.col("info_raw")))
-    g = lambda x: F.when(x < 0, ".").otherwise(x.cast("string"))
-    gt = F.concat(g(F.col("gt_p")), F.when(F.col("phased"), "|").otherwise("/"), g(F.col("gt_m")))
+    form, sample = _sample()
     pos = F.when(symbolic | padded, F.col("pos") - 1).otherwise(F.col("pos"))
-    return F.concat_ws("\t", "chr", pos.cast("string"), "id", ref, alt, F.coalesce("qual", F.lit(".")), F.coalesce("filter", F.lit(".")), C.dedupe_info(info), F.lit("GT"), gt)
+    return F.concat_ws("\t", "chr", pos.cast("string"), "id", ref, alt, F.coalesce("qual", F.lit(".")), F.coalesce("filter", F.lit(".")), _info(sizes), form, sample)
 
 
 def write_vcf(df: DataFrame, path: str) -> None:
