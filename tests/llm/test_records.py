@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from verisect.llm import filter_audit, merkle, warc
+from verisect.llm import filter_audit, merkle, pii, urls, warc
 
 PAGES = "page_id long, url string, html string, digest string, hot string, n long"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, tree string, idx long"
@@ -234,3 +234,72 @@ def test_an_empty_audit(spark):
     assert filter_audit.audit(spark.createDataFrame([], DOCS), labels).count() == 0
     one = filter_audit.audit(spark.createDataFrame([(1, None, None, None, None, None, None, None)], DOCS), labels)
     assert one.count() == 600 and one.filter("part = ''").agg(F.sum("removed")).first()[0] == 120
+
+
+# -- evidence and vocabularies -------------------------------------------------------------------------------
+
+
+def test_a_coincidence_is_no_evidence(spark):
+    """A word of 100 texts that stands once beside an entity isn't marked in a large corpus; a name of the entity's
+    own is, and so is one that stands with it in two texts of three."""
+    rng = random.Random(20)
+    filler = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(6))
+    rows = [(i, f"{filler()} {'common' if i < 100 else ''} {'Triple' if i == 150 else ''} {filler()}") for i in range(6000)]
+    rows += [(9000, f"{filler()} Common zephyrine one@corp.example.com {filler()}")]
+    rows += [(9001 + i, f"{filler()} Triple two@corp.example.com {filler()}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    loose = {r.doc_id: [dict(rows)[r.doc_id][t.s : t.e] for t in r.terms or ()] for r in pii.detect(docs, generalise_at=0.3, certain=0.0).collect()}
+    tight = {r.doc_id: [dict(rows)[r.doc_id][t.s : t.e] for t in r.terms or ()] for r in pii.detect(docs, generalise_at=0.3).collect()}
+    assert "Common" in loose[9000] and "Common" not in tight[9000]
+    assert "zephyrine" in tight[9000] and "Triple" in tight[9001] and "Triple" in tight[9002]
+    assert tight[150] == []  # a text without the entity keeps the term
+
+
+def test_certainty_does_not_depend_on_the_corpus(spark):
+    ask = lambda k, n: spark.range(1).select(pii.certainty(F.lit(k), F.lit(n))).first()[0]
+    assert ask(1, 1) == pytest.approx(0.5) and ask(2, 2) == pytest.approx(2 / 3)
+    assert ask(1, 2) > pii.CERTAIN > ask(1, 3) and ask(1, 100) < 0.01 and ask(50, 100) > 0.4
+
+
+def test_copies_of_texts_with_entities(spark):
+    """Many copies of one text, with an entity or only with what may be one, get what their text gets."""
+    rng = random.Random(21)
+    body = " ".join(f"w{rng.randrange(50)}" for _ in range(30))
+    rows = [(i, f"Zephyrine one@corp.example.com {body}") for i in range(400)] + [(1000 + i, f"no 12-34-56-78 {body}") for i in range(400)] + [(2000 + i, f"plain {i} {body}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [dict(rows)[r.doc_id][t.s : t.e] for t in r.terms or ()] for r in pii.detect(docs).collect()}
+    assert len(found) == len(rows) and all(("Zephyrine" in v) == (k < 1000) for k, v in found.items())
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert len(clean) == len(rows) and len({clean[i] for i in range(400)}) == 1 and "Zephyrine" not in clean[0]
+    assert all(clean[i] == t for i, t in rows if i >= 1000)
+
+
+def test_a_table_of_terms(spark, monkeypatch):
+    rng = random.Random(22)
+    terms = sorted({"".join(rng.choice("abcdefgh-") for _ in range(rng.randrange(3, 9))).strip("-") or "x" for _ in range(4000)})
+    rows = [(t, float(rng.randrange(1, 3)), rng.random() < 0.1) for t in terms] + [(terms[0].upper(), 9.0, True), (None, 1.0, True), ("", 1.0, True), (terms[1], None, None)]
+    table = spark.createDataFrame(rows, "term string, weight double, strict boolean")
+    pages = [(i, "http://h/" + rng.choice("/.- ").join(rng.choice(terms).upper() if rng.random() < 0.1 else rng.choice(terms + ["zz", "a1", "zzz"]) for _ in range(rng.randrange(1, 5)))) for i in range(300)] + [(900, None), (901, ""), (902, "no://" + "q" * 50_000), (1, "http://h/")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    strict = {t.lower() for t, _, s in rows if t and s}
+    weight = {}
+    for t, w, _ in rows:
+        if t:
+            weight[t.lower()] = max(w or 0, weight.get(t.lower(), 0))
+
+    def plain(url):
+        low, hits = (url or "").lower(), 0.0
+        for t in weight:
+            at = low.find(t)
+            while at >= 0:
+                if not re.match("[a-z0-9]", low[at - 1 : at] if at else "") and not re.match("[a-z0-9]", low[at + len(t) : at + len(t) + 1]):
+                    hits += urls.SOFT_LIMIT if t in strict else weight[t]
+                    break
+                at = low.find(t, at + 1)
+        return hits
+
+    got = urls.filter_urls(df, rules=(), vocabulary=table).collect()
+    assert sorted((r.page_id, r.weight, r.verdict) for r in got) == sorted((i, plain(u), "block" if plain(u) >= urls.SOFT_LIMIT else "allow") for i, u in pages)
+    monkeypatch.setattr(urls, "MOST_TERMS", 100)
+    with pytest.raises(ValueError, match="100 terms"):
+        urls.filter_urls(df, vocabulary=table)

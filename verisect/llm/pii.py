@@ -10,11 +10,16 @@ hold both; with ``prior`` documents added that hold t and have e at its base rat
 
 which is pointwise mutual information as a share of what there is to know of e, shrunk towards 0: the fewer
 documents speak for a term, the less it counts, but entities that occur once or twice are judged as well.
+That share nears 1 for any fixed rate as the corpus grows, since ever more is there to know of an entity. So the
+rate itself must be high too: the lower end of Wilson's interval of n_et of df_t documents (at CERTAIN_Z standard
+errors) must reach ``certain``, whatever N is. A word of 100 texts, one of which holds the entity, reveals nothing
+at any N; a name of one or two texts, all of which hold it, does. A revealing term stays in texts without the
+entity: there it stands for nobody, and which texts are about the same person isn't known.
 Candidates are the terms that stand within ``window`` words of an entity anywhere. Terms at or above
 ``generalise_at`` are generalised to their class; those at or above ``remove_at`` are removed, at every
 place in the documents that hold e.
 
-Pairs whose disclosure can't reach ``generalise_at`` even if all documents of the rarer of the two hold both
+Pairs that can't reach ``generalise_at`` and ``certain`` even if all documents of the rarer of the two hold both
 are left out before documents are joined; this changes no result, and bounds the pairs of a frequent term.
 """
 
@@ -31,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisect.llm.common import if_small, over_texts, stored, table
+from verisect.llm.common import HOT_KEYS, if_small, over_texts, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, PRIOR, GENERALISE_AT, REMOVE_AT = 5, 1.0, 0.75, 0.95
+#: The least share of a term's documents that hold the entity, by the lower end of an interval of so many errors.
+CERTAIN, CERTAIN_Z = 0.2, 1.0
 #: Terms are maximal runs of other characters, in both engines.
 NOT_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -157,6 +164,13 @@ def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return over_texts(slim, run, _FOUND)
 
 
+def certainty(both: Column, term_docs: Column, z: float = CERTAIN_Z) -> Column:
+    """The lower end of Wilson's interval of the share of a term's documents that hold the entity."""
+    n, share = term_docs.cast("double"), both / term_docs
+    spread = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+
 def entity_texts(found: DataFrame) -> DataFrame:
     """(key, windows, terms) of every different text with entities."""
     return found.filter("key is not null").select("key", "windows", "terms").dropDuplicates(["key"])
@@ -184,8 +198,9 @@ def _disclosure(both: Column, entity_docs: Column, term_docs: Column, all_docs:
     return F.when(base < 1, F.least(1 - F.log2(given) / F.log2(base), F.lit(1.0)))
 
 
-def disclosures(docs: DataFrame, texts: DataFrame, prior: float = PRIOR, at_least: float = GENERALISE_AT) -> DataFrame:
-    """(key, entity, term, at, disclosure): the pairs at or above at_least in each text that holds both."""
+def disclosures(docs: DataFrame, texts: DataFrame, prior: float = PRIOR, at_least: float = GENERALISE_AT, certain: float = 0.0) -> DataFrame:
+    """(key, entity, term, at, disclosure): the pairs at or above at_least, whose certainty is at least ``certain``,
+    in each text that holds both."""
     inside = texts.select("key", F.explode("windows").alias("w"))
     holds = stored(inside.select("key", "w.entity").distinct())
     entities = holds.groupBy("entity").agg(F.count("key").alias("entity_docs"))
@@ -196,7 +211,8 @@ def disclosures(docs: DataFrame, texts: DataFrame, prior: float = PRIOR, at_leas
     counts = counts.join(near.select("term").distinct(), "term")
     rates = near.join(entities, "entity").join(counts, "term", "left").withColumn("term_docs", F.greatest(F.coalesce("term_docs", F.lit(0)), F.col("beside")))
     at_most = _disclosure(F.least("entity_docs", "term_docs"), F.col("entity_docs"), F.col("term_docs"), all_docs, prior)
-    pairs = stored(rates.filter(at_most >= at_least).select("entity", "term", "entity_docs", "term_docs"))
+    at_best = certainty(F.least("entity_docs", "term_docs"), F.col("term_docs"))
+    pairs = stored(rates.filter((at_most >= at_least) & (at_best >= certain)).select("entity", "term", "entity_docs", "term_docs"))
     occurs = texts.select("key", F.explode("terms").alias("t")).select("key", "t.term", "t.at")
     # most terms of a text are of no pair: they are left out by a hash before anything moves, if that is small
     hashes = stored(pairs.select(F.xxhash64("term").alias("hash")).distinct())
@@ -205,7 +221,9 @@ def disclosures(docs: DataFrame, texts: DataFrame, prior: float = PRIOR, at_leas
     together = stored(occurs.join(pairs.select("entity", "term"), "term").join(holds, ["key", "entity"]).select("key", "entity", "term", "at"))
     both = together.groupBy("entity", "term").agg(F.count("key").alias("both")).join(pairs, ["entity", "term"])
     shown = _disclosure(F.col("both"), F.col("entity_docs"), F.greatest("term_docs", "both"), all_docs, prior)
-    return together.join(both.select("entity", "term", shown.alias("disclosure")).filter(F.col("disclosure") >= at_least), ["entity", "term"])
+    sure = certainty(F.col("both"), F.greatest("term_docs", "both"))
+    told = both.select("entity", "term", shown.alias("disclosure"), sure.alias("sure")).filter((F.col("disclosure") >= at_least) & (F.col("sure") >= certain))
+    return together.join(told.drop("sure"), ["entity", "term"])
 
 
 def term_spans(revealed: DataFrame) -> DataFrame:
@@ -217,7 +235,17 @@ def term_spans(revealed: DataFrame) -> DataFrame:
     return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p.s", "p.e", "disclosure"))).alias("terms"))
 
 
-def detect(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def with_terms(rows: DataFrame, spans: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows (with ``key``) and the terms of their text, null if it has none; spans: (key, terms), counts: (key, n) of
+    all rows. Copies of a text that many rows hold stay where they are; there are HOT_KEYS such texts at most."""
+    counts = stored(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = stored(counts.filter(F.col("n") * HOT_KEYS > total).select("key").join(spans, "key", "left"))
+    rest = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(spans, "key", "left")
+    return rest.unionByName(rows.join(F.broadcast(hot), "key"))
+
+
+def detect(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, generalise_at: float = GENERALISE_AT, certain: float = CERTAIN) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base, terms.
 
     base: the patterns' spans as kind:start:end; terms: the revealing terms (null if none). Null and
@@ -225,10 +253,12 @@ def detect(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, generali
     result, null ids keep their rows, other columns are dropped, an empty table gives an empty result.
     """
     found = stored(find(docs, window))
-    revealed = disclosures(docs, stored(entity_texts(found)), prior, generalise_at)
+    revealed = disclosures(docs, stored(entity_texts(found)), prior, generalise_at, certain)
     slim = found.drop("windows", "terms")
     plain = slim.filter("key is null").withColumn("terms", F.lit(None).cast("array<struct<s:int,e:int,disclosure:double>>"))
-    return slim.filter("key is not null").join(term_spans(revealed), "key", "left").unionByName(plain).drop("key")
+    held = slim.filter("key is not null")
+    counts = held.groupBy("key").agg(F.count("*").alias("n"))
+    return with_terms(held, stored(term_spans(revealed)), counts).unionByName(plain).drop("key")
 
 
 #: What stands for an entity of each kind in a sanitised text.
@@ -254,19 +284,21 @@ def rewrite(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int,
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def sanitise(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, certain: float = CERTAIN) -> DataFrame:
     """docs with its own columns, and personal data in ``text`` replaced; a null text stays null.
 
     If there is a column n_chars it is the new text's length (as it was for a null text). Other columns stay
     as they are, whatever their names; repeated rows stay and change alike; long texts change at every
     place; an empty table gives an empty result.
     """
-    revealed = disclosures(docs, stored(entity_texts(find(docs, window))), prior, generalise_at)
+    revealed = disclosures(docs, stored(entity_texts(find(docs, window))), prior, generalise_at, certain)
     per_text = stored(term_spans(revealed))
     names, kinds = docs.columns, docs.schema
     # only texts that may hold an entity are moved to meet their terms
     packed = docs.select(F.struct(*names).alias("row"), F.coalesce(may_hold(F.col("text").cast("string")), F.lit(False)).alias("may"))
-    meets = packed.filter("may").select("row", F.md5(F.col("row.text").cast("binary")).alias("key")).join(per_text, "key", "left").select("row", "terms")
+    key = lambda text: F.md5(text.cast("string").cast("binary")).alias("key")
+    counts = docs.filter(may_hold(F.col("text").cast("string"))).groupBy(key(F.col("text"))).agg(F.count("*").alias("n"))
+    meets = with_terms(packed.filter("may").select("row", key(F.col("row.text"))), per_text, counts).select("row", "terms")
     packed = meets.unionByName(packed.filter("not may").select("row", F.lit(None).cast(meets.schema["terms"].dataType).alias("terms")))
     at = names.index("text")
     size = names.index("n_chars") if "n_chars" in names else None

@@ -7,6 +7,7 @@ soft term weighs that much, so it takes two or more of them.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -49,6 +50,33 @@ def automaton(strict: tuple[str, ...], soft: dict[str, float], limit: float) ->
     return found
 
 
+#: Terms of a vocabulary at most: a worker holds their automaton, of some 100 bytes a letter.
+MOST_TERMS = 200_000
+
+
+def as_vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], dict[str, float]]:
+    """(strict, soft) of a table (term, weight, strict) of MOST_TERMS rows at most, else an error. Terms are
+    lower-cased (A-Z); null and empty ones don't count; of a term that comes twice a strict row wins, then the
+    larger weight; a null weight is 0."""
+    low = F.translate("term", _UPPER, _LOWER)
+    rows = terms.filter("term <> ''").groupBy(low.alias("term")).agg(F.max(F.coalesce(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"), F.coalesce(F.bool_or("strict"), F.lit(False)).alias("strict"))
+    found = rows.limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"a vocabulary has {MOST_TERMS} terms at most")
+    return tuple(sorted(r["term"] for r in found if r["strict"])), {r["term"]: r["weight"] for r in sorted(found) if not r["strict"]}
+
+
+#: The automaton that this worker built last, by its vocabulary: tasks that follow use it again.
+_BUILT: dict[str, ahocorasick.Automaton] = {}
+
+
+def built(key: str, vocabulary: tuple) -> ahocorasick.Automaton:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = automaton(*vocabulary)
+    return _BUILT[key]
+
+
 def weight_of(url: str | None, terms: ahocorasick.Automaton) -> float:
     """The sum of the weights of the distinct terms between boundaries."""
     if not url or not len(terms):
@@ -72,18 +100,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, limit: float = SOFT_LIMIT) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, limit: float = SOFT_LIMIT, vocabulary: DataFrame | None = None) -> DataFrame:
     """One row per row of pages (page_id, url): page_id, host, path, rule, weight, verdict.
 
-    The longest rule that fits decides; without one, the vocabulary does. Null or empty URLs, and those
+    The longest rule that fits decides; without one, the vocabulary does: strict and soft terms, or a table of
+    them (as_vocabulary) in their place. Null or empty URLs, and those
     without ://, have empty host and path; the vocabulary still reads the latter. Rows are judged one by
     one, so ties and repeats stay; other columns are dropped; an empty table gives an empty result.
     """
-    vocabulary = (tuple(strict), dict(soft), limit)
+    if vocabulary is not None:
+        strict, soft = as_vocabulary(vocabulary)
+    words = (tuple(strict), dict(soft), limit)
+    name = hashlib.md5(repr((words[0], sorted(words[1].items()), limit)).encode()).hexdigest()
+    shared = pages.sparkSession.sparkContext.broadcast(words)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = automaton(*vocabulary)
+        terms = built(name, shared.value)
         for b in batches:
             weights = pa.array([float(weight_of(u.as_py(), terms)) for u in b.column(1)], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), weights], ["page_id", "url", "weight"])
