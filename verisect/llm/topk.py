@@ -159,7 +159,8 @@ class Table:
                 cell = first[home] + spread(b.column(0).to_numpy() + np.arange(len(home)), parts[home])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), *b.columns[3:]], ["vec_id", "v", "cell", "p", "norm"])
 
-        self.rows = stored(placed.mapInArrow(to_cell, schema.replace("home", "cell")))
+        # where no home is cut, homes are the cells, and no row is written again
+        self.rows = stored(placed.mapInArrow(to_cell, schema.replace("home", "cell"))) if (parts > 1).any() else placed.withColumnRenamed("home", "cell")
         width = len(chosen)
 
         def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +175,17 @@ class Table:
 
         self_cells = self.cells
         self.low, self.high, self.most = np.full((self.cells, width), np.inf), np.full((self.cells, width), -np.inf), np.full(self.cells, -1.0)
-        # one row for each cell and task
-        for r in self.rows.select("cell", "p", "norm").mapInArrow(extent, "cell int, low array<double>, high array<double>, most double").groupBy("cell").agg(*(what(F.col(name)[j]).alias(f"{name}{j}") for name, what in (("low", F.min), ("high", F.max)) for j in range(width)), F.max("most").alias("most")).collect():
-            self.low[r.cell] = [r[f"low{j}"] for j in range(width)]
-            self.high[r.cell] = [r[f"high{j}"] for j in range(width)]
-            self.most[r.cell] = r.most
+
+        def widest(got: pa.Table) -> pa.Table:
+            """What the tasks found of a cell, as one row."""
+            low, high = (_matrix(column(got, name), width) for name in ("low", "high"))
+            line = lambda x: pa.array([x], pa.list_(pa.float64()))
+            return pa.table({"cell": got.column("cell").slice(0, 1), "low": line(low.min(axis=0)), "high": line(high.max(axis=0)), "most": pa.array([got.column("most").to_numpy().max()])})
+
+        extents = "cell int, low array<double>, high array<double>, most double"
+        # one row for each cell and task meets, and one for each cell is known to the driver
+        for r in self.rows.select("cell", "p", "norm").mapInArrow(extent, extents).groupBy("cell").applyInArrow(widest, extents).collect():
+            self.low[r.cell], self.high[r.cell], self.most[r.cell] = r.low, r.high, r.most
 
     def cell_bounds(self, p: np.ndarray, q2: float) -> np.ndarray:
         """What a query's score is at most in each cell; -inf in an empty one."""
