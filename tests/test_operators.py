@@ -37,6 +37,13 @@ def test_canonical_right_end_with_fewer_pieces(spark):
     assert pieces(spark, 10, "AG", ["AGT"], 1, 0) in ([(12, "", "A", None, 1, 0)], [(12, "", "T", None, 1, 0)])
 
 
+def test_canonical_right_end_with_its_own_bases(spark):
+    df = spark.createDataFrame([(1, "1", 10, "AG", ["AGTC"], 1, 0), (2, "1", 10, "AG", ["AGTC", "AGA"], 1, 2)], "rec_no long, chr string, pos long, ref string, alts array<string>, gt_p int, gt_m int")
+    kept = lambda exact: [(r.rec_no, r.pos, r.alt) for r in canonical.canonicalize(df, exact_right_end=exact).orderBy("rec_no", "piece_no").collect()]
+    assert kept(False)[0] == (1, 12, "AG") and kept(True)[0] == (1, 12, "TC")
+    assert (2, 12, "TC") in kept(True) or (2, 12, "A") in kept(True)
+
+
 def test_overlaps(spark):
     def hit(a, b, ratio, wiggle):
         l1, r1, l2, r2 = map(F.lit, (*a, *b))

@@ -24,11 +24,12 @@ def _none() -> Column:
     return F.array().cast(_PIECE)
 
 
-def _indel(pos: Column, ref: Column, alt: Column, p: Column | int, m: Column | int, right: bool) -> Column:
-    """The indel that makes up the difference in length, as an array of at most one piece."""
+def _indel(pos: Column, ref: Column, alt: Column, p: Column | int, m: Column | int, right: bool, exact: bool = False) -> Column:
+    """The indel that makes up the difference in length, as an array of at most one piece. At the right end it takes
+    the first bases of ALT too, as at the left, or (exact) the last ones."""
     n, more = F.length(ref), F.length(alt) - F.length(ref)
     kept = F.length(alt) if right else F.lit(0)
-    insertion = F.array(_piece(pos + n if right else pos, F.lit(""), F.substr(alt, F.lit(1), more), p, m))
+    insertion = F.array(_piece(pos + n if right else pos, F.lit(""), F.substr(alt, n + 1 if right and exact else F.lit(1), more), p, m))
     deletion = F.array(_piece(pos + kept, F.substr(ref, kept + 1, -more), F.lit(""), p, m))
     return F.when(more > 0, insertion).when(more < 0, deletion).otherwise(_none())
 
@@ -43,19 +44,20 @@ def _places(ref: Column) -> Column:
     return F.when(F.length(ref) > 0, F.sequence(F.lit(1), F.length(ref))).otherwise(F.array().cast("array<int>"))
 
 
-def _one_allele(pos: Column, ref: Column, alt: Column, p: Column | int, m: Column | int, right: bool) -> Column:
+def _one_allele(pos: Column, ref: Column, alt: Column, p: Column | int, m: Column | int, right: bool, exact: bool = False) -> Column:
     def snp(i: Column) -> Column:
         base, own = _base(ref, alt, i, right), F.substr(ref, i, F.lit(1))
         return F.when(base != own, _piece(pos + i - 1, own, base, p, m))
 
-    return F.concat(_indel(pos, ref, alt, p, m, right), F.array_compact(F.transform(_places(ref), snp)))
+    return F.concat(_indel(pos, ref, alt, p, m, right, exact), F.array_compact(F.transform(_places(ref), snp)))
 
 
-def _two_alleles(pos: Column, ref: Column, a: Column, b: Column, right: bool) -> Column:
+def _two_alleles(pos: Column, ref: Column, a: Column, b: Column, right: bool, exact: bool = False) -> Column:
     """Both alleles differ from REF; what they share is one homozygous piece."""
     more_a, more_b = F.length(a) - F.length(ref), F.length(b) - F.length(ref)
     same = (more_a == more_b) & ((more_a < 0) | (a == b))
-    indels = F.when(same, _indel(pos, ref, a, 1, 1, right)).otherwise(F.concat(_indel(pos, ref, a, 1, 0, right), _indel(pos, ref, b, 0, 1, right)))
+    indel = lambda x, p, m: _indel(pos, ref, x, p, m, right, exact)
+    indels = F.when(same, indel(a, 1, 1)).otherwise(F.concat(indel(a, 1, 0), indel(b, 0, 1)))
 
     def snps(i: Column) -> Column:
         own, x, y = F.substr(ref, i, F.lit(1)), _base(ref, a, i, right), _base(ref, b, i, right)
@@ -72,10 +74,11 @@ def _two_alleles(pos: Column, ref: Column, a: Column, b: Column, right: bool) ->
     return F.concat(indels, F.array_compact(F.transform(_places(ref), snps)))
 
 
-def canonicalize(variants: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def canonicalize(variants: DataFrame, carry: tuple[str, ...] = (), exact_right_end: bool = False) -> DataFrame:
     """One row per piece of each variant (rec_no, chr, pos, ref, alts, gt_p, gt_m) of sequence alleles:
     rec_no, piece_no, chr, pos, ref, alt, alt2, gt_p, gt_m, and the variant's columns named in carry. Missing genotypes count as alleles 1 and
-    min(2, number of ALTs). What each step works out is a column, so that it is worked out once."""
+    min(2, number of ALTs). exact_right_end: an insertion at the right end has the bases that stand there, not the
+    first ones. What each step works out is a column, so that it is worked out once."""
     pos, ref, a, b = F.col("pos"), F.col("ref"), F.col("__p"), F.col("__m")
     eff = C.effective_alleles(F.col("gt_p"), F.col("gt_m"), F.size("alts"), F.col("chr"))
     allele = lambda g: F.when(g > 0, F.try_element_at("alts", F.when(g > 0, g).otherwise(1)))
@@ -92,13 +95,13 @@ def canonicalize(variants: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     two = rows.filter(~single & both).withColumn("__n", F.least(C.prefix_length(F.array(ref, a)), C.prefix_length(F.array(ref, b))))
     cut = lambda x: F.substr(x, F.col("__n") + 1)
     two = two.select(*keep, (pos + F.col("__n")).alias("pos"), cut(ref).alias("ref"), cut(a).alias("__p"), cut(b).alias("__m"))
-    two = two.select(*keep, _two_alleles(pos, ref, a, b, False).alias("l"), _two_alleles(pos, ref, a, b, True).alias("r"))
+    two = two.select(*keep, *(_two_alleles(pos, ref, a, b, right, exact_right_end).alias(n) for n, right in (("l", False), ("r", True))))
 
     alt = F.coalesce(a, b)
     p, m = F.when(a.isNotNull(), 1).otherwise(0), F.when(b.isNotNull(), 1).otherwise(0)
     split = (F.length(alt) > 0) & (F.length(ref) > 0)
     whole = F.array(_piece(pos, ref, alt, p, m))
-    one = rows.filter(~single & ~both).select(*keep, *(F.when(split, _one_allele(pos, ref, alt, p, m, right)).otherwise(whole).alias(n) for n, right in (("l", False), ("r", True))))
+    one = rows.filter(~single & ~both).select(*keep, *(F.when(split, _one_allele(pos, ref, alt, p, m, right, exact_right_end)).otherwise(whole).alias(n) for n, right in (("l", False), ("r", True))))
 
     best = F.when(F.size("r") < F.size("l"), F.col("r")).otherwise(F.col("l"))
     out = out.unionByName(two.select(*keep, best.alias("pieces"))).unionByName(one.select(*keep, best.alias("pieces")))
