@@ -315,3 +315,16 @@ def test_small_helpers(spark, tmp_path):
     assert sorted(r.rec_no for r in vcf.explode_composites(both).collect()) == [1, 2]
     pairs = cohort.pair_samples(spark.createDataFrame([("a", "1"), ("b", "2")], "sample string, path string"), spark.createDataFrame([("b", "3")], "sample string, path string"))
     assert [tuple(x) for x in pairs.collect()] == [("b", "2", "3")]
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from verisect.operators import storage
+
+    kept = storage.stored(spark.range(3))
+    folder = Path(storage.new_path(spark).removeprefix("file://").removeprefix("file:")).parent
+    assert any(folder.iterdir()) and kept.count() == 3
+    storage.drop_stored(spark)
+    assert not folder.exists()
+    assert storage.stored(spark.range(2)).count() == 2

@@ -9,16 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def new_path(spark: SparkSession) -> str:
-    """A new name under spark.checkpoint.dir. Where that is unset on one machine, a temporary folder is made;
-    on a cluster it must be set."""
+def _folder(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir. Where that is unset on one machine, a temporary folder
+    is made; on a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new name in the application's folder."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application. To be called when what was made from them is written:
+    frames that are still to be read need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
