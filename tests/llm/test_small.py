@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from verisect.llm import ann, langid, mixing, neardup, pii, sentencepiece, sharding, simhash, token_counts, topk, urls
+from verisect.llm import ann, common, langid, mixing, neardup, pii, sentencepiece, sharding, simhash, token_counts, topk, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -97,6 +97,41 @@ def test_simhash_links_find_every_pair(spark, radius, options):
     assert groups(got) == groups(want)
 
 
+def test_hot_keys_are_split(spark, monkeypatch):
+    """A key of a third of all rows is dealt to several parts; the rows of the join are the same."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    found = spark.range(0, 900, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y")).unionByName(spark.createDataFrame([(7, 14)], "k long, y long"))
+    hot = common.hot_keys(rows, "k")
+    assert [r.k for r in hot.collect()] == [7]
+    key = lambda df: sorted((r.k, r.x, r.y) for r in df.collect())
+    split = common.salted(rows, found, "k", "x", hot)
+    assert key(split) == key(rows.join(found, "k")) and split.columns == ["k", "x", "y"]
+    assert common.hot_keys(rows.filter("x % 3 > 0"), "k") is None
+    assert common.hot_keys(rows.limit(0), "k") is None
+
+
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    """A star of a third of all nodes, whose hub is in the middle of their numbers, and a chain."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    star = [(500, i) for i in range(300, 700) if i != 500]
+    chain = [(i, i + 1) for i in range(1000, 1200)]
+    edges = spark.createDataFrame([*star, *chain, (5, 5)], "u long, v long")
+    got = {r.fp: r.label for r in simhash.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(300, 700), 300), **dict.fromkeys(range(1000, 1201), 1000)}
+
+
+def test_near_duplicates_with_hot_bands(spark, monkeypatch):
+    """Half of the texts are near copies of one, so its bands, pairs and label are hot."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    copies = [" ".join([*base[:-1], f"end{i}"]) for i in range(60)]
+    others = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(80)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*copies, *others])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.keep_one(docs, 5, 4, 0.8).collect()) == [0, *range(60, 120)]
+
+
 def test_keep_one(spark, odd, none):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns

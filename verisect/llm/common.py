@@ -51,6 +51,32 @@ def joined(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return rest.unionByName(rows.join(F.broadcast(hot), key))
 
 
+#: Rows that a key must have to be split, and the parts that it is split into.
+HOT_ROWS, SALTS = 1000, 32
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys that more than HOT_ROWS rows and more than one row in HOT_KEYS have, so fewer than HOT_KEYS;
+    None if there are none. rows is read twice."""
+    least = max(HOT_ROWS, rows.count() / HOT_KEYS)
+    found = rows.groupBy(key).count().filter(F.col("count") > least).select(key)
+    keys = found.collect()  # fewer than HOT_KEYS
+    return rows.sparkSession.createDataFrame(keys, found.schema) if keys else None
+
+
+def salted(rows: DataFrame, found: DataFrame, key: str, by: str, hot: DataFrame | None) -> DataFrame:
+    """rows joined with found, which has at most one row for each key. The rows of the keys in hot (one
+    column) are dealt to SALTS parts by another column; only those keys' rows of found are repeated."""
+    if hot is None:
+        return rows.join(found, key)
+    mark = F.broadcast(hot.toDF(key).withColumn("__hot", F.lit(True)))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(mark, key, "left").withColumn("__part", part).drop("__hot")
+    right = found.join(mark, key, "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    return left.join(right, [key, "__part"]).drop("__part")
+
+
 #: Rows of a few numbers each that are broadcast at most.
 BROADCAST_ROWS = 500_000
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verisect.llm import simhash
-from verisect.llm.common import if_small, joined, over_texts, stored
+from verisect.llm.common import hot_keys, if_small, joined, over_texts, salted, stored
 
 BANDS, ROWS, PIECE = 20, 5, 4096
 #: Members of a band up to which pairs are listed; what a chunk of more members has at most, about.
@@ -104,9 +104,15 @@ def _named(sizes: DataFrame, end: str) -> DataFrame:
 
 def verified(sets: DataFrame, sizes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets (node, found) have at least that Jaccard similarity; sizes:
-    (node, n, own). A pair whose sizes rule it out is not compared."""
-    fit = pairs.join(_named(sizes, "u"), "u").join(_named(sizes, "v"), "v").filter(_may_link("u", "v", similarity)).select("u", "v", "nu", "nv")
-    both = fit.join(sets.select(F.col("node").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("found").alias("b")), "v")
+    (node, n, own). A pair whose sizes rule it out is not compared; pairs of a text that is in many of them
+    are dealt to several tasks. pairs is read more than once."""
+    often = hot_keys(pairs.select(F.explode(F.array("u", "v")).alias("node")), "node")
+
+    def with_ends(rows: DataFrame, u: DataFrame, v: DataFrame) -> DataFrame:
+        return salted(salted(rows, u, "u", "v", often), v, "v", "u", often)
+
+    fit = with_ends(pairs, _named(sizes, "u"), _named(sizes, "v")).filter(_may_link("u", "v", similarity)).select("u", "v", "nu", "nv")
+    both = with_ends(fit, sets.select(F.col("node").alias("u"), F.col("found").alias("a")), sets.select(F.col("node").alias("v"), F.col("found").alias("b")))
     common = F.size(F.array_intersect("a", "b"))
     return stored(both.filter(common >= F.lit(similarity) * (F.col("nu") + F.col("nv") - common) - F.lit(1e-9)).select("u", "v"))
 
@@ -118,13 +124,13 @@ def _ordered(u: str, v: str):
 def components(docs: DataFrame, own: DataFrame, n: int, radius: int, similarity: float) -> DataFrame:
     """(fp, label) of the texts that have near duplicates; both are nodes of own."""
     texts = stored(own.filter("node <> 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    first = stored(texts.groupBy("fp").agg(F.min("node").alias("first")))
+    first = stored(texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("node").alias("n")))
     at = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node"))
     linked = simhash.links(first.select("fp"), radius).join(at("u"), "u").join(at("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    same = texts.select("node", "fp").join(first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    same = joined(texts.select("node", "fp"), first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
     shared = texts.select("node", F.explode("bands").alias("band"))
-    hubs = shared.groupBy("band").agg(F.min("node").alias("hub"), F.count("node").alias("n")).filter("n > 1").select("band", "hub")
-    members = stored(shared.join(hubs, "band"))
+    hubs = stored(shared.groupBy("band").agg(F.min("node").alias("hub"), F.count("node").alias("n")).filter("n > 1"))
+    members = stored(joined(shared, hubs, "band"))
     stars = members.select(F.col("node").alias("u"), F.col("hub").alias("v"))
     pairs = stored(stars.union(linked).union(same).filter("u <> v").select(*_ordered("u", "v")).distinct())
     sets = stored(_sets(docs, stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), n))
@@ -136,8 +142,8 @@ def components(docs: DataFrame, own: DataFrame, n: int, radius: int, similarity:
         """(band, node, label) of the bands whose members are not all in one group."""
         held = members.join(labels, members.node == labels.fp, "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         held = stored(held)
-        apart = held.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("band")
-        return stored(held.join(apart, "band"))
+        apart = stored(held.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("node").alias("n")).filter("a <> b").select("band", "n"))
+        return stored(joined(held, apart, "band"))
 
     # what no other open text has tells how far a text is from the middle of its band
     rest = still_open()
@@ -147,8 +153,9 @@ def components(docs: DataFrame, own: DataFrame, n: int, radius: int, similarity:
     alone = sets.join(inside, "node", "left_semi").select("node", F.explode("found").alias("x")).groupBy("x").agg(F.min("node").alias("node"), F.count("x").alias("times"))
     alone = alone.filter("times = 1").groupBy("node").agg(F.count("node").cast("int").alias("alone"))
     sizes = stored(sizes.drop("own").join(inside, "node").join(alone, "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("own")))
-    middle = rest.join(sizes, "node").groupBy("band").agg(F.min_by("node", F.struct(F.col("own") / F.col("n"), "node")).alias("hub"), F.min_by("label", F.struct(F.col("own") / F.col("n"), "node")).alias("of"))
-    around = rest.join(middle, "band").filter("label <> of").select(*_ordered("node", "hub")).distinct().join(pairs, ["u", "v"], "left_anti")
+    share = F.struct(F.col("own") / F.col("n"), "node")
+    middle = stored(rest.join(sizes, "node").groupBy("band").agg(F.min_by("node", share).alias("hub"), F.min_by("label", share).alias("of"), F.count("node").alias("n")))
+    around = stored(joined(rest, middle, "band").filter("label <> of").select(*_ordered("node", "hub")).distinct().join(pairs, ["u", "v"], "left_anti"))
     found = stored(found.union(verified(sets, sizes, around, similarity)))
     labels = simhash.components(found)
     # now all pairs of members in different groups: few members as pairs, many within cells
@@ -166,7 +173,7 @@ def _across_few(members: DataFrame, sets: DataFrame, sizes: DataFrame, done: Dat
     end = lambda e: members.select("band", F.col("node").alias(e), F.col("label").alias(f"l{e}"), F.col("n").alias(f"n{e}"), F.col("own").alias(f"u{e}"))
     a, b = end("u"), end("v")
     across = a.join(b, (a["band"] == b["band"]) & (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & _may_link("u", "v", similarity))
-    return verified(sets, sizes, across.select("u", "v").distinct().join(done, ["u", "v"], "left_anti"), similarity)
+    return verified(sets, sizes, stored(across.select("u", "v").distinct().join(done, ["u", "v"], "left_anti")), similarity)
 
 
 def _across_many(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisect.llm.common import if_small, joined, over_texts, stored, table
+from verisect.llm.common import hot_keys, if_small, joined, over_texts, salted, stored, table
 
 SEED = 42
 CHUNK_BYTES = 1 << 20
@@ -254,7 +254,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(fp, label) of every end of edges (u, v): the smallest end that can be reached.
 
     Each round takes the smallest label among neighbours, then the label of that label, and writes the
-    labels to the shared folder; rounds end when no label changes.
+    labels to the shared folder; rounds end when no label changes. Nodes of many edges and labels of many
+    nodes are dealt to several tasks.
     """
     once = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     # what lies below a node is linked to the lowest there: the same groups with about an edge for each node
@@ -262,11 +263,12 @@ def components(edges: DataFrame) -> DataFrame:
     slim = lowest.select("u", F.col("low").alias("v")).union(once.join(lowest, "u").filter("v <> low").select("v", "low"))
     both = stored(slim.union(slim.select("v", "u")).distinct())
     labels = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("fp"), F.least("u", "v").alias("label")))
+    often = hot_keys(both, "v")
     while True:
-        seen = both.join(labels, both.v == labels.fp).groupBy("u").agg(F.min("label").alias("near"))
+        seen = salted(both, labels.withColumnRenamed("fp", "v"), "v", "u", often).groupBy("u").agg(F.min("label").alias("near"))
         hooked = stored(labels.join(seen, labels.fp == seen.u).select("fp", F.col("label").alias("was"), F.least("label", "near").alias("label")))
         up = hooked.select(F.col("fp").alias("label"), F.col("label").alias("top"))
-        new = stored(hooked.join(up, "label").select("fp", F.col("top").alias("label"), (F.col("top") != F.col("was")).alias("moved")))
+        new = stored(salted(hooked, up, "label", "fp", hot_keys(hooked, "label")).select("fp", F.col("top").alias("label"), (F.col("top") != F.col("was")).alias("moved")))
         labels = new.select("fp", "label")
         if not new.filter("moved").limit(1).count():
             return labels
