@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from verisect.codec_queries import _scanned
 from verisect.functions import columns as C
-from verisect.operators import intervals, stats
+from verisect.operators import intervals, liftover, stats
 from verisect.operators.storage import new_path
 from verisect.plans import jobs
 from verisect.plans.projections import view
 from verisect.queries import CIV, PAIRS, RATIO, TIV, WIGGLE, _assigned, _breaks, _recursive, _regions, _sql, register
-from verisect.sources import sinks, text
+from verisect.sources import sinks, text, vcf
 
 # -- comparisons ---------------------------------------------------------------------------------------------
 
@@ -120,3 +120,49 @@ def fastq_round_trip(spark, d):
     path = new_path(spark)
     view(spark, d, "truth").repartition(3).select(F.explode(lines).alias("value")).write.option("compression", "gzip").text(path)
     return text.read_fastq(spark, path).groupBy("name", "bases").agg(F.count("*").alias("n"))
+
+
+# -- fields, reads and maps ----------------------------------------------------------------------------------
+
+
+@register("value_histogram", _sql("truth", "select cast(case when hi > lo then least(floor((len - lo) * k / (hi - lo)), k - 1) else 0 end as int) as bin, count(*) as n from truth cross join (select min(len) as lo, max(len) as hi, least(10, count(*)) as k from truth) group by 1"))
+def value_histogram(spark, d):
+    return stats.histogram(view(spark, d, "truth"), "len", 10)
+
+
+@register("region_map", _sql("map_blocks", "select block_no, 'ref'||cast(block_no % 5 as varchar) as dst_chr, cast(dst_loc + block_no + 100 as bigint) as dst_loc, src_chr, src_loc from map_blocks where block_no % 3 > 0"))
+def region_map(spark, d):
+    """Blocks whose destination is named by a region of a contig; those of whole contigs are dropped."""
+    contig, first = F.concat(F.lit("ref"), (F.col("block_no") % 5).cast("string")), F.col("block_no") + 101
+    named = F.concat_ws("_", contig, first.cast("string"), (first + 9999).cast("string"))
+    blocks = view(spark, d, "map_blocks").withColumn("dst_chr", F.when(F.col("block_no") % 3 > 0, named).otherwise(contig))
+    return liftover.lift_region_map(blocks).select("block_no", "dst_chr", F.col("dst_loc").cast("long").alias("dst_loc"), "src_chr", "src_loc")
+
+
+@register("picked_samples", _sql("truth", "select rec_no, cast(len as varchar) as dp, 'q'||cast(rec_no % 5 as varchar) as only_info, case when rec_no % 2 = 0 then '1|0' else '0|1' end||':'||cast(len as varchar) as sample from truth"))
+def picked_samples(spark, d):
+    """The second of two samples of each line, and its fields by name: FORMAT comes before INFO."""
+    size, other = F.col("len").cast("string"), F.concat(F.lit("DP=77;Q=q"), (F.col("rec_no") % 5).cast("string"))
+    second = F.concat(F.when(F.col("rec_no") % 2 == 0, "1|0:").otherwise("0|1:"), size)
+    line = F.concat_ws("\t", "chr", F.col("pos").cast("string"), F.col("rec_no").cast("string"), F.lit("N"), F.lit("A"), F.lit("."), F.lit("."), other, F.lit("GT:DP"), F.lit("1|1:5"), second)
+    path = new_path(spark)
+    view(spark, d, "truth").select(line.alias("value")).write.text(path)
+    rows = vcf.parse_lines(vcf.select_samples(text.read_lines(spark, path), [1]))
+    return rows.select(F.col("id").cast("long").alias("rec_no"), vcf.get_field("DP").alias("dp"), vcf.get_field("Q").alias("only_info"), "sample")
+
+
+@register("reads_from_bed", _sql("truth", "select 'r'||cast(rec_no as varchar) as read_name, chr, cast(pos as bigint) as start, cast(pos + len as bigint) as end_pos, case when rec_no % 2 = 0 then '+' else '-' end as strand, cast(len as bigint) as read_end from truth"))
+def reads_from_bed(spark, d):
+    strand = F.when(F.col("rec_no") % 2 == 0, "+").otherwise("-")
+    line = F.concat_ws("\t", "chr", F.col("pos").cast("string"), (F.col("pos") + F.col("len")).cast("string"), F.concat(F.lit("r"), F.col("rec_no").cast("string")), F.lit("0"), strand)
+    path = new_path(spark)
+    view(spark, d, "truth").select(line.alias("value")).write.text(path)
+    reads = text.read_map_from_bed(spark, path)
+    return reads.select("read_name", "chr", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_pos"), "strand", F.col("read_end").cast("long").alias("read_end"))
+
+
+@register("breakends_alike", _sql("truth", "select rec_no, chr='chr1' and rec_no % 2 = 0 and abs(pos - 5000) <= 4000 as alike from truth"))
+def breakends_alike(spark, d):
+    end = lambda chr_, pos, left: F.struct(chr_.alias("chr"), pos.alias("pos"), left.alias("left"), F.lit(True).alias("forward"))
+    mine, fixed = end(F.col("chr"), F.col("pos"), F.col("rec_no") % 2 == 0), end(F.lit("chr1"), F.lit(5000), F.lit(True))
+    return view(spark, d, "truth").select("rec_no", C.breakend_like(mine, fixed, 4000).alias("alike"))
