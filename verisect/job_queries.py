@@ -11,7 +11,7 @@ from verisect.operators import intervals, liftover, stats
 from verisect.operators.storage import new_path
 from verisect.plans import jobs
 from verisect.plans.projections import view
-from verisect.queries import CIV, PAIRS, RATIO, TIV, WIGGLE, _assigned, _breaks, _recursive, _regions, _sql, register
+from verisect.queries import _IN, CIV, PAIRS, RATIO, TIV, WIGGLE, _assigned, _breaks, _recursive, _regions, _sql, register
 from verisect.sources import sinks, text, vcf
 
 # -- comparisons ---------------------------------------------------------------------------------------------
@@ -72,6 +72,14 @@ def region_statistics(spark, d):
     return jobs.variant_statistics(_side(spark, d, "truth"), _regions(spark, d))
 
 
+@register("augmented_without_truth", _sql("calls regions", "select k.overall_type, cast(b.bin as int) as bin, cast(0 as bigint) as tp, cast(count(i.rec_no) as bigint) as fp, cast(0 as bigint) as t from (select distinct overall_type from inside) k cross join (select unnest(range(0, 3)) as bin) b left join inside i on i.overall_type=k.overall_type and (case when i.len>5 then 1 else 0 end)+(case when i.len>50 then 1 else 0 end)=b.bin group by 1, 2", f"inside as (select * from calls t where {_IN('t.pos')} and {_IN("t.pos + case when t.overall_type='Deletion' then t.len else 1 end - 1")})"))
+def augmented_without_truth(spark, d):
+    """Without truth each call with both ends in a region is false; bins are the user's."""
+    calls = view(spark, d, "calls").withColumns({"ref": F.lit("N"), "ref_len": F.when(F.col("overall_type") == "Deletion", F.col("len")).otherwise(1)})
+    by_bin = jobs.augment_and_summarise(None, calls, None, regions=_regions(spark, d), breaks=(5, 50))["by_bin"]
+    return by_bin.select("overall_type", "bin", "tp", "fp", "t")
+
+
 # -- the genome ----------------------------------------------------------------------------------------------
 
 _CHUNKS = "chunks as (select src_chr as contig, src_loc as start, substr(repeat(case when feature='INS' then 'NnN' when feature='INV' then 'ANNcgt' else 'ACGTN' end, cast(size as int)), 1, cast(size as int)) as bases from map_blocks where feature<>'DEL')"
