@@ -17,6 +17,8 @@ from verisect.llm.common import stored
 #: grow with the square of the documents; so MinHash bands propose pairs as well. Pairs are linked if their
 #: whole shingle sets have at least that similarity.
 SHINGLE_WORDS, RADIUS, SIMILARITY = 5, 4, 0.8
+#: Words that a worker remembers, fewer than for encoding alone: the executors' memory holds what the stages before left.
+MEMO_WORDS = 50_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document that the mix took; of a null text null."""
-    return sentencepiece.encode(docs).select("doc_id", "ids", "n_tokens")
+    return sentencepiece.encode(docs, memo_words=MEMO_WORDS).select("doc_id", "ids", "n_tokens")
 
 
 STAGES = [

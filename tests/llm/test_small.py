@@ -111,6 +111,24 @@ def test_hot_keys_are_split(spark, monkeypatch):
     assert common.hot_keys(rows.limit(0), "k") is None
 
 
+def test_no_frames_of_local_rows(spark, monkeypatch):
+    """Hot keys and the grid of full shards stay tables; frames of local rows run Python workers of their own."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    assert "ExistingRDD" not in plan(common.hot_keys(rows, "k"))
+    fps = spark.range(200).select((F.col("id") * 31).alias("fp"))
+    links = simhash.links(fps, 4, leaf_rows=20, sample_rows=200, cell_rows=30)
+    assert "ExistingRDD" not in plan(links) and "BroadcastHashJoin" in plan(links)
+
+
+def test_encode_with_a_small_memo(spark, odd):
+    """A memo of few words changes no ids; the pipeline's is smaller than that of encoding alone."""
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.ids or [], r.n_tokens) for r in df.collect())
+    assert ids(sentencepiece.encode(odd, memo_words=8)) == ids(sentencepiece.encode(odd))
+    assert corpus_pipeline.MEMO_WORDS < sentencepiece.MEMO_WORDS
+
+
 def test_components_of_stars_and_chains(spark, monkeypatch):
     """A star of a third of all nodes, whose hub is in the middle of their numbers, and a chain."""
     monkeypatch.setattr(common, "HOT_ROWS", 20)

@@ -57,11 +57,13 @@ HOT_ROWS, SALTS = 1000, 32
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
     """The keys that more than HOT_ROWS rows and more than one row in HOT_KEYS have, so fewer than HOT_KEYS;
-    None if there are none. rows is read twice."""
+    None if there are none. rows is read twice.
+
+    They stay a table: a frame made of local rows starts a Python daemon and workers of their own on each executor.
+    """
     least = max(HOT_ROWS, rows.count() / HOT_KEYS)
-    found = rows.groupBy(key).count().filter(F.col("count") > least).select(key)
-    keys = found.collect()  # fewer than HOT_KEYS
-    return rows.sparkSession.createDataFrame(keys, found.schema) if keys else None
+    found = stored(rows.groupBy(key).count().filter(F.col("count") > least).select(key))
+    return found if found.limit(1).count() else None
 
 
 def salted(rows: DataFrame, found: DataFrame, key: str, by: str, hot: DataFrame | None) -> DataFrame:

@@ -130,7 +130,7 @@ _WINDOWS = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.st
 _TERMS = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32()))]))
 _FOUND = "doc_id long, key string, n_email long, n_ip long, n_card long, n_phone long, base string, windows array<struct<entity:string,terms:array<string>>>, terms array<struct<term:string,at:array<int>>>"
 #: Characters of texts with entities whose terms a worker holds at once.
-HELD = 1 << 20
+HELD = 1 << 18
 
 
 def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:

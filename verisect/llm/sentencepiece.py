@@ -196,25 +196,26 @@ class Codec:
 _CODECS: dict[bytes, Codec] = {}
 
 
-def _codec(vocabulary: Vocabulary) -> Codec:
-    """This worker's codec, kept from task to task; one vocabulary at a time."""
-    key = hashlib.md5(repr((vocabulary.pieces, vocabulary.byte_ids)).encode()).digest()
+def _codec(vocabulary: Vocabulary, memo_words: int = MEMO_WORDS) -> Codec:
+    """This worker's codec, kept from task to task; one vocabulary and one size of memo at a time."""
+    key = hashlib.md5(repr((vocabulary.pieces, vocabulary.byte_ids, memo_words)).encode()).digest()
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(vocabulary)
+        _CODECS[key] = Codec(vocabulary, memo_words)
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, ids, n_tokens, text_crc32.
 
     text_crc32 is of the text decoded from the ids. A null text has null ids and crc and n_tokens 0, an
-    empty text no ids and crc 0. Repeated rows stay; other columns are dropped.
+    empty text no ids and crc 0. Repeated rows stay; other columns are dropped. memo_words bounds the words that
+    a worker remembers (about 0.2 MB a thousand); it changes no result.
     """
     vocabulary = vocabulary or Vocabulary.load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
+        codec = _codec(vocabulary, memo_words)
         for b in batches:
             for s in range(0, b.num_rows, 128):
                 part = b.slice(s, 128)

@@ -201,7 +201,6 @@ def links(fps: DataFrame, radius: int = 4, leaf_rows: int = 4096, sample_rows: i
     points by a sample of about sample_rows fingerprints, or SAMPLE_PER_LEAF for each shard if that is more
     (8 bytes for 512 fingerprints at the default), and never more than a quarter of all.
     """
-    spark = fps.sparkSession
     n = fps.count()
     masks, reach = _masks(radius)
     depth = max(0, math.ceil(math.log2(max(1, n) / leaf_rows)))
@@ -224,11 +223,10 @@ def links(fps: DataFrame, radius: int = 4, leaf_rows: int = 4096, sample_rows: i
 
     dealt = stored(fps.select("fp").repartition(max(1, math.ceil(n / DEAL_ROWS))).mapInArrow(deal, "shard long, home boolean, fp long"))
     # one row for each shard that is too full
-    full = {r.shard: math.ceil(r["count"] / cell_rows) for r in dealt.groupBy("shard").count().filter(F.col("count") > cell_rows).collect()}
+    grid = stored(dealt.groupBy("shard").count().filter(F.col("count") > cell_rows).select("shard", F.ceil(F.col("count") / cell_rows).cast("int").alias("g")))
     dealt = dealt.withColumn("cell", F.lit(0)).withColumn("side", F.lit(0))
-    if full:
+    if grid.limit(1).count():
         # row chunk c of g meets every chunk: cell (min, max), in which the rows of chunk min are side 0
-        grid = spark.createDataFrame(list(full.items()), "shard long, g int")
         own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
         hot = dealt.select("shard", "home", "fp").join(F.broadcast(grid), "shard").withColumn("c", own)
         hot = hot.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
