@@ -328,3 +328,34 @@ def test_intermediate_tables_can_be_dropped(spark):
     storage.drop_stored(spark)
     assert not folder.exists()
     assert storage.stored(spark.range(2)).count() == 2
+
+
+# -- what each row is worked out for -------------------------------------------------------------------------
+
+
+def parsed(spark, *lines):
+    return vcf.parse_lines(spark.createDataFrame([("f", i, x.rstrip("\n")) for i, x in enumerate(lines)], "file string, rec_no long, value string"))
+
+
+ALTS = [("A", "C", "."), ("AC", "A", "."), ("A", "ACG", "."), ("C", "ACGC", "."), ("ACGT", "T", "."), ("ACGT", "C", "."), ("A", "A", "."), ("ACC", "AGC", "."), ("A", "<INS>", "SVLEN=0"), ("A", "<DEL>", "SVLEN=-9;X"), ("A", "<DUP>", "SVLEN=9;POS2=4")]
+
+
+@pytest.mark.parametrize("ref, alt, info", ALTS)
+def test_one_alt_as_several(spark, ref, alt, info):
+    """One ALT is worked out as compiled columns, several by functions of arrays: the same ALT twice gives the same."""
+    size = info.split(";")[0].removeprefix("SVLEN=")
+    twice = info.replace(f"SVLEN={size}", f"SVLEN={size},{size}") if info != "." else info
+    rows = vcf.normalise(parsed(spark, line("1", 50, ref, alt, info), line("1", 50, ref, f"{alt},{alt}", twice))).orderBy("rec_no").collect()
+    one, two = (r.asDict() for r in rows)
+    assert {k: v for k, v in one["alts"][0].asDict().items() if k != "alt_idx"} == {k: v for k, v in two["alts"][1].asDict().items() if k != "alt_idx"}
+    same = ("pos", "ref", "ref_len", "ref_deleted", "clipped", "overall_type", "max_len", "gt_p", "gt_m", "reject_reason")
+    assert {k: one[k] for k in same} == {k: two[k] for k in same}
+
+
+def test_lines_are_made_once(spark, tmp_path):
+    """A written row is worked out once, though its file is in order."""
+    (tmp_path / "a.vcf").write_text(HEAD + "".join(line("1", 5 + i, "A", "C") for i in range(50)))
+    rows, made = vcf.read_vcf(spark, str(tmp_path / "a.vcf"))[0], spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: made.add(1) or x, "string").asNondeterministic()
+    vcf.write_vcf(rows.withColumn("id", counted("id")), str(tmp_path / "out"))
+    assert made.value == 50

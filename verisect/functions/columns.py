@@ -89,9 +89,10 @@ def format_index(fmt: Column, key: str) -> Column:
 
 
 def format_value(fmt: Column, sample: Column, key: str) -> Column:
-    """The sample's value of a FORMAT key, null if absent."""
+    """The sample's value of a FORMAT key, null if absent. The key in front, and one that isn't there, take no split."""
     at = F.array_position(F.split(fmt, ":"), key)
-    return F.when(at > 0, F.try_element_at(F.split(sample, ":"), F.when(at > 0, at.cast("int")).otherwise(1)))
+    any_place = F.when(at > 0, F.try_element_at(F.split(sample, ":"), F.when(at > 0, at.cast("int")).otherwise(1)))
+    return F.when((fmt == key) | fmt.startswith(f"{key}:"), F.substring_index(sample, ":", 1)).when(fmt.contains(key), any_place)
 
 
 def parse_gt(gt: Column, chr: Column) -> Column:
@@ -105,7 +106,12 @@ def parse_gt(gt: Column, chr: Column) -> Column:
     p = F.when(gt.isNull(), missing).when(alone, F.when(is_x(chr) | is_mt(chr), missing).otherwise(F.coalesce(first, missing)))
     m = F.when(gt.isNull(), missing).when(alone, F.when(is_y(chr), missing).otherwise(F.coalesce(first, missing)))
     both = first.isNotNull() & second.isNotNull()
-    return F.struct(p.when(both, first).otherwise(missing).cast("int").alias("p"), m.when(both, second).otherwise(missing).cast("int").alias("m"), F.coalesce(gt.contains("|"), F.lit(False)).alias("phased"))
+    made = lambda x, y, phased: F.struct(x.cast("int").alias("p"), y.cast("int").alias("m"), phased.alias("phased"))
+    phased = F.coalesce(gt.contains("|"), F.lit(False))
+    # two digits, and no text at all, are told without splits; a plain struct would be worked out again for each use of a field
+    pair = made(F.substr(gt, F.lit(1), F.lit(1)), F.substr(gt, F.lit(3), F.lit(1)), phased)
+    none = made(missing, missing, F.lit(False))
+    return F.when(gt.isNull(), none).when(gt.rlike("^[0-9][/|][0-9]$"), pair).otherwise(made(p.when(both, first).otherwise(missing), m.when(both, second).otherwise(missing), phased))
 
 
 def effective_alleles(gt_p: Column, gt_m: Column, n_alts: Column, chr: Column, male: bool = True) -> Column:
@@ -153,12 +159,25 @@ def allele_fraction(ad: Column, ao: Column, ro: Column) -> Column:
 # -- INFO ----------------------------------------------------------------------------------------------------
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used, also within functions of arrays."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _first_of_keys(fields: Column, key) -> Column:
+    """Those of an array's elements whose key no earlier one has."""
+    first = lambda fs, ks: F.filter(fs, lambda f, i: F.array_position(ks, key(f)) == i + 1)
+    return _bound(fields, lambda fs: _bound(F.transform(fs, key), lambda ks: first(fs, ks)))
+
+
 def parse_info(info: Column) -> Column:
     """map<string,string>; keys without a value are 'true', the first of repeated keys stays."""
+    key = lambda f: F.substring_index(f, "=", 1)
+    value = lambda f: F.when(f.contains("="), F.substr(f, F.length(key(f)) + 2)).otherwise("true")
     fields = F.filter(F.split(info, ";"), lambda f: (f != "") & (f != "."))
-    keyed = F.transform(fields, lambda f: F.struct(F.substring_index(f, "=", 1).alias("key"), F.when(f.contains("="), F.regexp_replace(f, "^[^=]*=", "")).otherwise("true").alias("value")))
-    first = F.filter(keyed, lambda kv, i: F.array_position(F.transform(keyed, lambda o: o["key"]), kv["key"]) == i + 1)
-    return F.map_from_entries(first)
+    keyed = F.transform(fields, lambda f: F.struct(key(f).alias("key"), value(f).alias("value")))
+    none, alone = F.create_map().cast("map<string,string>"), F.create_map(key(info), value(info))
+    return F.when(info.isin("", "."), none).when(~info.contains(";"), alone).otherwise(F.map_from_entries(_first_of_keys(keyed, lambda kv: kv["key"])))
 
 
 def info_ints(info: Column, key: str) -> Column:
@@ -168,9 +187,7 @@ def info_ints(info: Column, key: str) -> Column:
 
 def dedupe_info(info: Column) -> Column:
     """INFO text with only the first field of each key."""
-    fields = F.split(info, ";")
-    keys = F.transform(fields, lambda f: F.substring_index(f, "=", 1))
-    return F.array_join(F.filter(fields, lambda f, i: F.array_position(keys, F.substring_index(f, "=", 1)) == i + 1), ";")
+    return F.array_join(_first_of_keys(F.split(info, ";"), lambda f: F.substring_index(f, "=", 1)), ";")
 
 
 # -- alleles -------------------------------------------------------------------------------------------------
@@ -242,6 +259,14 @@ def overall_type(types: Column) -> Column:
     return F.when(F.size(seen) == 0, "Reference").when(F.size(seen) == 1, one).when(moved, "Translocation").otherwise("Complex")
 
 
+def overall_type_of(p: Column, m: Column) -> Column:
+    """overall_type of the types of two haplotypes, without an array."""
+    a, b = F.nullif(p, F.lit("Reference")), F.nullif(m, F.lit("Reference"))
+    one = F.coalesce(a, b)
+    moved = [x.isin("Translocation_Duplication", "Translocation_Deletion") for x in (a, b)]
+    return F.when(one.isNull(), "Reference").when(a.isNull() | b.isNull() | (a == b), alias_of(one, OVERALL_OF, "Complex")).when(moved[0] & moved[1], "Translocation").otherwise("Complex")
+
+
 def overall_alias(value: Column) -> Column:
     """Overall type from its name in any case, or a short name."""
     return alias_of(F.upper(value), {**{t.upper(): t for t in OVERALL_TYPES}, **OVERALL_ALIASES})
@@ -284,11 +309,15 @@ def variant_bases(ref_len: Column, alts: Column) -> Column:
     return ref_len + F.aggregate(alts, F.lit(0), lambda n, a: n + F.when(F.length(a) != ref_len, F.length(a)).otherwise(0))
 
 
+def svlen(kind: Column, ref_len: Column, alt_len: Column) -> Column:
+    """SVLEN of an allele: minus the length for what is deleted; null for SNPs and MNPs."""
+    return F.when(kind.isin("Deletion", "Translocation_Deletion"), -ref_len).when(kind == "Complex", alt_len - ref_len).when(kind.isin("SNP", "MNP"), None).otherwise(F.greatest(alt_len, ref_len))
+
+
 def svlen_list(types: Column, ref_len: Column, alt_lens: Column) -> Column:
-    """SVLEN per allele: minus the length for what is deleted; nothing for SNPs and MNPs."""
+    """SVLEN per allele; nothing for SNPs and MNPs."""
     pairs = F.arrays_zip(types.alias("t"), alt_lens.alias("n"))
-    size = lambda x: F.when(x["t"].isin("Deletion", "Translocation_Deletion"), -ref_len).when(x["t"] == "Complex", x["n"] - ref_len).when(x["t"].isin("SNP", "MNP"), None).otherwise(F.greatest(x["n"], ref_len))
-    return F.filter(F.transform(pairs, size), lambda x: x.isNotNull())
+    return F.filter(F.transform(pairs, lambda x: svlen(x["t"], ref_len, x["n"])), lambda x: x.isNotNull())
 
 
 # -- intervals -----------------------------------------------------------------------------------------------

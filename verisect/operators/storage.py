@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def compiled_in_parts(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, what Spark would compile to one method of more than 8000 bytes, which the JVM only interprets, is
+    compiled to smaller ones. For plans of many expressions, around the action that runs them."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Columns that keep a row's place: its partition, and its number within.
 PLACE = ("__p", "__i")
 
