@@ -140,3 +140,18 @@ def test_regions_round_trip(spark):
     assert [(r.chr, r.pos) for r in inside.collect()] == [("1_41_120", 10)]
     assert [(r.chr, r.pos) for r in jobs.unrestrict_cohort(inside).collect()] == [("1", 50)]
     assert jobs.combine_variants([v, v.withColumn("alt", F.lit("G"))], "first").count() == 4
+
+
+def test_comparison_carries_what_it_needs(spark, tmp_path, monkeypatch):
+    """Variants are put in order once a side, without the text fields of their lines; without composites no table is
+    written for them."""
+    truth, calls = (variants(spark, tmp_path, n, [("1", 100 + i, "A", "C", "X=1", "1/1") for i in range(5)]) for n in "tc")
+    written = []
+    for module in (setops, jobs):
+        real = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, real=real: written.append(set(df.columns)) or real(df))
+    out = jobs.compare_variants(truth, calls)["outcomes"]
+    assert sorted((r.side, r.outcome) for r in out.collect()) == [("call", "TP")] * 5 + [("truth", "TP")] * 5
+    whole = [c for c in written if "alts" in c]
+    assert len(whole) == 2
+    assert not any({"info", "info_raw", "alt_text"} & c for c in written)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verisect.functions import columns as C
 from verisect.operators import alignments as al
 from verisect.operators import canonical, cohort, intervals, liftover, mapbuild, match, setops, stats
-from verisect.operators.storage import stored
+from verisect.operators.storage import PLACE, numbered, placed, stored
 from verisect.sources import sinks, vcf
 
 #: Allele types of copies that stand elsewhere; they are compared by their breakends.
@@ -36,6 +36,8 @@ def with_composites(variants: DataFrame) -> DataFrame:
     rows = setops.number_rows(sampled, ("sample", "rec_no"), "record")
     alone = {"whole": F.col("record"), "member": F.lit(0), "members": F.array("rec_no"), "kind": F.col("overall_type"), "size": F.col("max_len")}
     plain = rows.filter("traid is null").withColumns(alone)
+    if not rows.filter("traid is not null").limit(1).count():
+        return plain  # numbered rows are a table already
     event = F.concat_ws("\u0001", "sample", "traid")
     joined = rows.filter("traid is not null").withColumns({"original": F.col("rec_no"), "rec_no": F.col("record"), "traid": event})
     pairs = setops.pair_by_traid(joined)
@@ -46,7 +48,7 @@ def with_composites(variants: DataFrame) -> DataFrame:
     placed = placed.withColumn("whole", F.element_at("both", 2)).withColumn("member", (F.array_position("both", F.col("rec_no")) - 1).cast("int"))
     originals = F.transform(F.array_sort(F.collect_list(F.struct("member", "original")).over(whole)), lambda x: x["original"])
     placed = placed.withColumns({"size": F.max("max_len").over(whole), "members": originals, "rec_no": F.col("original")})
-    return plain.unionByName(placed.drop("both", "original"))
+    return stored(plain.unionByName(placed.drop("both", "original")))
 
 
 def breakend_pieces(variants: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -63,6 +65,9 @@ def breakend_pieces(variants: DataFrame, carry: tuple[str, ...] = ()) -> DataFra
     return dups.unionByName(dels).withColumn("piece_no", F.col("piece_no") + 2 * F.col("gt_m"))
 
 
+#: What a comparison needs of variants.
+_COMPARED = ("sample", "rec_no", "chr", "pos", "ref", "ref_len", "alts", "gt_p", "gt_m", "overall_type", "max_len", "imprecise", "traid", "chr2", "pos2", "end2", "is_inv")
+
 #: What pieces keep of their variant.
 _CARRY = ("sample", "whole", "member", "imprecise")
 
@@ -95,9 +100,12 @@ def pieces_of(units: DataFrame, ratio: float = 0.8, sv_length: int = C.SV_LENGTH
     ends = ends.select("rec_no", "piece_no", *_CARRY, "chr", "pos", F.lit("Breakend").alias("overall_type"), F.lit(0).alias("ref_len"), F.lit(1).alias("len"), "hom", alleles(F.col("gt_p"), F.col("gt_m"), lambda g: none).alias("alleles"), "mate_chr", "mate_pos", "left", "forward")
     start, end = C.interval_ends(F.col("overall_type"), F.col("pos"), F.col("len"), ignore_insertion_length)
     each = cut.unionByName(rest).unionByName(ends, allowMissingColumns=True).withColumns({"start": start, "end": end})
-    numbered = setops.number_rows(each, ("whole", "member", "piece_no"), "no").drop("rec_no", "piece_no")
-    flagged = match.split_flag(numbered, "whole", ratio, sv_length)
-    return flagged.withColumn("unit", F.when(F.col("split"), F.col("no")).otherwise(F.min("no").over(Window.partitionBy("whole"))))
+    # ranges of whole variants in order serve the windows over a variant and the numbers alike
+    ranged = placed(each.repartitionByRange("whole").sortWithinPartitions("whole", "member", "piece_no"))
+    back = F.col(PLACE[1]) - F.min(PLACE[1]).over(Window.partitionBy("whole"))
+    flagged = match.split_flag(ranged.withColumn("back", back), "whole", ratio, sv_length)
+    rows = numbered(stored(flagged), "no")
+    return rows.withColumn("unit", F.when(F.col("split"), F.col("no")).otherwise(F.col("no") - F.col("back"))).drop("rec_no", "piece_no", "back")
 
 
 def _by_allele(pieces: DataFrame, prefix: str = "") -> DataFrame:
@@ -147,8 +155,8 @@ def compare_variants(
     ignore_insertion_length: insertions are compared by their places; ignore_imprecise_length: variants whose
     length is imprecise have no difference of length.
     """
-    t_units, c_units = stored(with_composites(truth)), stored(with_composites(calls))
-    t, c = (stored(pieces_of(u, ratio, sv_length, ignore_insertion_length)) for u in (t_units, c_units))
+    t_units, c_units = (with_composites(df.select(*(x for x in _COMPARED if x in df.columns))) for df in (truth, calls))
+    t, c = (pieces_of(u, ratio, sv_length, ignore_insertion_length) for u in (t_units, c_units))
     edges = stored(piece_edges(t, c, ratio, wiggle, sv_length, ignore_insertion_length))
     need = c.groupBy(F.col("whole").alias("call")).agg(F.count("*").alias("pieces")) if whole_calls or disallow_partial else None
     taken = match.ordered_match(edges, need, match_geno)
@@ -162,13 +170,12 @@ def compare_variants(
 
     def total(pieces: DataFrame) -> DataFrame:
         """One row a unit. Each member of a composite has to lie in the regions."""
+        if regions is None:
+            return pieces.groupBy("unit").agg(F.any_value("whole").alias("whole"), F.any_value("split").alias("split"), F.sum("len").alias("len"), F.min("overall_type").alias("piece_type"))
         spans = pieces.groupBy("unit", "whole", "split", "member", "chr").agg(F.sum("len").alias("len"), F.min("overall_type").alias("piece_type"), F.min("start").alias("start"), F.max("end").alias("end"))
-        known = []
-        if regions is not None:
-            spans = intervals.point_flags(spans, regions, {"in_start": "start", "in_end": "end"})
-            inside = (F.col("in_start") | F.col("in_end")) if either_end else (F.col("in_start") & F.col("in_end"))
-            known = [F.bool_and(inside).alias("known")]
-        return spans.groupBy("unit", "whole", "split").agg(F.sum("len").alias("len"), F.min("piece_type").alias("piece_type"), *known)
+        spans = intervals.point_flags(spans, regions, {"in_start": "start", "in_end": "end"})
+        inside = (F.col("in_start") | F.col("in_end")) if either_end else (F.col("in_start") & F.col("in_end"))
+        return spans.groupBy("unit", "whole", "split").agg(F.sum("len").alias("len"), F.min("piece_type").alias("piece_type"), F.bool_and(inside).alias("known"))
 
     truth_out = match.truth_outcome(total(t), match.validated_lengths(hits, "unit"), ratio, "unit")
     found = hits.groupBy(F.col("c_unit").alias("unit")).agg(F.sum("c_len").alias("validated"))
