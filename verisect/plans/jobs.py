@@ -289,7 +289,7 @@ def read_cohort(spark: SparkSession, truth_files: DataFrame, call_files: DataFra
 def validate_cohort(truth: DataFrame, calls: DataFrame, **options) -> dict[str, DataFrame]:
     """Counts per sample and type, totals and spread over samples that have truth and calls. Both frames have a
     column ``sample``, by which all samples are compared in one plan."""
-    both = lambda a, b: a.join(b.select("sample").distinct(), "sample", "left_semi")
+    both = lambda a, b: a.join(F.broadcast(b.select("sample").distinct()), "sample", "left_semi")  # noqa: E731  a row for each sample
     outcomes = compare_variants(both(truth, calls), both(calls, truth), **options)["outcomes"]
     counts = stored(stats.confusion_counts(counted_outcomes(outcomes), ("sample", "overall_type")))
     per = counts.withColumn("tpr", C.ratio(F.col("tp"), F.col("t")))
